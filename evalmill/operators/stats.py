@@ -1,9 +1,143 @@
-"""Means, standard errors and resampling."""
+"""Means, standard errors and resampling over sample scores.
+
+Sample scores are one row per (document, metric). Everything here is a partial
+plus final aggregate, so a task holding a third of the rows is combined on the
+map side.
+"""
 
 from pyspark.sql import functions as F
 
+# Cumulative Poisson(1) probabilities scaled to 65536.
+POISSON1_STEPS = [24109, 48218, 60273, 64291, 65296, 65497, 65531, 65535]
+
 
 def mean_stderr(col):
     """Sample standard deviation over sqrt(n); NULL for fewer than two values."""
     n = F.count(col)
     return F.when(n > 1, F.stddev_samp(col) / F.sqrt(n))
+
+
+def overflow_to_nan(col):
+    """An aggregate that left the double range becomes NaN."""
+    return F.when(F.abs(col) == float("inf"), F.lit(float("nan"))).otherwise(col)
+
+
+def to_long(df, keys, metrics):
+    """Metric columns to (metric, value) rows."""
+    return df.unpivot(list(keys), list(metrics), "metric", "value")
+
+
+def poisson_weights(identity, block):
+    """Eight Poisson(1) draws from one md5 of (block, identity)."""
+    digest = F.md5(F.concat(block.cast("string"), F.lit(":"), identity.cast("string")))
+    steps = F.array(*[F.lit(s) for s in POISSON1_STEPS])
+
+    def draw(slot):
+        u = F.conv(F.substr(digest, slot * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return F.size(F.filter(steps, lambda s: s <= u))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), draw)
+
+
+def bootstrap_replicates(df, keys, identity, sums, replicates=1000):
+    """Weighted sums per (keys, replicate).
+
+    A replicate gives each sample a Poisson(1) weight drawn from a hash of its
+    identity, which resamples the corpus in one pass: no row index, no join
+    back. Replicates are exploded next to a partial aggregate, so what is
+    shuffled is (keys x replicates) rows per input task whatever the corpus size.
+    """
+    blocks = (replicates + 7) // 8
+    drawn = (
+        df.select(*keys, F.col(identity).alias("_id"), *[c.alias(n) for n, c in sums.items()])
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select("*", F.posexplode(poisson_weights(F.col("_id"), F.col("_block"))).alias("_slot", "_w"))
+        .filter(F.col("_w") > 0)
+        .withColumn("replicate", F.col("_block") * 8 + F.col("_slot"))
+        .filter(F.col("replicate") < replicates)
+    )
+    return drawn.groupBy(*keys, "replicate").agg(
+        F.sum("_w").alias("weight"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums]
+    )
+
+
+def bootstrap_stderr(replicates, keys, metric):
+    """Spread of a metric over the replicates.
+
+    ``stderr`` divides the spread by sqrt(replicates), as the mean standard
+    error does; ``distribution_se`` is the spread itself.
+    """
+    m = replicates.withColumn("_m", metric)
+    return m.groupBy(*keys).agg(
+        mean_stderr("_m").alias("stderr"), F.stddev_samp("_m").alias("distribution_se"), F.count("*").alias("replicates")
+    )
+
+
+def stderr_kind(corpus_function, iterations):
+    """Which error a metric gets: closed form for means, bootstrap otherwise, none at 0 iterations."""
+    return (
+        F.when(corpus_function == "mean", "mean_stderr")
+        .when(F.lit(iterations) == 0, "none")
+        .otherwise("bootstrap")
+    )
+
+
+CORPUS_FUNCTIONS = {
+    "mean": F.avg,
+    "max": F.max,
+    "min": F.min,
+    "sum": F.sum,
+    "mean_div_5": lambda c: F.avg(c) / 5,
+}
+
+
+def aggregate_tasks(scores, functions, keys=("task",)):
+    """Corpus value, standard error and count per (keys, metric).
+
+    ``functions`` maps metric name to a corpus function name. All metrics are
+    aggregated in one pass; the value is chosen per metric afterwards.
+    """
+    used = sorted(set(functions.values()))
+    spec = F.create_map(*[F.lit(x) for pair in functions.items() for x in pair])
+    wide = scores.groupBy(*keys, "metric").agg(
+        *[CORPUS_FUNCTIONS[u](F.col("value")).alias(f"_{u}") for u in used],
+        mean_stderr("value").alias("_se"),
+        F.count("value").alias("n"),
+    )
+    chosen = F.coalesce(*[F.when(spec[F.col("metric")] == u, F.col(f"_{u}")) for u in used])
+    error = F.when(spec[F.col("metric")].isin("mean", "mean_div_5"), F.col("_se"))
+    return wide.select(*keys, "metric", overflow_to_nan(chosen).alias("value"), overflow_to_nan(error).alias("stderr"), "n")
+
+
+def suite_of(task):
+    """Name before the first colon."""
+    return F.split_part(task, F.lit(":"), F.lit(1))
+
+
+def subtask_average(task_scores, keys=("shots", "metric")):
+    """Unweighted mean over the subtasks of a suite, when there is more than one."""
+    return (
+        task_scores.filter(F.contains(F.col("task"), F.lit(":")))
+        .groupBy(suite_of(F.col("task")).alias("suite"), *keys)
+        .agg(F.avg("value").alias("value"), F.avg("stderr").alias("stderr"), F.count("*").alias("n_subtasks"))
+        .filter("n_subtasks > 1")
+        .select(F.concat("suite", F.lit(":_average|"), F.col("shots").cast("string")).alias("task"), "metric", "value", "stderr")
+    )
+
+
+def overall_average(task_scores):
+    """Mean of each metric over the tasks that have it; averages are left out."""
+    return (
+        task_scores.filter(~F.contains(F.col("task"), F.lit("_average")))
+        .groupBy("metric")
+        .agg(F.avg("value").alias("value"), F.avg("stderr").alias("stderr"), F.count("*").alias("n_tasks"))
+    )
+
+
+def suite_average(task_scores):
+    """Per suite mean of each metric, error metrics left out; one subtask is enough."""
+    return (
+        task_scores.filter(~F.contains(F.col("metric"), F.lit("stderr")))
+        .groupBy(suite_of(F.col("task")).alias("suite"), "metric")
+        .agg(F.avg("value").alias("value"))
+    )
