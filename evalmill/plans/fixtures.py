@@ -106,7 +106,7 @@ view(
     "generations",
     """
     SELECT 'users:' || (user_id % 4) AS task, user_id AS doc_id, pos, answer,
-           ['click', 'error', 'login', 'purchase', 'view'][1 + user_id % 5] AS gold
+           ['click', 'error', 'signup', 'purchase', 'view'][1 + user_id % 5] AS gold
     FROM (SELECT user_id, event_type AS answer,
                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos
           FROM events)
@@ -122,7 +122,7 @@ def generations(spark, sf_dir, n=16):
     holding a third of all events sends at most ``n`` rows per input task.
     """
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    types = F.array(*[F.lit(x) for x in ("click", "error", "login", "purchase", "view")])
+    types = F.array(*[F.lit(x) for x in ("click", "error", "signup", "purchase", "view")])
     return (
         table(spark, sf_dir, "events")
         .select("user_id", "event_type", F.row_number().over(w).alias("rn"))
@@ -198,7 +198,7 @@ view(
     """
     SELECT event_id AS doc_id, 'users:' || (user_id % 4) AS task, event_type AS gold,
            CASE WHEN event_id % 3 = 0 THEN event_type
-                ELSE ['click', 'error', 'login', 'purchase', 'view'][CAST(1 + floor(value) % 5 AS INT)] END AS pred
+                ELSE ['click', 'error', 'signup', 'purchase', 'view'][CAST(1 + floor(value) % 5 AS INT)] END AS pred
     FROM events
     """,
 )
@@ -206,7 +206,7 @@ view(
 
 def event_classes(spark, sf_dir):
     """Five-class predictions, right for at least a third of the rows."""
-    types = F.array(*[F.lit(x) for x in ("click", "error", "login", "purchase", "view")])
+    types = F.array(*[F.lit(x) for x in ("click", "error", "signup", "purchase", "view")])
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("doc_id"),
         F.concat(F.lit("users:"), (F.col("user_id") % 4).cast("string")).alias("task"),

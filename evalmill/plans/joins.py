@@ -144,11 +144,11 @@ def aggregation_lookup(spark, sf_dir):
     "version_lookup",
     """
     SELECT t.task, metric, round(value, 6) AS value, coalesce(v.version, '') AS version
-    FROM task_scores t LEFT JOIN (SELECT task, CAST(count(DISTINCT user_id) AS VARCHAR) AS version FROM scored WHERE suite <> 'login' GROUP BY task) v ON t.task = v.task
+    FROM task_scores t LEFT JOIN (SELECT task, CAST(count(DISTINCT user_id) AS VARCHAR) AS version FROM scored WHERE suite <> 'signup' GROUP BY task) v ON t.task = v.task
     """,
 )
 def version_lookup(spark, sf_dir):
-    versions = scored(spark, sf_dir).filter("suite <> 'login'").groupBy("task").agg(F.countDistinct("user_id").alias("version"))
+    versions = scored(spark, sf_dir).filter("suite <> 'signup'").groupBy("task").agg(F.countDistinct("user_id").alias("version"))
     rows = task_scores(spark, sf_dir).select("task", "metric", r6(F.col("value")).alias("value"))
     return joins.version_lookup(rows, versions)
 

@@ -219,7 +219,7 @@ def _cell(task):
 def leaderboard_pivot(spark, sf_dir):
     """Twenty subtasks shown in three columns and a gap; one score is missing."""
     rows = model_scores(spark, sf_dir).filter(~((F.col("model") == "model1") & (F.col("task") == "view:sub3")))
-    tasks = [f"{s}:sub{i}" for s in ("click", "error", "login", "purchase", "view") for i in range(4)]
+    tasks = [f"{s}:sub{i}" for s in ("click", "error", "signup", "purchase", "view") for i in range(4)]
     return boards.leaderboard(rows, tasks, max_columns=3)
 
 
