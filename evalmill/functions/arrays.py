@@ -46,3 +46,12 @@ def pick(values, positions):
 def mean_of(values):
     """Mean of an array of doubles; NULL when empty."""
     return F.when(F.size(values) > 0, array_sum(values) / F.size(values))
+
+
+def let(col, body):
+    """``body`` applied to ``col`` as a bound variable.
+
+    A Column used several times is copied into every use, so nested helpers
+    grow exponentially; a lambda variable is shared instead.
+    """
+    return F.get(F.transform(F.array(col), body), F.lit(0))

@@ -6,7 +6,7 @@ template returns a struct (query, choices, instruction, unconditioned_query).
 
 from pyspark.sql import functions as F
 
-from evalmill.functions.arrays import pick
+from evalmill.functions.arrays import let, pick
 from evalmill.functions.text import replace, rstrip, strip
 
 # Words and marks by language. Further languages are passed in
@@ -40,38 +40,45 @@ def literals(lang, table=None):
 
 
 def capitalize(text):
-    return F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
+    return let(text, lambda t: F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2))))
 
 
 def decapitalize(text):
-    return F.concat(F.lower(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
+    return let(text, lambda t: F.concat(F.lower(F.left(t, F.lit(1))), F.substr(t, F.lit(2))))
 
 
 def fix_ending_punct(text, lit):
     """Final mark in the language's own form, trailing blanks dropped."""
-    t = rstrip(text)
-    body = F.left(t, F.length(t) - 1)
-    last = F.right(t, F.lit(1))
-    out = None
-    for mark, name in (("?", "question_mark"), (".", "full_stop"), (",", "comma"), (":", "colon")):
-        fixed = F.concat(body, lit[name])
-        out = F.when(last == mark, fixed) if out is None else out.when(last == mark, fixed)
-    return out.otherwise(t)
+
+    def fixed(t):
+        last = F.right(t, F.lit(1))
+        mark = (
+            F.when(last == "?", lit["question_mark"])
+            .when(last == ".", lit["full_stop"])
+            .when(last == ",", lit["comma"])
+            .when(last == ":", lit["colon"])
+            .otherwise(last)
+        )
+        return F.concat(F.left(t, F.length(t) - 1), mark)
+
+    return let(rstrip(text), fixed)
 
 
 def ends_sentence(text, lit):
-    t = rstrip(text)
+    """The last visible character is one of the language's sentence marks."""
     names = ("question_mark", "full_stop", "exclamation_mark", "colon", "semicolon")
-    out = F.lit(False)
-    for name in names:
-        out = out | F.endswith(t, lit[name])
-    return out
+    marks = F.array(*[lit[n] for n in names])
+    return F.coalesce(F.array_contains(marks, F.right(rstrip(text), F.lit(1))), F.lit(False))
 
 
 def fix_capitalization(prefix, text, lit):
     """Capital after nothing, a newline or a sentence end; lower case otherwise."""
-    upper = (prefix == "") | prefix.endswith("\n") | ends_sentence(prefix, lit)
-    return F.when(upper, capitalize(text)).otherwise(decapitalize(text))
+
+    def cased(p):
+        upper = (p == "") | p.endswith("\n") | ends_sentence(p, lit)
+        return let(text, lambda t: F.when(upper, capitalize(t)).otherwise(decapitalize(t)))
+
+    return let(prefix, cased)
 
 
 # --- options and answers --------------------------------------------------------
@@ -108,7 +115,7 @@ def build_answers(choices, formulation, lit, prefix="Letters", sentence_space=Tr
 
 def _line(text):
     """Text and a newline, empty for NULL or empty text."""
-    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(text, F.lit("\n")))
+    return let(text, lambda t: F.when(F.coalesce(t, F.lit("")) == "", "").otherwise(F.concat(t, F.lit("\n"))))
 
 
 def _doc(query, choices, instruction, unconditioned):
@@ -146,19 +153,20 @@ def multichoice(question, choices, lit, formulation="MCF", context=None, instruc
 def continuation(context, continuations, lit, formulation="MCF", instruction=None, fix_formatting=True):
     """Context and possible endings."""
     instruction = _line(_none() if instruction is None else instruction)
-    head = capitalize(fix_ending_punct(context, lit)) if fix_formatting else context
-    texts = (
-        F.transform(continuations, lambda c: fix_capitalization(head, fix_ending_punct(c, lit), lit))
-        if fix_formatting
-        else continuations
-    )
-    if formulation == "CF":
-        space = F.when(ends_sentence(head, lit), lit["sentence_space"]).otherwise(lit["word_space"])
-        return _doc(F.concat(instruction, head), build_answers(texts, "CF", lit, sentence_space=space), instruction, F.lit(""))
-    options = _line(build_choices(texts, formulation, lit))
-    answer = F.concat(capitalize(lit["answer"]), lit["colon"])
-    query = F.concat(instruction, head, F.lit("\n"), options, answer)
-    return _doc(query, build_answers(texts, formulation, lit), instruction, answer)
+
+    def doc(head):
+        texts = continuations
+        if fix_formatting:
+            texts = F.transform(continuations, lambda c: fix_capitalization(head, fix_ending_punct(c, lit), lit))
+        if formulation == "CF":
+            space = F.when(ends_sentence(head, lit), lit["sentence_space"]).otherwise(lit["word_space"])
+            return _doc(F.concat(instruction, head), build_answers(texts, "CF", lit, sentence_space=space), instruction, F.lit(""))
+        options = _line(build_choices(texts, formulation, lit))
+        answer = F.concat(capitalize(lit["answer"]), lit["colon"])
+        query = F.concat(instruction, head, F.lit("\n"), options, answer)
+        return _doc(query, build_answers(texts, formulation, lit), instruction, answer)
+
+    return let(capitalize(fix_ending_punct(context, lit)) if fix_formatting else context, doc)
 
 
 def copa(context, cause_effect, continuations, lit, formulation="MCF"):
@@ -180,12 +188,15 @@ def hellaswag(activity, ctx_a, ctx_b, endings, lit, formulation="CF"):
     """(doc, keep): label, joined contexts and cleaned endings; keep is false when an ending is blank."""
     dot = F.concat(lit["full_stop"], lit["sentence_space"])
     label = F.when(activity == "", "").otherwise(F.concat(capitalize(activity), F.lit(":\n")))
-    a, b = (capitalize(fix_ending_punct(hellaswag_clean(c, dot, True), lit)) for c in (ctx_a, ctx_b))
-    space = F.when(ends_sentence(a, lit), lit["sentence_space"]).otherwise(lit["word_space"])
-    joined = F.when(b == "", a).otherwise(F.concat(rstrip(a), space, fix_capitalization(a, b, lit)))
+    a, b = (capitalize(fix_ending_punct(hellaswag_clean(c, strip_text=True), lit)) for c in (ctx_a, ctx_b))
+
+    def joined(head):
+        space = F.when(ends_sentence(head, lit), lit["sentence_space"]).otherwise(lit["word_space"])
+        return let(b, lambda t: F.when(t == "", head).otherwise(F.concat(rstrip(head), space, fix_capitalization(head, t, lit))))
+
     cleaned = F.transform(endings, lambda e: hellaswag_clean(e, dot, True))
     keep = F.forall(cleaned, lambda c: strip(c) != "")
-    return continuation(F.concat(label, joined), cleaned, lit, formulation, F.lit("")), keep
+    return continuation(F.concat(label, let(a, joined)), cleaned, lit, formulation, F.lit("")), keep
 
 
 # The word each relation is called by.

@@ -99,8 +99,7 @@ def filter_has_answer(spark, sf_dir):
 
 @query("filter_label_in", "SELECT id, gold FROM mcq_rows WHERE gold IN (0, 2)")
 def filter_label_in(spark, sf_dir):
-    rows = mcq_rows(spark, sf_dir).withColumn("label", F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("gold").cast("string")))
-    rows = rows.withColumn("label", F.when(F.col("label") == "x", F.col("gold").cast("string")).otherwise(F.col("label")))
+    rows = mcq_rows(spark, sf_dir).withColumn("label", F.col("gold").cast("string"))
     return dc.filter_label_in(rows, "label", [0, 2]).select("id", "gold")
 
 
@@ -163,7 +162,6 @@ def num_samples_max(spark, sf_dir):
     """,
 )
 def mcq_letters_prompt(spark, sf_dir):
-    letter = F.substring("ABCD", 1, 1)
     letter = F.get(F.array(*[L(c) for c in "ABCD"]), F.col("gold"))
     return mcq_rows(spark, sf_dir).select(
         "id",
@@ -309,7 +307,7 @@ def tmpl_copa(spark, sf_dir):
 @query(
     "tmpl_hellaswag",
     f"""
-    SELECT id, {CAP.format('subject')} || ':' || {NL} || c || CASE WHEN {ENDS} THEN sp || {CAP.format('lows[3]')} ELSE sp || lows[3] END || stop || sp || 'x' AS query,
+    SELECT id, {CAP.format('subject')} || ':' || {NL} || c || CASE WHEN {ENDS} THEN sp || {CAP.format('lows[3]')} ELSE sp || lows[3] END || '. x' AS query,
            {_texts("list_transform(lows[1:2], lambda x: lower(left(x, 1)) || substr(x, 2))")} AS choices, '' AS uncond
     FROM tmpl WHERE id % 5 <> 3
     """,
@@ -530,7 +528,7 @@ def adapt_mcq_rows(spark, sf_dir):
     WITH r AS (SELECT id, CASE WHEN gold = 0 THEN choices ELSE list_transform(list_sort(list_transform([choices[2], choices[4], choices[1] || ', ' || choices[3]], lambda c: md5(id || ':' || c) || c)), lambda x: substr(x, 33)) END AS c,
                       choices[1] || ', ' || choices[3] AS right_answer, gold, choices FROM mcq_rows)
     SELECT id, array_to_string(c, '|') AS choices, CAST(CASE WHEN gold = 0 THEN 2 ELSE list_position(c, right_answer) - 1 END AS INT) AS gold,
-           'alpha ' || choices[1] || '|beta|gamma' AS marked
+           'alpha ' || choices[1] || '|beta;|gamma' AS marked
     FROM r
     """,
 )
@@ -540,11 +538,12 @@ def multichoice_to_single(spark, sf_dir):
     one = pm.to_single_choice(F.col("id"), F.col("choices"), golds, ", ")
     text = cat("Which? ①alpha ", F.get("choices", L(0)), " ② beta; ③gamma.")
     found = pm.marked_answers(text, F.array(L("①"), L("②"), L("③")))
-    return mcq_rows(spark, sf_dir).select(
+    df = mcq_rows(spark, sf_dir).select("id", one.alias("one"), found.alias("found"))
+    return df.select(
         "id",
-        _joined(one["choices"]).alias("choices"),
-        one["gold"].alias("gold"),
-        F.concat_ws("|", found["①"], found["②"], found["③"]).alias("marked"),
+        _joined(F.col("one.choices")).alias("choices"),
+        F.col("one.gold").alias("gold"),
+        F.concat_ws("|", *[F.col("found")[m] for m in "①②③"]).alias("marked"),
     )
 
 
