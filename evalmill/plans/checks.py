@@ -1 +1,301 @@
-"""To be filled."""
+"""Instruction checks: one query per check, and the strict / loose reports.
+
+Responses are all documents plus short texts built from every part, shaped so
+that each check has followers and offenders.
+"""
+
+import json
+
+from pyspark.sql import functions as F
+
+from evalmill.functions import checks as ck
+from evalmill.functions.arrays import r6
+from evalmill.functions.text import PUNCT
+from evalmill.operators import instructions as ins
+from evalmill.plans import fixtures as fx
+from evalmill.plans.registry import query, view
+
+CITY = "ID,Country,City,Year,Count\n" + "\n".join(f"{i},X,{{name}},19{i}0,{{size}}" for i in range(1, 8))
+SPECIAL = "ProductID,Category,Brand,Price,Stock\n" + "\n".join(f'{i},c,"b & {{name}}",1,2' for i in range(1, 15))
+QUOTED = "\n".join("\t".join(f'"{x}"' for x in row) for row in (["StudentID", "Subject", "Grade", "Semester", "Score"], *[["1", "m", "A", "2", "{size}"]] * 3))
+ALPHABET = " ".join(f"{chr(65 + i)}x ran." for i in range(26))
+MCQ = "\n".join(f"Question {i}: {'why ' * i}{{name}}\nA. a\nB. b\nC. c\nD. d\nE. e" for i in range(1, 5))
+COUNTRIES = "\n".join(["Zimbabwe"] + [f"Land {c}{d}" for c in "ZYXWVU" for d in "987654321"])
+# Fixture texts; {name} and {size} are filled from the part.
+TEXTS = [
+    "{name} one. {name} two? {name} three!", "[{name}] and [{size}] here, [x]", "* {name}\n* second\n- third {size}", "My answer is yes.",
+    "*{name}* and **{size}** bold *x*", "Section 1 {name} Section 2 {size}", "{name} *** second {size} *** third", "Text about {name}.\nP.S. also {size}",
+    '{"size": {size}, "name": "{name}"}', "```json\n[1, {size}]\n```", "First {name} line.\n\nSecond, {size} line.", "{name} a******{name} b",
+    "Tell me about {name}. It is {size}.", "All done with {name}. Thanks a lot!", "<<{name}>> body {size}", "ALL CAPS HERE {size}", "all small here {size}",
+    '"{name} quoted"', "Apple bear cat dog", "level radar civic rotor kayak refer madam tenet stats solos {size}", "What?! Yes, no; ok: done. Hi! {name}",
+    "((([[{x}]]))) {size}", "\"a 'b \"c\" d' e\" {name}", "to be or not {name}", "word\nother\n{size}", "Hello {name} 😀. Bye {size} 🎉", "abc def. ghi jkl. mno pqr.",
+    "one 日本 two 語 three", "the the the {name} the the", "I told him that she and they saw it, {name}.", "Go to the end. End is far. Far away.", "red {name} red",
+    "One two. One two three. One two three four.", "a\n b\n  c {name}", 'He said "{name}" which means so. ', "-> {name} -> {size}", "<i>{name}</i> follows {size}",
+    "* {name} - sub * other - sub", "First one. Second {name}.\n* a\n* b", "14, 21, 28, 35, 42, 49", "eagle bald the is it", "it is the elgae dlab {size}",
+    ", ".join(ck.CAPITALS), CITY, SPECIAL, QUOTED, "1800-05-02, 1805-12-02", "1900-01-{size}, 1800-02-30",
+    "alpha " + "beta " * 2 + "gamma " * 3 + "delta " * 5 + "omega " * 7 + "{name}", "x key y {size} key z", "Xell me about {name}", "Only output THIS sentence",
+    "about {name}", "Title Case {size} Only", "My Answer: {name} My Conclusion: x Future Outlook: y", "no_space_{size}", ALPHABET, MCQ, COUNTRIES,
+    "Emma and Liam met Noah, or so {name} but not", "Wow! Really? Yes. {name} {size}",
+]
+
+
+def sql_text(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+SPLIT_SQL = "' ' || t || '  '"
+for _pattern, _new in ck.SENTENCE_RULES:
+    if "(?=" in _pattern:
+        SPLIT_SQL = rf"regexp_replace(regexp_replace({SPLIT_SQL}, '\.\.', '<prd><prd>', 'g'), '<prd>\.(<stop>)', '<prd><prd>\1', 'g')"
+    else:
+        SPLIT_SQL = f"regexp_replace({SPLIT_SQL}, {sql_text(_pattern)}, {sql_text(_new.replace('$', chr(92)))}, 'g')"
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
+Q = sql_text(PUNCT)
+EDGE = sql_text(PUNCT + " ")
+
+view(
+    "raw_resp",
+    f"""
+    SELECT 'd' || doc_id AS rid, text AS t, 'Tell me about ' || lang AS p FROM documents
+    UNION ALL SELECT 'p' || p_partkey, replace(replace([{", ".join(sql_text(x) for x in TEXTS)}][1 + p_partkey % {len(TEXTS)}], '{{name}}', p_name), '{{size}}', CAST(p_size AS VARCHAR)), 'Tell me about ' || p_name FROM part
+    """,
+)
+view(
+    "resp",
+    f"""
+    SELECT *, {WORDS.format('t')} AS w, {WORDS.format(f"translate(t, {Q}, '')")} AS nw, {WORDS.format(f"translate(lower(t), {Q}, '')")} AS lw,
+           {STRIP.format('t')} AS tr, translate(t, {Q}, '') AS nt,
+           CASE WHEN s0[len(s0)] = '' THEN s0[1:len(s0) - 1] ELSE s0 END AS s
+    FROM (SELECT *, list_transform(string_split({SPLIT_SQL}, '<stop>'), lambda x: {STRIP.format('x')}) AS s0 FROM raw_resp)
+    """,
+)
+
+
+def responses(spark, sf_dir):
+    """(rid, t, p): text and prompt of every response."""
+    fill = F.replace(F.replace(F.get(ck.lits(TEXTS), (F.col("p_partkey") % len(TEXTS)).cast("int")), F.lit("{name}"), F.col("p_name")), F.lit("{size}"), F.col("p_size").cast("string"))
+    ask = lambda c: F.concat(F.lit("Tell me about "), F.col(c))
+    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rid"), F.col("text").alias("t"), ask("lang").alias("p"))
+    parts = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("rid"), fill.alias("t"), ask("p_name").alias("p"))
+    return docs.unionByName(parts)
+
+
+def n_matches(pattern, col="t"):
+    return f"len(regexp_extract_all({col}, {sql_text(pattern)}))"
+
+
+def adjacent(values, test):
+    """SQL: test over neighbours a, b of a list."""
+    body = test.replace("{a}", f"({values})[i]").replace("{b}", f"({values})[i + 1]")
+    return f"len(list_filter(range(1, len({values})), lambda i: NOT coalesce({body}, false))) = 0"
+
+
+def every(values, test):
+    return f"len(list_filter({values}, lambda v: NOT coalesce({test}, false))) = 0"
+
+
+def some(values, test):
+    return f"len(list_filter({values}, lambda v: {test})) > 0"
+
+
+def occurrences(text, part):
+    return f"((length({text}) - length(replace({text}, {part}, ''))) / length({part}))"
+
+
+def sql_list(values):
+    return "[" + ", ".join(sql_text(v) for v in values) + "]"
+
+
+WORD_RE = r"[\pL\pN\pM\p{Pc}]+"
+UPPER = "upper(v) = v AND lower(v) <> v"
+STOPS = ["the", "a", "and", "of", "to", "is", "it"]
+GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+REF = "and the of to on en le la"
+SENT_WORDS = f"list_transform(s, lambda x: len({WORDS.format(f'translate(x, {Q}, {sql_text('')})')}))"
+INITIALS = "list_transform(lw, lambda x: left(x, 1))"
+CSV_FIELDS = "string_split({}, ',')"
+PARA = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: lower({STRIP.format('x')})), lambda x: x <> '')"
+FIRST = f"lower({WORDS.format(f'ltrim(x, {EDGE})')}[1])"
+LAST = f"lower({WORDS.format(f'rtrim(x, {EDGE})')}[-1])"
+CLEAN = f"list_transform(s, lambda x: {STRIP.format(f'translate(x, {Q}, {sql_text('')})')})"
+E = ck.EMOJI
+STARS = "list_transform(string_split_regex(t, '\\s?\\*\\*\\*\\s?'), lambda x: trim(x))"
+SIX = f"list_transform(string_split(t, '******'), lambda x: {STRIP.format('x')})"
+PARAS2 = "string_split(t, chr(10) || chr(10))"
+JSON_BODY = r"trim(regexp_replace(regexp_replace(tr, '^```(json|Json|JSON)?', ''), '```$', ''))"
+
+# id, arguments, SQL of the rule (None: no SQL form; the tests hold brute-force cases)
+SUITE = [
+    ("length_constraints:number_sentences", {"relation": "at least", "n": 3}, "len(s) >= 3"),
+    ("detectable_content:number_placeholders", {"n": 2}, f"{n_matches(chr(92) + '[.*?' + chr(92) + ']')} >= 2"),
+    ("detectable_format:number_bullet_lists", {"n": 3}, rf"{n_matches(r'(?m)^\s*\*[^\*].*$')} + {n_matches(r'(?m)^\s*-.*$')} = 3"),
+    ("detectable_format:constrained_response", {"options": ["My answer is yes.", "My answer is no.", "My answer is maybe."]}, "contains(t, 'My answer is yes.') OR contains(t, 'My answer is no.') OR contains(t, 'My answer is maybe.')"),
+    ("detectable_format:number_highlighted_sections", {"n": 2}, r"len(list_filter(regexp_extract_all(t, '\*[^\n\*]*\*'), lambda h: trim(replace(h, '*', '')) <> '')) + len(list_filter(regexp_extract_all(t, '\*\*[^\n\*]*\*\*'), lambda h: trim(replace(h, '*', '')) <> '')) >= 2"),
+    ("detectable_format:multiple_sections", {"splitter": "Section", "n": 2}, rf"{n_matches(chr(92) + 's?Section' + chr(92) + 's?' + chr(92) + 'd+' + chr(92) + 's?')} >= 2"),
+    ("length_constraints:number_paragraphs", {"n": 3}, f"len(list_filter({STARS}, lambda x: x <> '')) = 3 AND len({STARS}) = 3"),
+    ("detectable_content:postscript", {"marker": "P.S."}, r"regexp_matches(lower(t), 'p\.\s?s\.')"),
+    ("keywords:existence", {"keywords": ["the", "OF"]}, "contains(lower(t), 'the') AND contains(lower(t), 'of')"),
+    ("keywords:frequency", {"keyword": "the", "relation": "at least", "n": 3}, f"{occurrences('lower(t)', sql_text('the'))} >= 3"),
+    ("length_constraints:number_words", {"relation": "less than", "n": 50}, f"{n_matches(WORD_RE)} < 50"),
+    ("detectable_format:json_format", {}, f"json_valid({JSON_BODY}) AND {JSON_BODY} <> ''"),
+    ("length_constraints:nth_paragraph_first_word", {"n": 2, "nth": 2, "first_word": "second"}, f"""len(list_filter({PARAS2}, lambda x: trim(x) <> '')) = 2 AND lower(regexp_extract(trim({PARAS2}[2]), '^''*"*([^.,?!''"\\s]*)', 1)) = 'second'"""),
+    ("keywords:forbidden_words", {"words": ["bolt", "gear"]}, f"NOT list_has_any(regexp_extract_all(lower(t), {sql_text(WORD_RE)}), ['bolt', 'gear'])"),
+    ("combination:two_responses", {}, f"len({SIX}) = 2 AND len(list_filter({SIX}, lambda x: x = '')) = 0 AND {SIX}[1] <> {SIX}[2]"),
+    ("combination:repeat_prompt", {}, "starts_with(lower(tr), lower(p))"),
+    ("startend:end_checker", {"phrase": "Thanks a lot!"}, "ends_with(lower(trim(tr, '\"')), 'thanks a lot!')"),
+    ("detectable_format:title", {}, f"{some(f'regexp_extract_all(t, {sql_text("<<[^" + chr(10) + "]+>>")})', "trim(regexp_replace(v, '^<+|>+$', '', 'g')) <> ''")}"),
+    ("keywords:letter_frequency", {"letter": "e", "relation": "less than", "n": 4}, f"{occurrences('lower(t)', sql_text('e'))} < 4"),
+    ("change_case:english_capital", {}, "upper(t) = t AND lower(t) <> t"),
+    ("change_case:english_lowercase", {}, "lower(t) = t AND upper(t) <> t"),
+    ("punctuation:no_comma", {}, "NOT contains(t, ',')"),
+    ("change_case:capital_word_frequency", {"relation": "at least", "n": 2}, f"len(list_filter(w, lambda v: {UPPER})) >= 2"),
+    ("startend:quotation", {}, "length(tr) > 1 AND left(tr, 1) = '\"' AND right(tr, 1) = '\"'"),
+    ("count:word_count_range", {"low": 5, "high": 60}, f"{n_matches(WORD_RE)} BETWEEN 5 AND 60"),
+    ("count:unique_word_count", {"n": 40}, f"len(list_distinct(list_transform({WORDS.format('lower(t)')}, lambda x: trim(x, {EDGE})))) >= 40"),
+    ("ratio:stop_words", {"percent": 20, "stop_words": STOPS}, f"CASE WHEN {n_matches(WORD_RE)} > 0 THEN 100.0::DOUBLE * len(list_filter(regexp_extract_all(lower(t), {sql_text(WORD_RE)}), lambda v: list_contains({sql_list(STOPS)}, v))) / {n_matches(WORD_RE, 'lower(t)')} <= 20 END"),
+    ("ratio:sentence_type", {}, "len(list_filter(s, lambda v: ends_with(v, '.'))) = 2 * len(list_filter(s, lambda v: ends_with(v, '?')))"),
+    ("ratio:sentence_balance", {}, "len(list_filter(s, lambda v: ends_with(v, '.'))) = len(list_filter(s, lambda v: ends_with(v, '?'))) AND len(list_filter(s, lambda v: ends_with(v, '?'))) = len(list_filter(s, lambda v: ends_with(v, '!')))"),
+    ("count:conjunctions", {"n": 3}, f"len(list_distinct(list_filter(w, lambda v: list_contains({sql_list(ck.CONJUNCTIONS)}, lower(trim(v, {EDGE})))))) >= 3"),
+    ("count:person_names", {"n": 3}, f"len(list_filter({sql_list(ck.PERSON_NAMES)}, lambda v: contains(t, v))) >= 3"),
+    ("ratio:overlap", {"percent": 5, "reference": REF}, f"CASE WHEN length(t) >= 3 THEN 100.0::DOUBLE * len(list_intersect({GRAMS.format('t')}, {GRAMS.format(sql_text(REF))})) / len({GRAMS.format('t')}) BETWEEN 3 AND 7 END"),
+    ("count:numbers", {"n": 1}, f"{n_matches(chr(92) + 'd+', 'nt')} = 1"),
+    ("words:alphabet", {}, "regexp_matches(lower(left(nw[1], 1)), '[a-z]') AND len(list_filter(range(1, len(nw) + 1), lambda i: ascii(lower(left(nw[i], 1))) - 97 <> (ascii(lower(left(nw[1], 1))) - 98 + i) % 26)) = 0"),
+    ("words:vowel", {}, "NOT contains(tr, chr(10)) AND len(list_filter(['a', 'e', 'i', 'o', 'u'], lambda v: contains(lower(t), v))) <= 3"),
+    ("words:consonants", {}, every("w", "regexp_matches(lower(v), '[bcdfghjklmnpqrstvwxyz]{2}')")),
+    ("sentence:alliteration_increment", {}, None),
+    ("words:palindrome", {}, "len(list_filter(lw, lambda v: length(v) >= 5 AND reverse(v) = v)) >= 10"),
+    ("count:punctuation", {}, r"regexp_matches(t, '\?!|!\?|‽') AND len(list_filter(['.', ',', '!', '?', ';', ':'], lambda v: contains(CASE WHEN contains(t, '?!') THEN regexp_replace(t, '\?!', '') ELSE regexp_replace(t, '!\?', '') END, v))) = 6"),
+    ("format:parentheses", {}, None),
+    ("format:quotes", {}, None),
+    ("words:prime_lengths", {}, every("nw", f"list_contains({ck.PRIMES}, length(v))")),
+    ("format:options", {"strict": "false", "options": ["my answer is yes", "B"]}, f"list_contains(['my answer is yes', 'b'], lower(trim(t, {EDGE})))"),
+    ("format:newline", {}, f"len(list_filter(string_split({STRIP.format('nt')}, chr(10)), lambda x: x <> '')) = len(nw)"),
+    ("format:emoji", {}, f"len(list_filter(range(1, len(s) + 1), lambda i: ({CLEAN})[i] = '' OR NOT (regexp_matches(({CLEAN})[i], '(?s){E}.?$') OR coalesce(regexp_matches(({CLEAN})[i + 1], '^{E}'), false)))) = 0"),
+    ("ratio:sentence_words", {}, "len(s) = 3 AND length(s[1]) = length(s[2]) AND length(s[2]) = length(s[3])"),
+    ("count:words_japanese", {"n": 2}, f"len(list_filter(range(1, len(w) + 1), lambda i: i % 2 = 0 AND NOT (trim(w[i], {EDGE}) = '' OR regexp_full_match(trim(w[i], {EDGE}), '[0-9]+') OR regexp_matches(w[i], '[぀-ヿ一-鿿]')))) = 0"),
+    ("words:repeats", {"n": 3}, "coalesce(list_max(list_transform(list_distinct(lw), lambda v: len(list_filter(lw, lambda x: x = v)))), 0) <= 3"),
+    ("sentence:keyword", {"n": 2, "keyword": "The"}, "contains(lower(s[2]), 'the')"),
+    ("count:pronouns", {"n": 2}, f"len(list_filter({WORDS.format(f"translate(lower(replace(t, '/', ' ')), {Q}, '')")}, lambda v: list_contains({sql_list(ck.PRONOUNS)}, v))) >= 2"),
+    ("words:last_first", {}, f"len(list_filter(range(1, len(s)), lambda i: coalesce(list_transform(s, lambda x: {LAST})[i] <> list_transform(s, lambda x: {FIRST})[i + 1], true))) = 0"),
+    ("words:paragraph_last_first", {}, every(PARA, f"{WORDS.format(f'trim(v, {EDGE})')}[1] = {WORDS.format(f'trim(v, {EDGE})')}[-1]")),
+    ("sentence:increment", {"n": 1}, adjacent(SENT_WORDS, "{b} = {a} + 1")),
+    ("words:no_consecutive", {}, adjacent(INITIALS, "{a} <> {b}")),
+    ("format:line_indent", {}, adjacent(r"list_transform(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x, ' ')))", "{b} > {a}")),
+    ("format:quote_unquote", {}, None),
+    ("format:list", {"sep": "->"}, f"{occurrences('t', sql_text('->'))} >= 2"),
+    ("format:thesis", {}, r"regexp_matches(t, '(?s)^.*?<i>\s*[^\s<].*?</i>\s*\S')"),
+    ("format:sub-bullets", {}, every("string_split(t, '*')[2:]", "contains(v, '-')")),
+    ("format:no_bullets_bullets", {}, None),
+    ("custom:multiples", {}, r"regexp_extract_all(t, '\d+') = ['14', '21', '28', '35', '42', '49']"),
+    ("custom:mcq_count_length", {}, None),
+    ("custom:reverse_newline", {}, None),
+    ("custom:word_reverse", {}, "contains(array_to_string(list_reverse(lw), ' '), 'bald eagle')"),
+    ("custom:character_reverse", {}, "contains(lower(t), 'elgae dlab')"),
+    ("custom:sentence_alphabet", {}, "array_to_string(list_transform(s, lambda x: lower(left(ltrim(x), 1))), '') = 'abcdefghijklmnopqrstuvwxyz'"),
+    ("custom:european_capitals_sort", {}, f"list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> '') = {sql_list(ck.CAPITALS)}"),
+    ("custom:csv_city", {}, "starts_with(t, 'ID,Country,City,Year,Count' || chr(10)) AND len(string_split(t, chr(10))) = 8 AND " + every("string_split(t, chr(10))", "len(string_split(v, ',')) = 5")),
+    ("custom:csv_special_character", {}, "starts_with(t, 'ProductID,Category,Brand,Price,Stock' || chr(10)) AND len(string_split(t, chr(10))) = 15 AND contains(t, '\"b & ')"),
+    ("custom:csv_quotes", {}, "starts_with(t, '\"StudentID\"' || chr(9)) AND len(string_split(t, chr(10))) = 4 AND len(string_split(t, chr(9))) = 17"),
+    ("custom:date_format_list", {}, every("string_split(tr, ',')", r"regexp_full_match(trim(v), '\d{4}-\d{2}-\d{2}') AND CAST(left(trim(v), 4) AS INT) BETWEEN 1769 AND 1821 AND TRY_CAST(trim(v) AS DATE) IS NOT NULL")),
+    ("count:keywords_multiple", {f"keyword{i + 1}": k for i, k in enumerate(["alpha", "beta", "gamma", "delta", "omega"])}, " AND ".join(f"{occurrences('lower(t)', sql_text(k))} = {n}" for k, n in zip(["alpha", "beta", "gamma", "delta", "omega"], (1, 2, 3, 5, 7)))),
+    ("words:keywords_specific_position", {"n": 2, "m": 2, "keyword": "is"}, f"{WORDS.format('s[2]')}[2] = 'is'"),
+    ("words:words_position", {"keyword": "key"}, "w[2] = 'key' AND w[len(w) - 1] = 'key'"),
+    ("repeat:repeat_change", {}, "p <> t AND substr(p, 2) = substr(t, 2)"),
+    ("repeat:repeat_simple", {"text": "only output this sentence "}, "lower(tr) = 'only output this sentence'"),
+    ("repeat:repeat_span", {"start": 2, "stop": 5}, f"{WORDS.format('lower(t)')} = {WORDS.format('lower(p)')}[3:5]"),
+    ("format:title_case", {}, "NOT " + some("w", "left(v, 1) = lower(left(v, 1)) AND left(v, 1) <> upper(left(v, 1)) AND upper(substr(v, 2)) <> lower(substr(v, 2)) AND (lower(substr(v, 2)) = substr(v, 2) OR upper(substr(v, 2)) = substr(v, 2))")),
+    ("format:output_template", {}, "contains(t, 'My Answer:') AND contains(t, 'My Conclusion:') AND contains(t, 'Future Outlook:')"),
+    ("format:no_whitespace", {}, r"NOT regexp_matches(t, '\s')"),
+]
+
+
+def args_column(args):
+    pairs = [(k, json.dumps(v) if isinstance(v, list) else str(v)) for k, v in args.items()]
+    if not pairs:
+        return F.create_map(F.lit(""), F.lit(""))
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+
+
+def query_name(instruction):
+    return "check_" + instruction.replace(":", "_").replace("-", "_")
+
+
+def _register(instruction, args, rule):
+    def run(spark, sf_dir):
+        ok = ck.follows(instruction, F.col("t"), ck.Args(args_column(args)), F.col("p"))
+        return responses(spark, sf_dir).select("rid", ok.alias("followed"))
+
+    sql = None if rule is None else f"SELECT rid, tr <> '' AND coalesce({rule}, false) AS followed FROM resp"
+    run.__name__ = query_name(instruction)
+    run.__doc__ = f"Instruction check {instruction} over all responses."
+    query(query_name(instruction), sql)(run)
+
+
+for _instruction, _args, _rule in SUITE:
+    _register(_instruction, _args, _rule)
+
+
+# --- reports ----------------------------------------------------------------------
+
+REPORT_IDS = [
+    ("punctuation:no_comma", {}, "NOT contains(v, ',')"),
+    ("change_case:english_lowercase", {}, "lower(v) = v AND upper(v) <> v"),
+    ("format:list", {"sep": "->"}, "len(string_split(v, '->')) > 2"),
+    ("keywords:existence", {"keywords": ["the"]}, "contains(lower(v), 'the')"),
+    ("format:no_whitespace", {}, r"NOT regexp_matches(v, '\s')"),
+    ("detectable_content:number_placeholders", {"n": 1}, r"regexp_matches(v, '\[.*?\]')"),
+]
+view(
+    "graded",
+    f"""
+    WITH v AS (SELECT rid, t, string_split(t, chr(10)) AS r FROM raw_resp),
+    x AS (SELECT rid, t, {STRIP.format("array_to_string(r[2:], chr(10))")} AS f, {STRIP.format("array_to_string(r[:len(r) - 1], chr(10))")} AS l,
+                 {STRIP.format("array_to_string(CASE WHEN len(r) > 2 THEN r[2:len(r) - 1] ELSE [] END, chr(10))")} AS b FROM v),
+    y AS (SELECT rid, t, list_concat([t, f, l, b], list_transform([t, f, l, b], lambda z: replace(z, '*', ''))) AS vs FROM x),
+    z AS (SELECT rid, unnest(list_concat([t], vs)) AS v, unnest(range(0, 9)) AS i FROM y)
+    {" UNION ALL ".join(f"SELECT rid, '{n}' AS instruction_id, bool_or(i = 0 AND trim(v, ' ' || chr(10)) <> '' AND {r}) AS strict, bool_or(trim(v, ' ' || chr(10)) <> '' AND {r}) AS loose FROM z GROUP BY rid" for n, _, r in REPORT_IDS)}
+    """,
+)
+
+
+def graded(spark, sf_dir):
+    """One row per (response, instruction) with its strict and loose flags."""
+    rows = F.array(*[F.struct(F.lit(n).alias("instruction_id"), args_column({"_": "", **a}).alias("kwargs")) for n, a, _ in REPORT_IDS])
+    docs = responses(spark, sf_dir).withColumn("instructions", rows)
+    return ins.grade(docs, "rid", "t", "p", "instructions", [n for n, _, _ in REPORT_IDS])
+
+
+@query(
+    "if_strict_loose",
+    """
+    SELECT rid, CAST(bool_and(strict) AS INT) AS prompt_strict, CAST(bool_and(loose) AS INT) AS prompt_loose,
+           count(*) FILTER (strict) AS strict_n, count(*) FILTER (loose) AS loose_n FROM graded GROUP BY rid
+    """,
+)
+def if_strict_loose(spark, sf_dir):
+    return ins.per_prompt(graded(spark, sf_dir), "rid")
+
+
+@query(
+    "if_report",
+    """
+    WITH p AS (SELECT rid, bool_or(strict) AS ps, bool_or(loose) AS pl, count(*) FILTER (strict) AS s, count(*) FILTER (loose) AS l, count(*) AS n FROM graded GROUP BY rid)
+    SELECT round(avg((s = n)::INT), 6) AS prompt_strict, round(avg((l = n)::INT), 6) AS prompt_loose, round(sum(s)::DOUBLE / sum(n), 6) AS inst_strict, round(sum(l)::DOUBLE / sum(n), 6) AS inst_loose FROM p
+    """,
+)
+def if_report(spark, sf_dir):
+    out = ins.report(graded(spark, sf_dir), "rid")
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+@query(
+    "if_report_by_type",
+    """
+    SELECT split_part(instruction_id, ':', 1) AS family, coalesce(instruction_id, 'all') AS instruction_id, round(avg(strict::INT), 6) AS strict, round(avg(loose::INT), 6) AS loose, count(*) AS n
+    FROM graded GROUP BY GROUPING SETS ((split_part(instruction_id, ':', 1)), (split_part(instruction_id, ':', 1), instruction_id))
+    """,
+)
+def if_report_by_type(spark, sf_dir):
+    out = ins.report_by_type(graded(spark, sf_dir))
+    return out.select("family", "instruction_id", r6(F.col("strict")).alias("strict"), r6(F.col("loose")).alias("loose"), "n")
