@@ -8,6 +8,7 @@ only. "Words" are whitespace tokens, "sentences" the regex splitter below.
 from pyspark.sql import functions as F
 
 from evalmill.functions.arrays import let
+from evalmill.functions.ngrams import char_ngrams
 from evalmill.functions.text import PUNCT, PUNCT_CLASS, loose_variants, remove_punct, replace, strip, strip_chars, word_count, words
 
 L = F.lit
@@ -261,9 +262,7 @@ def stop_words(t, a, p):
 
 
 def char_trigrams(text):
-    n = F.length(text)
-    ids = F.when(n >= 3, F.sequence(L(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(ids, lambda i: F.substr(text, i, L(3))))
+    return F.array_distinct(char_ngrams(text, 3))
 
 
 def overlap(t, a, p):
@@ -275,13 +274,12 @@ def overlap(t, a, p):
 
 
 def alphabet_loop(t, a, p):
-    def rule(w):
-        codes = F.transform(w, lambda x: F.ascii(F.lower(initial(x))) - 97)
-        start = F.get(codes, L(0))
-        follows = F.forall(F.transform(codes, lambda c, i: c == (start + i) % 26), lambda ok: ok)
-        return start.between(0, 25) & follows
+    def rule(codes):
+        in_turn = F.forall(F.transform(codes, lambda c, i: c == (F.get(codes, L(0)) + i) % 26), lambda ok: ok)
+        return F.get(codes, L(0)).between(0, 25) & in_turn
 
-    return F.coalesce(let(plain_words(t), rule), L(False))
+    codes = F.transform(plain_words(t), lambda x: F.ascii(F.lower(initial(x))) - 97)
+    return F.coalesce(let(codes, rule), L(False))
 
 
 def alliteration(t, a, p):
@@ -359,16 +357,14 @@ def newline_words(t, a, p):
 
 
 def emoji_ends(t, a, p):
-    def rule(s):
-        clean = F.transform(s, lambda x: strip(remove_punct(x)))
-
+    def rule(clean):
         def one(x, i):
             nxt = F.coalesce(F.get(clean, i + 1), L(""))
             return (x != "") & (x.rlike(f"(?s){EMOJI}.?\\z") | nxt.rlike(f"^{EMOJI}"))
 
         return F.forall(F.transform(clean, one), lambda ok: ok)
 
-    return let(sentences(t), rule)
+    return let(F.transform(sentences(t), lambda x: strip(remove_punct(x))), rule)
 
 
 def three_equal(t, a, p):

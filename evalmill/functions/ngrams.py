@@ -2,23 +2,29 @@
 
 from pyspark.sql import functions as F
 
+from evalmill.functions.arrays import let
 from evalmill.functions.text import PUNCT_CLASS, words
 
 
+def _grams(units, n, sep):
+    """Joined runs of n units; the unit array is bound once, each gram costs n lookups."""
+
+    def build(u):
+        ids = F.when(F.size(u) >= n, F.sequence(F.lit(0), F.size(u) - n)).otherwise(F.array().cast("array<int>"))
+        parts = lambda i: [F.get(u, i + k) for k in range(n)]
+        return F.transform(ids, lambda i: F.concat_ws(sep, *parts(i)))
+
+    return let(units, build)
+
+
 def ngrams(tokens, n):
     """Space-joined n-grams of a token array, empty when it is shorter than n."""
-    if n == 1:
-        return tokens
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")
-    )
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return tokens if n == 1 else _grams(tokens, n, " ")
 
 
 def char_ngrams(text, n):
-    """Character n-grams of a text."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, grams).otherwise(F.array().cast("array<string>"))
+    """Character n-grams of a text (over its character array: a substring scans from the start)."""
+    return _grams(F.filter(F.split(text, "", -1), lambda c: c != ""), n, "")
 
 
 def alnum_tokens(text):
@@ -58,17 +64,17 @@ def token_distance(a, b):
     nothing either way). The built-in character distance then does the work in
     the JVM. Pass the shorter side as ``a``.
     """
-    vocabulary = F.array_distinct(a)
 
-    def letter(token):
-        code = F.array_position(vocabulary, token) + 0x100
-        code = F.when(code >= 0xD800, code + 0x2800).otherwise(code)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    def distance(vocabulary):
+        def letter(token):
+            code = F.array_position(vocabulary, token) + 0x100
+            code = F.when(code >= 0xD800, code + 0x2800).otherwise(code)
+            return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
-    def encoded(tokens):
-        return F.array_join(F.transform(tokens, letter), "")
+        encoded = lambda tokens: F.array_join(F.transform(tokens, letter), "")
+        return F.levenshtein(encoded(a), encoded(b))
 
-    return F.levenshtein(encoded(a), encoded(b))
+    return let(F.array_distinct(a), distance)
 
 
 def common_prefix(a, b):

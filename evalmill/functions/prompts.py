@@ -475,14 +475,19 @@ def question_blocks(kinds, texts):
     steps = F.arrays_zip(kinds.alias("kind"), texts.alias("text"))
     asked = F.filter(F.transform(kinds, lambda k, i: F.when(k == "question", i)), lambda i: i.isNotNull())
 
-    def block(q, n):
-        start = F.when(n == 0, F.lit(0)).otherwise(F.get(asked, n - 1) + 1)
-        facts = F.filter(F.slice(steps, start + 1, q - start), lambda s: s["kind"] == "supporting fact")
-        lines = F.array_join(F.transform(facts, lambda s: s["text"]), "\n")
-        query = F.concat(lines, F.lit("\nQuestion: "), F.get(texts, q), F.lit("\nAnswer: "))
-        return F.struct(q.alias("position"), query.alias("query"), F.size(facts).alias("n_facts"))
-
-    return F.transform(asked, block)
+    def blocks(bound):
+        zipped, at = bound["steps"], bound["asked"]
+
+        def block(q, n):
+            start = F.when(n == 0, F.lit(0)).otherwise(F.get(at, n - 1) + 1)
+            facts = F.filter(F.slice(zipped, start + 1, q - start), lambda s: s["kind"] == "supporting fact")
+            lines = F.array_join(F.transform(facts, lambda s: s["text"]), "\n")
+            query = F.concat(lines, F.lit("\nQuestion: "), F.get(zipped, q)["text"], F.lit("\nAnswer: "))
+            return F.struct(q.alias("position"), query.alias("query"), F.size(facts).alias("n_facts"))
+
+        return F.transform(at, block)
+
+    return let(F.struct(steps.alias("steps"), asked.alias("asked")), blocks)
 
 
 # --- source-specific row clean-up ---------------------------------------------------

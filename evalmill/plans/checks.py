@@ -27,7 +27,7 @@ TEXTS = [
     "*{name}* and **{size}** bold *x*", "Section 1 {name} Section 2 {size}", "{name} *** second {size} *** third", "Text about {name}.\nP.S. also {size}",
     '{"size": {size}, "name": "{name}"}', "```json\n[1, {size}]\n```", "First {name} line.\n\nSecond, {size} line.", "{name} a******{name} b",
     "Tell me about {name}. It is {size}.", "All done with {name}. Thanks a lot!", "<<{name}>> body {size}", "ALL CAPS HERE {size}", "all small here {size}",
-    '"{name} quoted"', "Apple bear cat dog", "level radar civic rotor kayak refer madam tenet stats solos {size}", "What?! Yes, no; ok: done. Hi! {name}",
+    '"{name} quoted"', "Apple bear cat dog", "level radar civic rotor kayak refer madam tenet stats solos {size}", "What?! Yes, no; ok: done. Hi! Who? {name}",
     "((([[{x}]]))) {size}", "\"a 'b \"c\" d' e\" {name}", "to be or not {name}", "word\nother\n{size}", "Hello {name} 😀. Bye {size} 🎉", "abc def. ghi jkl. mno pqr.",
     "one 日本 two 語 three", "the the the {name} the the", "I told him that she and they saw it, {name}.", "Go to the end. End is far. Far away.", "red {name} red",
     "One two. One two three. One two three four.", "a\n b\n  c {name}", 'He said "{name}" which means so. ', "-> {name} -> {size}", "<i>{name}</i> follows {size}",
@@ -70,6 +70,19 @@ view(
     FROM (SELECT *, list_transform(string_split({SPLIT_SQL}, '<stop>'), lambda x: {STRIP.format('x')}) AS s0 FROM raw_resp)
     """,
 )
+# The same with per-sentence and per-line lists, for rules over neighbours.
+view(
+    "resp_lists",
+    f"""
+    SELECT *, list_transform(s, lambda x: len({WORDS.format(f"translate(x, {Q}, '')")})) AS sw,
+           list_transform(lw, lambda x: left(x, 1)) AS ini,
+           list_transform(s, lambda x: lower({WORDS.format(f'ltrim(x, {EDGE})')}[1])) AS firsts,
+           list_transform(s, lambda x: lower({WORDS.format(f'rtrim(x, {EDGE})')}[-1])) AS lasts,
+           list_transform(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x, ' '))) AS ind,
+           list_transform(s, lambda x: {STRIP.format(f"translate(x, {Q}, '')")}) AS cl
+    FROM resp
+    """,
+)
 
 
 def responses(spark, sf_dir):
@@ -112,13 +125,8 @@ UPPER = "upper(v) = v AND lower(v) <> v"
 STOPS = ["the", "a", "and", "of", "to", "is", "it"]
 GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
 REF = "and the of to on en le la"
-SENT_WORDS = f"list_transform(s, lambda x: len({WORDS.format(f'translate(x, {Q}, {sql_text('')})')}))"
-INITIALS = "list_transform(lw, lambda x: left(x, 1))"
 CSV_FIELDS = "string_split({}, ',')"
 PARA = f"list_filter(list_transform(string_split(t, chr(10)), lambda x: lower({STRIP.format('x')})), lambda x: x <> '')"
-FIRST = f"lower({WORDS.format(f'ltrim(x, {EDGE})')}[1])"
-LAST = f"lower({WORDS.format(f'rtrim(x, {EDGE})')}[-1])"
-CLEAN = f"list_transform(s, lambda x: {STRIP.format(f'translate(x, {Q}, {sql_text('')})')})"
 E = ck.EMOJI
 STARS = "list_transform(string_split_regex(t, '\\s?\\*\\*\\*\\s?'), lambda x: trim(x))"
 SIX = f"list_transform(string_split(t, '******'), lambda x: {STRIP.format('x')})"
@@ -171,17 +179,17 @@ SUITE = [
     ("words:prime_lengths", {}, every("nw", f"list_contains({ck.PRIMES}, length(v))")),
     ("format:options", {"strict": "false", "options": ["my answer is yes", "B"]}, f"list_contains(['my answer is yes', 'b'], lower(trim(t, {EDGE})))"),
     ("format:newline", {}, f"len(list_filter(string_split({STRIP.format('nt')}, chr(10)), lambda x: x <> '')) = len(nw)"),
-    ("format:emoji", {}, f"len(list_filter(range(1, len(s) + 1), lambda i: ({CLEAN})[i] = '' OR NOT (regexp_matches(({CLEAN})[i], '(?s){E}.?$') OR coalesce(regexp_matches(({CLEAN})[i + 1], '^{E}'), false)))) = 0"),
+    ("format:emoji", {}, f"len(list_filter(range(1, len(s) + 1), lambda i: cl[i] = '' OR NOT (regexp_matches(cl[i], '(?s){E}.?$') OR coalesce(regexp_matches(cl[i + 1], '^{E}'), false)))) = 0"),
     ("ratio:sentence_words", {}, "len(s) = 3 AND length(s[1]) = length(s[2]) AND length(s[2]) = length(s[3])"),
     ("count:words_japanese", {"n": 2}, f"len(list_filter(range(1, len(w) + 1), lambda i: i % 2 = 0 AND NOT (trim(w[i], {EDGE}) = '' OR regexp_full_match(trim(w[i], {EDGE}), '[0-9]+') OR regexp_matches(w[i], '[぀-ヿ一-鿿]')))) = 0"),
-    ("words:repeats", {"n": 3}, "coalesce(list_max(list_transform(list_distinct(lw), lambda v: len(list_filter(lw, lambda x: x = v)))), 0) <= 3"),
+    ("words:repeats", {"n": 3}, "coalesce(list_max(map_values(list_histogram(lw))), 0) <= 3"),
     ("sentence:keyword", {"n": 2, "keyword": "The"}, "contains(lower(s[2]), 'the')"),
     ("count:pronouns", {"n": 2}, f"len(list_filter({WORDS.format(f"translate(lower(replace(t, '/', ' ')), {Q}, '')")}, lambda v: list_contains({sql_list(ck.PRONOUNS)}, v))) >= 2"),
-    ("words:last_first", {}, f"len(list_filter(range(1, len(s)), lambda i: coalesce(list_transform(s, lambda x: {LAST})[i] <> list_transform(s, lambda x: {FIRST})[i + 1], true))) = 0"),
+    ("words:last_first", {}, "len(list_filter(range(1, len(s)), lambda i: coalesce(lasts[i] <> firsts[i + 1], true))) = 0"),
     ("words:paragraph_last_first", {}, every(PARA, f"{WORDS.format(f'trim(v, {EDGE})')}[1] = {WORDS.format(f'trim(v, {EDGE})')}[-1]")),
-    ("sentence:increment", {"n": 1}, adjacent(SENT_WORDS, "{b} = {a} + 1")),
-    ("words:no_consecutive", {}, adjacent(INITIALS, "{a} <> {b}")),
-    ("format:line_indent", {}, adjacent(r"list_transform(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x, ' ')))", "{b} > {a}")),
+    ("sentence:increment", {"n": 1}, adjacent("sw", "{b} = {a} + 1")),
+    ("words:no_consecutive", {}, adjacent("ini", "{a} <> {b}")),
+    ("format:line_indent", {}, adjacent("ind", "{b} > {a}")),
     ("format:quote_unquote", {}, None),
     ("format:list", {"sep": "->"}, f"{occurrences('t', sql_text('->'))} >= 2"),
     ("format:thesis", {}, r"regexp_matches(t, '(?s)^.*?<i>\s*[^\s<].*?</i>\s*\S')"),
@@ -197,7 +205,7 @@ SUITE = [
     ("custom:csv_city", {}, "starts_with(t, 'ID,Country,City,Year,Count' || chr(10)) AND len(string_split(t, chr(10))) = 8 AND " + every("string_split(t, chr(10))", "len(string_split(v, ',')) = 5")),
     ("custom:csv_special_character", {}, "starts_with(t, 'ProductID,Category,Brand,Price,Stock' || chr(10)) AND len(string_split(t, chr(10))) = 15 AND contains(t, '\"b & ')"),
     ("custom:csv_quotes", {}, "starts_with(t, '\"StudentID\"' || chr(9)) AND len(string_split(t, chr(10))) = 4 AND len(string_split(t, chr(9))) = 17"),
-    ("custom:date_format_list", {}, every("string_split(tr, ',')", r"regexp_full_match(trim(v), '\d{4}-\d{2}-\d{2}') AND CAST(left(trim(v), 4) AS INT) BETWEEN 1769 AND 1821 AND TRY_CAST(trim(v) AS DATE) IS NOT NULL")),
+    ("custom:date_format_list", {}, every("string_split(tr, ',')", r"regexp_full_match(trim(v), '\d{4}-\d{2}-\d{2}') AND TRY_CAST(left(trim(v), 4) AS INT) BETWEEN 1769 AND 1821 AND TRY_CAST(trim(v) AS DATE) IS NOT NULL")),
     ("count:keywords_multiple", {f"keyword{i + 1}": k for i, k in enumerate(["alpha", "beta", "gamma", "delta", "omega"])}, " AND ".join(f"{occurrences('lower(t)', sql_text(k))} = {n}" for k, n in zip(["alpha", "beta", "gamma", "delta", "omega"], (1, 2, 3, 5, 7)))),
     ("words:keywords_specific_position", {"n": 2, "m": 2, "keyword": "is"}, f"{WORDS.format('s[2]')}[2] = 'is'"),
     ("words:words_position", {"keyword": "key"}, "w[2] = 'key' AND w[len(w) - 1] = 'key'"),
@@ -226,7 +234,7 @@ def _register(instruction, args, rule):
         ok = ck.follows(instruction, F.col("t"), ck.Args(args_column(args)), F.col("p"))
         return responses(spark, sf_dir).select("rid", ok.alias("followed"))
 
-    sql = None if rule is None else f"SELECT rid, tr <> '' AND coalesce({rule}, false) AS followed FROM resp"
+    sql = None if rule is None else f"SELECT rid, tr <> '' AND coalesce({rule}, false) AS followed FROM resp_lists"
     run.__name__ = query_name(instruction)
     run.__doc__ = f"Instruction check {instruction} over all responses."
     query(query_name(instruction), sql)(run)
