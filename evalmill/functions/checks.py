@@ -477,7 +477,7 @@ def mcq_count_length(t, a, p):
 
 
 def reverse_sorted_lines(t, a, p):
-    lines = F.filter(F.transform(F.split(t, "\n", -1), strip_chars), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, "\n", -1), lambda x: strip_chars(x)), lambda x: x != "")
 
     def rule(ls):
         hit = F.array_position(F.transform(ls, lambda x: F.contains(x, L("Zimbabwe"))), True).cast("int")
@@ -606,7 +606,7 @@ def conjunctions(t, a, p):
 
 FAMILY_TWO = {
     "count:word_count_range": lambda t, a, p: word_count(t).between(a.number("low"), a.number("high")),
-    "count:unique_word_count": lambda t, a, p: F.size(F.array_distinct(F.transform(words(F.lower(t)), strip_chars))) >= a.number("n"),
+    "count:unique_word_count": lambda t, a, p: F.size(F.array_distinct(F.transform(words(F.lower(t)), lambda x: strip_chars(x)))) >= a.number("n"),
     "ratio:stop_words": stop_words,
     "ratio:sentence_type": lambda t, a, p: let(sentences(t), lambda s: ends(s, ".") == 2 * ends(s, "?")),
     "ratio:sentence_balance": lambda t, a, p: let(sentences(t), lambda s: (ends(s, ".") == ends(s, "?")) & (ends(s, "?") == ends(s, "!"))),
