@@ -27,16 +27,13 @@ def to_long(df, keys, metrics):
     return df.unpivot(list(keys), list(metrics), "metric", "value")
 
 
-def poisson_weights(identity, block):
-    """Eight Poisson(1) draws from one md5 of (block, identity)."""
-    digest = F.md5(F.concat(block.cast("string"), F.lit(":"), identity.cast("string")))
-    steps = F.array(*[F.lit(s) for s in POISSON1_STEPS])
-
-    def draw(slot):
-        u = F.conv(F.substr(digest, slot * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        return F.size(F.filter(steps, lambda s: s <= u))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), draw)
+def poisson_weight(digest, slot):
+    """Poisson(1) draw from the ``slot``-th four hex digits of an md5 (eight slots)."""
+    u = F.conv(F.substr(digest, slot * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    weight = F.lit(0)
+    for step in POISSON1_STEPS:
+        weight = weight + (u >= step).cast("int")
+    return weight
 
 
 def bootstrap_replicates(df, keys, identity, sums, replicates=1000):
@@ -44,17 +41,19 @@ def bootstrap_replicates(df, keys, identity, sums, replicates=1000):
 
     A replicate gives each sample a Poisson(1) weight drawn from a hash of its
     identity, which resamples the corpus in one pass: no row index, no join
-    back. Replicates are exploded next to a partial aggregate, so what is
-    shuffled is (keys x replicates) rows per input task whatever the corpus size.
+    back. One md5 serves eight replicates. Replicates are exploded next to a
+    partial aggregate inside generated code, so what is shuffled is (keys x
+    replicates) rows per input task whatever the corpus size.
     """
     blocks = (replicates + 7) // 8
     drawn = (
         df.select(*keys, F.col(identity).alias("_id"), *[c.alias(n) for n, c in sums.items()])
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("*", F.posexplode(poisson_weights(F.col("_id"), F.col("_block"))).alias("_slot", "_w"))
-        .filter(F.col("_w") > 0)
+        .withColumn("_digest", F.md5(F.concat(F.col("_block").cast("string"), F.lit(":"), F.col("_id").cast("string"))))
+        .withColumn("_slot", F.explode(F.array(*[F.lit(i) for i in range(8)])))
         .withColumn("replicate", F.col("_block") * 8 + F.col("_slot"))
         .filter(F.col("replicate") < replicates)
+        .withColumn("_w", poisson_weight(F.col("_digest"), F.col("_slot")))
     )
     return drawn.groupBy(*keys, "replicate").agg(
         F.sum("_w").alias("weight"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums]
