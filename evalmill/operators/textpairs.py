@@ -14,19 +14,23 @@ from evalmill.functions.ngrams import char_ngrams, chrf_words, ngrams
 from evalmill.functions.pairs import cosine
 
 
-def _exploded(pairs, keys, sides):
-    """Rows (keys, side, n, gram); ``sides`` maps side -> {n: gram array Column}."""
+def _exploded(pairs, keys, sides, by=None):
+    """Rows (keys, side, n, gram); ``sides`` maps side -> {n: gram array Column}.
+
+    ``by`` names the keys to partition on (all of them unless given); later
+    groupings that contain them need no further exchange.
+    """
 
     def tagged(side, n, grams):
         return F.transform(grams, lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("gram")))
 
     parts = [tagged(side, n, grams) for side, orders in sides.items() for n, grams in orders.items()]
-    return pairs.repartition(*keys).select(*keys, F.inline(F.concat(*parts)))
+    return pairs.repartition(*(by or keys)).select(*keys, F.inline(F.concat(*parts)))
 
 
-def ngram_overlap(pairs, keys, sides):
+def ngram_overlap(pairs, keys, sides, by=None):
     """Per (keys, n): clipped matches and n-gram totals of both sides."""
-    grams = _exploded(pairs, keys, sides)
+    grams = _exploded(pairs, keys, sides, by)
     counts = grams.groupBy(*keys, "n", "gram").agg(
         F.count_if(F.col("side") == "gold").alias("g"), F.count_if(F.col("side") == "pred").alias("p")
     )

@@ -134,7 +134,7 @@ def rouge_pairs(spark, sf_dir):
         "doc_id", "task", ng.alnum_tokens(F.col("source")).alias("g"), ng.alnum_tokens(F.col("summary")).alias("p")
     )
     sides = {s: {n: ng.ngrams(F.col(c), n) for n in (1, 2)} for s, c in (("gold", "g"), ("pred", "p"))}
-    stats = tp.ngram_overlap(pairs, ["doc_id", "task"], sides)
+    stats = tp.ngram_overlap(pairs, ["doc_id", "task"], sides, by=["doc_id"])
     return stats.withColumn("f", pr.f_measure(F.col("match"), F.col("n_gold"), F.col("n_pred")))
 
 
@@ -207,7 +207,7 @@ def rouge_multi_gold(spark, sf_dir):
     rows = df.select("doc_id", F.posexplode(F.array("gold", F.concat_ws(" ", "task", "gold"))).alias("gi", "g"), "pred", "task")
     rows = rows.select("doc_id", "gi", "g", F.posexplode(F.array("pred", "task")).alias("pi", "p"))
     sides = {"gold": {1: ng.alnum_tokens(F.col("g"))}, "pred": {1: ng.alnum_tokens(F.col("p"))}}
-    stats = tp.ngram_overlap(rows, ["doc_id", "gi", "pi"], sides)
+    stats = tp.ngram_overlap(rows, ["doc_id", "gi", "pi"], sides, by=["doc_id"])
     best = stats.groupBy("doc_id", "pi").agg(F.max(pr.f_measure(F.col("match"), F.col("n_gold"), F.col("n_pred"))).alias("f"))
     return best.groupBy("doc_id").agg(r6(F.avg("f")).alias("rouge1"))
 

@@ -82,3 +82,10 @@ def test_ngram_rows_are_not_shuffled(spark):
     sides = {"gold": {1: ng.ngrams(F.col("g"), 1)}, "pred": {1: ng.ngrams(F.col("p"), 1)}}
     plan = ngram_overlap(df, ["id"], sides)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rouge_partitions_once(spark):
+    from evalmill.plans import load_all
+
+    plan = load_all()[0]["rouge_n"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
