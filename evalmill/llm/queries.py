@@ -13,10 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalmill.llm.common import table
 from evalmill.llm.ngram_join import jaccard_components
+from evalmill.llm.pu_quality import quality_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -24,6 +30,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
+        "op1_pu_quality": op1_pu_quality,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
     return found, {}
