@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalmill.llm.common import table
+from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pu_quality import quality_scores
 
@@ -23,6 +24,11 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles, longest of every contaminated document."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -31,6 +37,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
         "op1_pu_quality": op1_pu_quality,
+        "op2_greedy_tiling": op2_greedy_tiling,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
     return found, {}
