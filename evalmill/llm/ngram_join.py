@@ -9,7 +9,7 @@ pairs, each pair is verified once, and the suffix filter ends most failing verif
 Groups of copies are not expanded into all pairs. A first round pairs every document of a
 prefix group with the smallest one; their components are found; then a second round pairs
 documents of a group that are still in different components, so that no link between
-components is missed.
+components is missed. The first round may pass over a pair, the second one finds it.
 
 Rarity comes from one counter table over all shingles of all documents (a shingle's counter
 is picked by its hash; the table has a fixed size, 2 ** COUNTER_BITS). Counts are compared
@@ -129,13 +129,25 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataF
     return docs.mapInArrow(run, "tok long, doc long, pos int, n int")
 
 
-def filtered(pairs: DataFrame, percent: int) -> DataFrame:
+def filtered(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Pairs (a, b, pa, pb, na, nb), one row per shared prefix shingle -> distinct pairs that pass
-    the length and positional filters. The least places are those of the first shared shingle."""
+    the length filter and the positional filters.
+
+    Behind the first shared shingle, at (pa, pb), no more can match than either set has left.
+    If the rows are ``whole``, i.e. all shared prefix shingles of a pair are there, those before
+    the end of the shorter-reaching prefix are all counted, and at most the rest of a set,
+    ceil(t n) - 1, can match behind it.
+    """
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    one = pairs.filter(fits).groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("pa", "pb")], *[F.max(c).alias(c) for c in ("na", "nb")])
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return one.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    one = pairs.filter(fits).groupBy("a", "b").agg(
+        *[F.min(c).alias(c) for c in ("pa", "pb")], *[F.max(c).alias(c) for c in ("na", "nb")], F.count("*").alias("shared")
+    )
+    least = (F.col("na") + F.col("nb")) * percent  # 100 + percent times the overlap that a link needs
+    one = one.filter(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= least)
+    if whole:
+        rest = F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
+        one = one.filter((F.col("shared") + rest) * (100 + percent) >= least)
+    return one.select("a", "b")
 
 
 def suffix_differs(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> bool:
@@ -216,7 +228,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
     heads = groups.filter("doc = hub").select("tok", F.col("pos").alias("pb"), F.col("n").alias("nb"))
     star = groups.filter("doc <> hub").join(heads, "tok")
     star = star.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("pos").alias("pa"), "pb", F.col("n").alias("na"), "nb")
-    tried = staged(by_class(filtered(star, percent)), "star-pairs")
+    tried = staged(by_class(filtered(star, percent, False)), "star-pairs")
     links = staged(verified(docs, tried, n, percent).union(copies), "star-links")
     found = staged(components(links), "star-components")
 
@@ -227,7 +239,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
     x = members.select("tok", F.col("doc").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = members.select("tok", F.col("doc").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("la") < F.col("lb"))
-    rest = by_class(filtered(x.join(y, "tok").filter(fits), percent)).join(tried, ["a", "b"], "left_anti")
+    rest = by_class(filtered(x.join(y, "tok").filter(fits), percent, True)).join(tried, ["a", "b"], "left_anti")
     more = staged(verified(docs, staged(rest, "cross-pairs"), n, percent), "cross-links")
     found = components(links.union(more)) if more.take(1) else found
     return (
