@@ -11,11 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalmill.llm.bpe import encoded
 from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pu_quality import quality_scores
 
+#: The vocabulary of op4: a file of the public tokenizers package.
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,6 +33,17 @@ def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -38,6 +53,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
         "op1_pu_quality": op1_pu_quality,
         "op2_greedy_tiling": op2_greedy_tiling,
+        "op4_bpe_lexicon": op4_bpe_lexicon,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
     return found, {}
