@@ -16,6 +16,7 @@ from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pu_quality import quality_scores
+from evalmill.llm.substring_dedup import repeats_removed
 
 #: The vocabulary of op4: a file of the public tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
@@ -44,6 +45,11 @@ def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
 
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -54,6 +60,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op1_pu_quality": op1_pu_quality,
         "op2_greedy_tiling": op2_greedy_tiling,
         "op4_bpe_lexicon": op4_bpe_lexicon,
+        "op7_difference_cover": op7_difference_cover,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
     return found, {}
