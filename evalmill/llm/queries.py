@@ -15,6 +15,7 @@ from evalmill.llm.bpe import encoded
 from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.ngram_join import jaccard_components
+from evalmill.llm.pii import pii_report
 from evalmill.llm.pu_quality import quality_scores
 from evalmill.llm.substring_dedup import repeats_removed
 
@@ -45,6 +46,11 @@ def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
 
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts, base_sha256 and spans of every document."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
@@ -60,6 +66,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op1_pu_quality": op1_pu_quality,
         "op2_greedy_tiling": op2_greedy_tiling,
         "op4_bpe_lexicon": op4_bpe_lexicon,
+        "op6_bootstrapped_pii": op6_bootstrapped_pii,
         "op7_difference_cover": op7_difference_cover,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
