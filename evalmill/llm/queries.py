@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evalmill.llm.bpe import encoded
 from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
+from evalmill.llm.embedding_dedup import near_duplicates
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pii import pii_report
 from evalmill.llm.pu_quality import quality_scores
@@ -41,6 +42,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
@@ -65,6 +71,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
         "op1_pu_quality": op1_pu_quality,
         "op2_greedy_tiling": op2_greedy_tiling,
+        "op3_pivot_permutation": op3_pivot_permutation,
         "op4_bpe_lexicon": op4_bpe_lexicon,
         "op6_bootstrapped_pii": op6_bootstrapped_pii,
         "op7_difference_cover": op7_difference_cover,
