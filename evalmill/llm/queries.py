@@ -15,6 +15,7 @@ from evalmill.llm.bpe import encoded
 from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.embedding_dedup import near_duplicates
+from evalmill.llm.language_id import language_report
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pii import pii_report
 from evalmill.llm.pu_quality import quality_scores
@@ -52,6 +53,11 @@ def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
 
+def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts, base_sha256 and spans of every document."""
     return pii_report(table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op2_greedy_tiling": op2_greedy_tiling,
         "op3_pivot_permutation": op3_pivot_permutation,
         "op4_bpe_lexicon": op4_bpe_lexicon,
+        "op5_viterbi_language": op5_viterbi_language,
         "op6_bootstrapped_pii": op6_bootstrapped_pii,
         "op7_difference_cover": op7_difference_cover,
         "op10_ngram_jaccard": op10_ngram_jaccard,
