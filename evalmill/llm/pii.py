@@ -189,9 +189,11 @@ def pii_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, length: str | None = None) -> DataFrame:
     """All columns of every row, with each span of ``text`` replaced by its kind in brackets.
 
+    ``length`` names a column that holds the code points of the text and follows it.
+
     Spans that overlap are replaced together, by the kind of the one that starts first (ties:
     kinds in the order listed). A null text stays null.
     """
@@ -215,4 +217,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     whole = F.aggregate("_spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_key"))
     out = docs.join(hits, match, "left")
-    return out.select(*[F.when(F.col("_spans").isNull(), text).otherwise(whole).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out = out.withColumn("_out", F.when(F.col("_spans").isNull(), text).otherwise(whole))
+    new = {"text": F.col("_out").alias("text")}
+    if length:
+        new[length] = F.when(F.col("_spans").isNull(), F.col(length)).otherwise(F.length("_out")).cast(docs.schema[length].dataType).alias(length)
+    return out.select(*[new.get(c, F.col(c)) for c in docs.columns])

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evalmill.llm.bpe import encoded
+from evalmill.llm.chat_views import ROTATED_SQL, rotated
 from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.embedding_dedup import near_duplicates
 from evalmill.llm.language_id import language_report
+from evalmill.llm.main_text import main_texts
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pii import pii_report
 from evalmill.llm.pu_quality import quality_scores
@@ -68,6 +70,16 @@ def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every participant's view of every dialogue."""
+    return rotated(table(spark, sf_dir, "conversations"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -82,6 +94,8 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op5_viterbi_language": op5_viterbi_language,
         "op6_bootstrapped_pii": op6_bootstrapped_pii,
         "op7_difference_cover": op7_difference_cover,
+        "op8_tree_scoring": op8_tree_scoring,
+        "op9_perspective_rotation": op9_perspective_rotation,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
-    return found, {}
+    return found, {"op9_perspective_rotation": ROTATED_SQL}
