@@ -9,7 +9,8 @@ pairs, each pair is verified once, and the suffix filter ends most failing verif
 Groups of copies are not expanded into all pairs. A first round pairs every document of a
 prefix group with the smallest one; their components are found; then a second round pairs
 documents of a group that are still in different components, so that no link between
-components is missed. The first round may pass over a pair, the second one finds it.
+components is missed. The first round sees a pair's shared shingles only where the smallest
+document is one of the two, and so may pass over a pair; the second one finds it.
 
 Rarity comes from one counter table over all shingles of all documents (a shingle's counter
 is picked by its hash; the table has a fixed size, 2 ** COUNTER_BITS). Counts are compared
@@ -129,25 +130,23 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataF
     return docs.mapInArrow(run, "tok long, doc long, pos int, n int")
 
 
-def filtered(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
+def filtered(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, pa, pb, na, nb), one row per shared prefix shingle -> distinct pairs that pass
-    the length filter and the positional filters.
+    the length filter and the positional filter.
 
-    Behind the first shared shingle, at (pa, pb), no more can match than either set has left.
-    If the rows are ``whole``, i.e. all shared prefix shingles of a pair are there, those before
-    the end of the shorter-reaching prefix are all counted, and at most the rest of a set,
-    ceil(t n) - 1, can match behind it.
+    With a shared shingle at (pa, pb), at most min(pa, pb) others match before it, and behind
+    it no more than either set has left. All shared prefix shingles of a pair being there, those
+    before the end of the shorter-reaching prefix are all counted, and at most the rest of a
+    set, ceil(t n) - 1, can match behind it.
     """
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    one = pairs.filter(fits).groupBy("a", "b").agg(
-        *[F.min(c).alias(c) for c in ("pa", "pb")], *[F.max(c).alias(c) for c in ("na", "nb")], F.count("*").alias("shared")
-    )
-    least = (F.col("na") + F.col("nb")) * percent  # 100 + percent times the overlap that a link needs
-    one = one.filter(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= least)
-    if whole:
-        rest = F.floor((F.greatest("na", "nb") * percent + 99) / 100) - 1
-        one = one.filter((F.col("shared") + rest) * (100 + percent) >= least)
-    return one.select("a", "b")
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    least = (na + nb) * percent  # 100 + percent times the overlap that a link needs
+    most = F.least("pa", "pb") + F.least(na - F.col("pa"), nb - F.col("pb"))
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * (100 + percent) >= least)
+    rest = F.floor((F.greatest(na, nb) * percent + 99) / 100) - 1
+    need = F.ceil(least / (100 + percent)) - rest
+    counted = pairs.filter(fits).groupBy("a", "b", need.cast("int").alias("need")).agg(F.count("*").alias("shared"))
+    return counted.filter("shared >= need").select("a", "b").distinct()
 
 
 def suffix_differs(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> bool:
@@ -208,7 +207,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
     rows, counters = profile(docs, n, bits)
     classes = docs.sparkSession.sparkContext.broadcast(rarity(counters, bits))
     known = rows.filter("doc_id is not null and n_shingles > 0")
-    first = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    first = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "first-copies")
     copies = known.join(first, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     of = known.join(first, "set_key").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     copies = staged(copies.distinct(), "copies")
@@ -216,7 +215,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
 
     every = prefixes(docs.filter("doc_id is not null"), n, percent, classes, bits)
     hubs = every.groupBy("tok").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub < top")
-    groups = staged(every.join(hubs.select("tok", "hub"), "tok"), "prefix-groups")
+    # Written out, so that the join is one of two exchanges, which Spark can split by skew.
+    groups = staged(every.join(staged(hubs.select("tok", "hub"), "hubs"), "tok"), "prefix-groups")
 
     def by_class(pairs: DataFrame) -> DataFrame:
         """Pairs of representatives; pairs of copies are links already."""
@@ -228,18 +228,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
     heads = groups.filter("doc = hub").select("tok", F.col("pos").alias("pb"), F.col("n").alias("nb"))
     star = groups.filter("doc <> hub").join(heads, "tok")
     star = star.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("pos").alias("pa"), "pb", F.col("n").alias("na"), "nb")
-    tried = staged(by_class(filtered(star, percent, False)), "star-pairs")
+    tried = staged(by_class(filtered(star, percent)), "star-pairs")
     links = staged(verified(docs, tried, n, percent).union(copies), "star-links")
     found = staged(components(links), "star-components")
 
     labels = found.select(F.col("id").alias("doc"), "component")
     members = groups.join(labels, "doc", "left").select("tok", "doc", "pos", "n", F.coalesce("component", "doc").alias("label"))
+    members = staged(members, "labelled-groups")
     open_groups = members.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tok")
-    members = staged(members.join(open_groups, "tok"), "open-groups")
+    members = staged(members.join(staged(open_groups, "open-shingles"), "tok"), "open-groups")
     x = members.select("tok", F.col("doc").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = members.select("tok", F.col("doc").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("la") < F.col("lb"))
-    rest = by_class(filtered(x.join(y, "tok").filter(fits), percent, True)).join(tried, ["a", "b"], "left_anti")
+    rest = by_class(filtered(x.join(y, "tok").filter(fits), percent)).join(tried, ["a", "b"], "left_anti")
     more = staged(verified(docs, staged(rest, "cross-pairs"), n, percent), "cross-links")
     found = components(links.union(more)) if more.take(1) else found
     return (

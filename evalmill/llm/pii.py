@@ -203,9 +203,9 @@ def redacted(docs: DataFrame, length: str | None = None) -> DataFrame:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     tagged = F.concat(*[marked(n, k) for n, k in enumerate([*KINDS, "id"])])
-    hits = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.array_sort(tagged).alias("_spans"))
-    hits = staged(hits.filter(F.size("_spans") > 0).dropDuplicates(["_doc", "_key"]), "redactions")
-    text = F.col("text")
+    hits = found.select(F.col("doc_id").alias("of_doc"), "text_key", F.array_sort(tagged).alias("spans"))
+    hits = staged(hits.filter(F.size("spans") > 0).dropDuplicates(["of_doc", "text_key"]), "redactions")
+    text = F.col("row.text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(s, x):
@@ -214,11 +214,11 @@ def redacted(docs: DataFrame, length: str | None = None) -> DataFrame:
         inside = F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts"))
         return F.when(x["start"] >= s["at"], fresh).otherwise(inside)
 
-    whole = F.aggregate("_spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_key"))
-    out = docs.join(hits, match, "left")
-    out = out.withColumn("_out", F.when(F.col("_spans").isNull(), text).otherwise(whole))
-    new = {"text": F.col("_out").alias("text")}
+    whole = F.aggregate("spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    out = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no name clashes
+    match = F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("text_key"))
+    out = out.join(hits, match, "left").withColumn("new", F.when(F.col("spans").isNull(), text).otherwise(whole))
+    new = {"text": F.col("new").alias("text")}
     if length:
-        new[length] = F.when(F.col("_spans").isNull(), F.col(length)).otherwise(F.length("_out")).cast(docs.schema[length].dataType).alias(length)
-    return out.select(*[new.get(c, F.col(c)) for c in docs.columns])
+        new[length] = F.when(F.col("spans").isNull(), F.col(f"row.`{length}`")).otherwise(F.length("new")).cast(docs.schema[length].dataType).alias(length)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])

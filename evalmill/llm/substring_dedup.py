@@ -75,8 +75,11 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
-    """(h, lo): hashes that occur in several documents, with the smallest."""
-    return rows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h", "lo")
+    """(h, lo): hashes that occur in several documents, with the smallest.
+
+    Written out, so that a join with them is one of two exchanges, which Spark can split by skew.
+    """
+    return staged(rows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h", "lo"), "shared")
 
 
 def extended(rows: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(word_digests(docs), "word-digests")
-    first = rows.filter("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("first"))
+    first = staged(rows.filter("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("first")), "first-copies")
     rows = rows.join(first, "words_sha256", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False)))
     rows = staged(rows.drop("first"), "copies")
     copies = rows.groupBy(F.col("doc_id").alias("doc")).agg(F.min(F.col("copy").cast("int")).alias("all_copies")).filter("all_copies = 1").select("doc")
