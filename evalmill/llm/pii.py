@@ -4,14 +4,14 @@ Base kinds are regular expressions, read leftmost and non-overlapping over whole
 are written so that a text is scanned in linear time: a run is entered at its start only and
 never given back where nothing behind it could match.
 
-Beyond them, identifiers are learned from context. A candidate is a word with a digit; the
-two words before it, and the words on both sides, are its lexical patterns (digits as #).
-Candidates that lie in a base span are the seeds. Patterns and candidate values form a
+Beyond them, identifiers are learned from context. Base spans are the seeds; candidates are the
+other words with a digit. The two words before either, and the words on both sides, are its
+lexical patterns (digits as #). Patterns and candidate values form a
 graph; each round scores a pattern by the mean belief of its values and a value by the
 patterns that hold it, 1 - prod(1 - score). A pattern counts once enough distinct believed
 values support it and its score surely exceeds half way between the share of seeds among all
 values and 1, so that contexts which merely happen to precede a seed teach nothing.
-Candidates outside the base spans, of believed values in such patterns, are the found
+Candidates of believed values in such patterns are the found
 identifiers (kind ``id``).
 """
 
@@ -39,24 +39,46 @@ _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+
 _BLANK = r"[\x20\x09-\x0D]+"
 #: Code points on each side of a candidate that its context words are read from.
 CONTEXT = 60
+#: Numbers summed at a time.
+RUN = 128
 
 
-def positioned(text: Column, pattern: str, hint: str) -> Column:
-    """Array of (start, end, value) of the matches, in code points; starts follow from the pieces between."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern)
-    steps = F.zip_with(
-        found, F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"))
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        steps,
-        start,
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts")),
-        lambda s: s["starts"],
-    )
-    spans = F.zip_with(starts, found, lambda a, m: F.struct(a.alias("start"), (a + F.length(m)).alias("end"), m.alias("value")))
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+def before_each(sizes: Column) -> Column:
+    """Sums of the numbers before each number; by runs of RUN, so that long arrays stay cheap."""
+
+    def sums(numbers):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(numbers, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int")), lambda k: sums(F.slice(sizes, k * RUN + 1, RUN)))
+    offsets = sums(F.transform(runs, lambda r: r["at"]))["sums"]
+    moved = F.zip_with(runs, offsets, lambda r, o: F.transform(r["sums"], lambda x: x + o))
+    return F.when(F.size(sizes) > 0, F.flatten(moved)).otherwise(F.array().cast("array<int>"))
+
+
+def positioned(docs: DataFrame, column: str, pattern: str, hint: str) -> DataFrame:
+    """Adds ``column``: an array of (start, end, value, left, right) of the matches in ``_text``.
+
+    Positions are code points and follow from the pieces between the matches; left and right
+    are up to CONTEXT code points of the text on both sides, back and on to the next match at least.
+    """
+    text = F.col("_text")
+    held = text.rlike(hint)
+    none = F.array().cast("array<string>")
+    docs = docs.withColumn("_m", F.when(held, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    docs = docs.withColumn("_p", F.when(held, F.split(text, pattern)).otherwise(none))
+    pairs = F.zip_with("_m", F.slice("_p", 1, F.size("_m")), lambda m, p: F.length(p) + F.length(m))
+    docs = docs.withColumn("_at", before_each(pairs))
+
+    def span(m, k):
+        start = F.get("_at", k) + F.length(F.get("_p", k))
+        left = F.concat(F.coalesce(F.get("_p", k - 1), F.lit("")), F.coalesce(F.get("_m", k - 1), F.lit("")), F.get("_p", k))
+        right = F.concat(F.get("_p", k + 1), F.coalesce(F.get("_m", k + 1), F.lit("")))
+        return F.struct(
+            start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.right(left, F.lit(CONTEXT)).alias("left"), F.left(right, F.lit(CONTEXT)).alias("right")
+        )
+
+    return docs.withColumn(column, F.transform("_m", span)).drop("_m", "_p", "_at")
 
 
 def luhn(digits: Column) -> Column:
@@ -94,40 +116,44 @@ def joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"], F.lit(":"), s["end"]))
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds one array of (start, end, value) for each base kind."""
+def base_spans(docs: DataFrame) -> DataFrame:
+    """Adds one array of spans of ``_text`` for each base kind."""
     for kind in KINDS:
-        docs = docs.withColumn(f"_{kind}", positioned(F.col(text), PATTERNS[kind], _HINT[kind]))
+        docs = positioned(docs, f"_{kind}", PATTERNS[kind], _HINT[kind])
     for kind in KINDS:
         docs = docs.withColumn(f"_{kind}", kept(kind, f"_{kind}"))
     return docs
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``_found``: (start, end, value, seed, patterns) of the words with a digit, without outer marks."""
-    docs = docs.withColumn("_words", positioned(F.col("_text"), _CANDIDATE, "[0-9]"))
+    """Adds ``_found``: (start, end, value, seed, patterns) of the base spans, which are the seeds,
+    and of the other words with a digit, without outer marks."""
     docs = docs.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in KINDS]))
+    docs = positioned(docs, "_words", _CANDIDATE, "[0-9]")
 
-    def told(c):
-        value = F.regexp_replace(c["value"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        lead = F.length(c["value"]) - F.length(F.regexp_replace(c["value"], r"^[^\p{L}\p{N}]+", ""))
-        left = F.substring(F.col("_text"), F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT)))
-        right = F.substring(F.col("_text"), c["end"] + 1, F.lit(CONTEXT))
-        clean = lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), "[0-9]", "#"), _BLANK), lambda w: w != "")
-        before, after = clean(left), clean(right)
-        two = F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ")
-        near = F.concat_ws(" _ ", F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("")))
-        start = c["start"] + lead
-        seed = F.exists(F.col("_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(value)).alias("end"),
-            value.alias("value"),
-            seed.alias("seed"),
-            F.array(F.concat(F.lit("< "), two), F.concat(F.lit("<> "), near)).alias("patterns"),
-        )
+    def apart(w):
+        return ~F.exists(F.col("_base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+
+    def told(seed):
+        def one(c):
+            value = F.regexp_replace(c["value"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+            lead = F.length(c["value"]) - F.length(F.regexp_replace(c["value"], r"^[^\p{L}\p{N}]+", ""))
+            clean = lambda s: F.filter(F.split(F.regexp_replace(F.lower(s), "[0-9]", "#"), _BLANK), lambda w: w != "")
+            before, after = clean(c["left"]), clean(c["right"])
+            two = F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ")
+            near = F.concat_ws(" _ ", F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("")))
+            start = c["start"] + lead
+            return F.struct(
+                start.alias("start"),
+                (start + F.length(value)).alias("end"),
+                value.alias("value"),
+                F.lit(seed).alias("seed"),
+                F.array(F.concat(F.lit("< "), two), F.concat(F.lit("<> "), near)).alias("patterns"),
+            )
+
+        return one
 
-    return docs.withColumn("_found", F.transform("_words", told))
+    return docs.withColumn("_found", F.concat(F.transform("_base", told(True)), F.transform(F.filter("_words", apart), told(False))))
 
 
 def believed(edges: DataFrame, rounds: int, support: int, sure: float) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +187,9 @@ def extracted(docs: DataFrame, rounds: int = 3, support: int = 5, sure: float =
     one are read too. Found identifiers do not overlap base spans. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = candidates(base_spans(rows.withColumn("text_key", F.xxhash64("_text")), "_text"))
-    rows = staged(rows.select("doc_id", "text_key", *[F.col(f"_{k}").alias(k) for k in KINDS], "_found"), "spans")
+    rows = candidates(base_spans(rows.withColumn("text_key", F.xxhash64("_text"))))
+    short = [F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias(k) for k in KINDS]
+    rows = staged(rows.select("doc_id", "text_key", *short, "_found"), "spans")
     words = rows.select("doc_id", "text_key", F.explode("_found").alias("c")).select("doc_id", "text_key", "c.*").filter("value <> ''")
     edges = words.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"))
     patterns, beliefs = believed(staged(edges, "edges"), rounds, support, sure)
