@@ -11,20 +11,20 @@ from evalmill.functions.arrays import argmax, array_sum, at, dbl, indices, pick
 
 
 def norm_char(logprobs, choices, ignore_first_space=False):
-    """Log-probability per character of the choice text."""
+    """Log-probability per character of the choice text; null for a text without characters."""
 
     def per_char(lp, text):
         n = F.length(text)
         if ignore_first_space:
             n = F.when(text.startswith(" "), n - 1).otherwise(n)
-        return lp / n
+        return F.try_divide(lp, n)
 
     return F.zip_with(logprobs, choices, per_char)
 
 
 def norm_token(logprobs, token_counts):
-    """Log-probability per output token."""
-    return F.zip_with(logprobs, token_counts, lambda lp, n: lp / n)
+    """Log-probability per output token; null for a choice without tokens."""
+    return F.zip_with(logprobs, token_counts, lambda lp, n: F.try_divide(lp, n))
 
 
 def norm_pmi(logprobs, unconditioned):
@@ -132,8 +132,8 @@ def byte_units(text):
 
 
 def random_baseline(gold_index, choices):
-    """Chance level: golds per choice."""
-    return F.size(gold_index) / F.size(choices)
+    """Chance level: golds per choice; null without choices."""
+    return F.try_divide(F.size(gold_index), F.size(choices))
 
 
 def gold_mask(n, gold_index):

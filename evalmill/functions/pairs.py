@@ -103,7 +103,7 @@ def span_match(gold_spans, pred_spans):
 
 
 def aligned_f1(matrix):
-    """Mean F1 of the best one-to-one alignment, to two digits.
+    """Mean F1 of the best one-to-one alignment, to two digits; 0 without a span on a side.
 
     With one span on a side the best cell is the answer; only larger matrices
     go through the assignment UDF.
@@ -112,7 +112,7 @@ def aligned_f1(matrix):
     single = (n_rows == 1) | (n_cols == 1)
     best_cell = F.array_max(F.flatten(matrix))
     total = F.when(single, best_cell).otherwise(assignment_udf(matrix))
-    return F.bround(total / F.greatest(n_rows, n_cols), 2)
+    return F.coalesce(F.bround(total / F.greatest(n_rows, n_cols), 2), dbl(0))
 
 
 def f_measure(match, n_gold, n_pred):

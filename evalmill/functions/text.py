@@ -85,12 +85,25 @@ def squeeze(text):
 
 
 def remove_reasoning_tags(text, tag_pairs):
-    """Delete every start..end span, one tag pair after the other."""
+    """Delete every start..end span, one tag pair after the other.
+
+    The first span goes first, and the text is read again from its start: a tag that a deletion
+    forms counts too. Each deletion takes at least one last character of the end tag away,
+    which bounds the number of steps.
+    """
     for start, end in tag_pairs:
-        text = F.regexp_replace(text, f"(?s){_quote(start)}.*?{_quote(end)}", "")
+        steps = F.length(text) - F.length(F.replace(text, F.lit(end[-1]), F.lit("")))
+        first = f"(?s)\\A(.*?){_quote(start)}.*?{_quote(end)}"
+        cut = lambda t, _, s=start, f=first: F.when(F.contains(t, F.lit(s)), F.regexp_replace(t, f, "$1")).otherwise(t)
+        text = F.when(F.contains(text, F.lit(start)), F.aggregate(F.sequence(F.lit(0), steps), text, _two(cut))).otherwise(text)
     return text
 
 
+def _two(step):
+    """A step of two arguments, as higher-order functions ask for."""
+    return lambda t, i: step(t, i)
+
+
 def _quote(text):
     return re.escape(text)
 

@@ -27,14 +27,14 @@ def calibration_mix(sources, identity, n, seed=42):
 def chat_calibration(turns, conv, turn, role, text, n_conversations, max_tokens, seed=42):
     """First n conversations in hash order as chat text cut to ``max_tokens`` words.
 
-    A turn adds at least its role tag, so only the first ``max_tokens`` turns
+    A turn adds at least its role tag (a null role or text is empty), so only the first ``max_tokens`` turns
     of a conversation can matter; later ones are dropped below the shuffle and
     the collected list stays bounded.
     """
     ids = turns.groupBy(conv).agg(F.count("*").alias("_n"))
     chosen = ids.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(conv).cast("string"))), conv).limit(n_conversations)
     kept = top_per_task(turns.join(chosen.select(conv), conv), conv, [turn], max_tokens)
-    parts = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.concat(F.lit("<"), role, F.lit("> "), text).alias("x"))))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.concat(F.lit("<"), F.coalesce(F.col(role), F.lit("")), F.lit("> "), F.coalesce(F.col(text), F.lit(""))).alias("x"))))
     joined = kept.groupBy(conv).agg(F.array_join(F.transform(parts, lambda p: p["x"]), " ").alias("_text"))
     tokens = F.slice(F.split("_text", r"\s+", -1), 1, max_tokens)
     return joined.select(conv, tokens.alias("tokens"))

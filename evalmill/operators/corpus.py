@@ -70,13 +70,13 @@ def multi_f1(conf, keys, classes):
 
 
 def perplexities(df, keys, logprob, words, nbytes):
-    """All perplexity variants from one aggregate of sums."""
+    """All perplexity variants from one aggregate of sums; null for a group without units."""
     s, n = F.sum(logprob), F.count("*")
     return df.groupBy(*keys).agg(
         F.exp(-s / n).alias("perplexity"),
-        F.exp(-s / F.sum(words)).alias("word_perplexity"),
-        F.exp(-s / F.sum(nbytes)).alias("byte_perplexity"),
-        (-s / F.sum(nbytes) / F.log(dbl(2))).alias("bits_per_byte"),
+        F.exp(F.try_divide(-s, F.sum(words))).alias("word_perplexity"),
+        F.exp(F.try_divide(-s, F.sum(nbytes))).alias("byte_perplexity"),
+        (F.try_divide(-s, F.sum(nbytes)) / F.log(dbl(2))).alias("bits_per_byte"),
     )
 
 

@@ -75,14 +75,15 @@ def sample_per_doc(docs, pool, doc_id, pool_id, num_fewshot, unique_pool=False,
     return wanted.join(numbered, "_pos").drop("_pos")
 
 
-def attach(samples, doc_id, pool_id, num_fewshot, fields):
-    """Array of shots per document, the document itself left out.
+def attach(docs, samples, doc_id, pool_id, num_fewshot, fields):
+    """Documents with an array of shots, the document itself left out; empty where none is left.
 
     A document has at most ``num_fewshot + 1`` sample rows.
     """
     shots = samples.filter(F.col(doc_id) != F.col(pool_id))
     grouped = shots.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("fewshot"))
-    return grouped.withColumn("fewshot", F.slice("fewshot", 1, num_fewshot))
+    shots = docs.join(grouped, doc_id, "left").withColumn("fewshot", F.slice("fewshot", 1, num_fewshot))
+    return shots.withColumn("fewshot", F.coalesce("fewshot", F.array().cast(shots.schema["fewshot"].dataType)))
 
 
 def seeds(df, iterations):

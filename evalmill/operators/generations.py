@@ -66,7 +66,8 @@ def _choose_ratio(n, c, k, i):
 
 def hypergeometric_tail(n, c, k, m):
     """P(at least m of k drawn from n with c correct); 0 outside the valid range."""
-    n, k, m = F.lit(n).cast("bigint"), F.lit(k).cast("bigint"), F.lit(m).cast("bigint")
+    n = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
+    k, m = F.lit(k).cast("bigint"), F.lit(m).cast("bigint")
     c = c.cast("bigint")
     ok = (m <= F.least(c, k)) & (k <= n)
     terms = F.transform(F.sequence(m, k), lambda i: _choose_ratio(n, c, k, i))
@@ -91,12 +92,11 @@ def mg_pass_at_k(n, c, k):
     return 2.0 * total / k
 
 
-def correct_counts(df, keys, n, score=None):
-    """Per document: number of scores equal to 1 among the first n, and rows seen."""
+def correct_counts(df, keys, n=None, score=None):
+    """Per document: number of scores equal to 1 (``c``) among its n rows; the first n if given."""
     score = match_score() if score is None else score
-    return df.filter(F.col("pos") < n).groupBy(*keys).agg(
-        F.count_if(score == 1).alias("c"), F.count("*").alias("seen")
-    )
+    rows = df if n is None else df.filter(F.col("pos") < n)
+    return rows.groupBy(*keys).agg(F.count_if(score == 1).alias("c"), F.count("*").alias("n"))
 
 
 def codegen_pass_at_k(tests, problem, generation, result, ks):

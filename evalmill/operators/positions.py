@@ -11,35 +11,69 @@ plan and every re-run of a lost task sees the same ranges.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_RANGES = 64
 
+#: Rows drawn for each range to find the bounds of a text column.
+SAMPLE = 50
 
-def quantile_bounds(df, cols, ranges):
-    """Approximate quantiles of the columns, each a short sorted list."""
-    probs = [i / ranges for i in range(1, ranges)]
-    aggs = [F.percentile_approx(F.col(c).cast("double"), probs, 10000).alias(f"q{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).first()
-    return [sorted({float(x) for x in (row[f"q{i}"] or [])}) for i in range(len(cols))]
+
+def _rank(df, name):
+    """The column in a form that bounds compare with: text as it is, anything else as a number."""
+    kind, col = dict(df.dtypes)[name], F.col(name)
+    if kind == "string":
+        return col
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind.startswith("timestamp"):
+        return col.cast("timestamp").cast("double")
+    return col.cast("double")
+
+
+def default_ranges(df):
+    """Ranges that keep every task of a shuffle busy."""
+    return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _bucket(col, bounds):
-    """Number of bounds below the value, doubled, plus one on a bound."""
+
+def quantile_bounds(df, cols, ranges):
+    """Approximate quantiles of the columns, each a short sorted list.
+
+    Numbers by one aggregate; text by the rows that come first in the order of a hash of all
+    ``cols``, SAMPLE for each range.
+    """
+    probs = [i / ranges for i in range(1, ranges)]
+    text = [c for c in cols if dict(df.dtypes)[c] == "string"]
+    numbers = [c for c in cols if c not in text]
+    found = {}
+    if numbers:
+        aggs = [F.percentile_approx(_rank(df, c), probs, 10000).alias(f"q{i}") for i, c in enumerate(numbers)]
+        row = df.agg(*aggs).first()
+        found |= {c: sorted({float(x) for x in (row[f"q{i}"] or [])}) for i, c in enumerate(numbers)}
+    for c in text:
+        drawn = df.select(c, F.xxhash64(*cols).alias("_h")).filter(F.col(c).isNotNull()).orderBy("_h", c).limit(SAMPLE * ranges)
+        values = sorted(r[0] for r in drawn.select(c).collect())
+        found[c] = sorted({values[int(p * len(values))] for p in probs}) if values else []
+    return [found[c] for c in cols]
+
+
+def _bucket(v, bounds):
+    """Number of bounds below the value, doubled, plus one on a bound; -1 for null, which comes first."""
     if not bounds:
-        return F.lit(0)
+        return F.when(v.isNull(), -1).otherwise(0)
     arr = F.array(*[F.lit(b) for b in bounds])
-    v = col.cast("double")
-    return (2 * F.size(F.filter(arr, lambda b: b < v)) + F.array_contains(arr, v).cast("int")).cast("int")
+    found = (2 * F.size(F.filter(arr, lambda b: b < v)) + F.array_contains(arr, v).cast("int")).cast("int")
+    return F.when(v.isNull(), -1).otherwise(found)
 
 
-def range_buckets(df, key, tie, ranges=DEFAULT_RANGES):
-    """Add ``_b`` and ``_t``: ordered ranges of the key and, on bound values, of the tie."""
+def range_buckets(df, key, tie, ranges=None):
+    """Add ``_b`` and ``_t``: ordered ranges of the key and, on bound values and nulls, of the tie."""
+    ranges = ranges or default_ranges(df)
     key_bounds, tie_bounds = quantile_bounds(df, [key, tie], ranges)
-    b = _bucket(F.col(key), key_bounds)
-    t = F.when(b % 2 == 1, _bucket(F.col(tie), tie_bounds)).otherwise(F.lit(0))
+    b = _bucket(_rank(df, key), key_bounds)
+    t = F.when((b % 2 == 1) | (b == -1), _bucket(_rank(df, tie), tie_bounds)).otherwise(F.lit(0))
     return df.withColumn("_b", b).withColumn("_t", t)
 
 
-def global_running_sum(df, key, tie, amount, part=(), ranges=DEFAULT_RANGES, out="running"):
+def global_running_sum(df, key, tie, amount, part=(), ranges=None, out="running"):
     """Inclusive running sum of ``amount`` in (key, tie) order, per ``part``."""
     part = list(part)
     cut = range_buckets(df, key, tie, ranges)
@@ -55,7 +89,7 @@ def global_running_sum(df, key, tie, amount, part=(), ranges=DEFAULT_RANGES, out
     )
 
 
-def global_positions(df, key, tie, part=(), ranges=DEFAULT_RANGES, out="position"):
+def global_positions(df, key, tie, part=(), ranges=None, out="position"):
     """Zero-based row number in (key, tie) order, per ``part``."""
     ones = df.withColumn("_one", F.lit(1).cast("long"))
     numbered = global_running_sum(ones, key, tie, "_one", part, ranges, out)

@@ -158,10 +158,15 @@ def faithfulness(nli, doc, gen, ent, con, settings):
     return chunks.groupBy(doc).agg(*[agg[o](n).alias(n) for n, (_, o) in settings.items()])
 
 
-def nli_pairs(docs, source_chunks, summary_chunks, max_source=100):
-    """One row per (source chunk, summary chunk) of a document; the source list is capped."""
+def nli_pairs(docs, source_chunks, summary_chunks, max_source=None):
+    """One row per (source chunk, summary chunk) of a document.
+
+    ``max_source`` keeps the first chunks of the source only; by default all are kept.
+    """
+    if max_source is not None:
+        source_chunks = F.slice(source_chunks, 1, max_source)
     return (
-        docs.withColumn("_src", F.slice(source_chunks, 1, max_source))
+        docs.withColumn("_src", source_chunks)
         .withColumn("_gen", summary_chunks)
         .select("*", F.posexplode("_src").alias("src_ix", "premise"))
         .select("*", F.posexplode("_gen").alias("gen_ix", "hypothesis"))

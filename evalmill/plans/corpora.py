@@ -62,9 +62,9 @@ def _stream(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+", -1).alias("tokens"))
 
 
-def _half(spark, sf_dir):
-    """Half of all tokens as the budget, so the job grows with the table."""
-    return int(_stream(spark, sf_dir).agg(F.sum(F.size("tokens"))).first()[0]) // 2
+def _total(spark, sf_dir):
+    """Number of all tokens."""
+    return int(_stream(spark, sf_dir).agg(F.sum(F.size("tokens"))).first()[0])
 
 
 BUDGET = "(SELECT count(*) // 2 FROM token_rows)"
@@ -77,18 +77,18 @@ BUDGET = "(SELECT count(*) // 2 FROM token_rows)"
     """,
 )
 def token_budget(spark, sf_dir):
-    out = co.token_budget(_stream(spark, sf_dir), "doc_id", "tokens", _half(spark, sf_dir))
+    out = co.token_budget(_stream(spark, sf_dir), "doc_id", "tokens", _total(spark, sf_dir) // 2)
     return out.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "start", F.md5(F.array_join("tokens", " ")).alias("token_hash"))
 
 
-SPLIT = f"""
-    WITH b AS (SELECT *, {BUDGET} AS total, CAST(floor(0.9::DOUBLE * {BUDGET}) AS BIGINT) AS cut FROM token_rows WHERE p < {BUDGET}),
+SPLIT = """
+    WITH b AS (SELECT *, CAST(floor(0.9::DOUBLE * (SELECT count(*) FROM token_rows)) AS BIGINT) AS cut FROM token_rows),
     s AS (SELECT doc_id, t, CASE WHEN p < cut THEN 'train' ELSE 'val' END AS split, CASE WHEN p < cut THEN p ELSE p - cut END AS p FROM b)
 """
 
 
 def _split(spark, sf_dir):
-    total = _half(spark, sf_dir)
+    total = _total(spark, sf_dir)
     stream = co.token_budget(_stream(spark, sf_dir), "doc_id", "tokens", total)
     return co.train_val_by_tokens(stream, "doc_id", "tokens", total)
 

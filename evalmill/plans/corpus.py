@@ -92,7 +92,7 @@ def _gram_sql(n):
     "bleu_corpus",
     f"""
     WITH t AS (SELECT task, doc_id, {WORDS.format('source')} AS t, 'g' AS side FROM text_pairs
-               UNION ALL SELECT task, doc_id, {WORDS.format("substr(source, 1, 200) || ' ' || summary")}, 'p' FROM text_pairs),
+               UNION ALL SELECT task, doc_id, {WORDS.format("source || ' ' || summary")}, 'p' FROM text_pairs),
     grams AS ({" UNION ALL ".join(_gram_sql(n) for n in (1, 2, 3, 4))}),
     c AS (SELECT task, doc_id, n, gram, count(*) FILTER (side = 'g') AS g, count(*) FILTER (side = 'p') AS p FROM grams GROUP BY ALL),
     s AS (SELECT task, n, sum(least(g, p))::DOUBLE AS m, sum(p)::DOUBLE AS t FROM c GROUP BY task, n),
@@ -102,8 +102,8 @@ def _gram_sql(n):
     """,
 )
 def bleu_corpus(spark, sf_dir):
-    """Prediction: the source's opening and the summary; every order has matches here."""
-    pred = F.concat(F.substr("source", F.lit(1), F.lit(200)), F.lit(" "), "summary")
+    """Prediction: the source and the summary; every order has matches here."""
+    pred = F.concat("source", F.lit(" "), "summary")
     df = fx.text_pairs(spark, sf_dir).select("task", "doc_id", tx.words(F.col("source")).alias("g"), tx.words(pred).alias("p"))
     return _rounded(tp.corpus_bleu(df, ["doc_id"], "task", F.col("g"), F.col("p")).select("task", "bleu"), "bleu")
 

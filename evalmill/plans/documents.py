@@ -64,12 +64,12 @@ def _doc_columns(df, doc, extra=()):
 @query(
     "build_docs",
     """
-    SELECT doc_id, 'Q: ' || left(text, 40) AS query, lang AS task, 100 AS generation_size FROM documents WHERE n_chars > 200
+    SELECT doc_id, 'Q: ' || text AS query, lang AS task, 100 AS generation_size FROM documents WHERE trim(text) <> ''
     """,
 )
 def build_docs(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "documents")
-    text = F.when(F.col("n_chars") > 200, cat("Q: ", F.left("text", L(40))))
+    text = F.when(F.trim("text") != "", cat("Q: ", F.col("text")))
     return dc.build_docs(rows, {"query": text, "task": F.col("lang")}, "doc_id", {"generation_size": 100})
 
 

@@ -60,14 +60,15 @@ def fewshot_sampling(spark, sf_dir):
     "fewshot_attach",
     DRAWS
     + """
-    SELECT doc_id, array_to_string(list(item_id ORDER BY r)[1:3], ',') AS shots FROM s WHERE doc_id <> item_id GROUP BY doc_id
+    , o AS (SELECT doc_id, array_to_string(list(item_id ORDER BY r)[1:3], ',') AS shots FROM s WHERE doc_id <> item_id GROUP BY doc_id)
+    SELECT doc_id, coalesce(shots, '') AS shots FROM documents LEFT JOIN o USING (doc_id)
     """,
 )
 def fewshot_attach(spark, sf_dir):
     """Only ids travel through the sample; the shots' texts would be joined last."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id")
     samples = fs.sample_per_doc(docs, pool(spark, sf_dir).select("item_id"), "doc_id", "item_id", 3, seed=7)
-    out = fs.attach(samples, "doc_id", "item_id", 3, ["item_id"])
+    out = fs.attach(docs, samples, "doc_id", "item_id", 3, ["item_id"])
     return out.select("doc_id", F.array_join(F.transform("fewshot", lambda s: s["item_id"].cast("string")), ",").alias("shots"))
 
 
@@ -95,12 +96,12 @@ def fewshot_split_choice(spark, sf_dir):
 @query(
     "glue_fixed_fewshot",
     """
-    WITH r AS (SELECT doc_id, lang, left(text, 20) || '=' || n_chars || ';' AS ex, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+    WITH r AS (SELECT doc_id, lang, text || '=' || n_chars || ';' AS ex, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
     p AS (SELECT lang, string_agg(ex, '' ORDER BY doc_id) AS prefix FROM r WHERE rn <= 3 GROUP BY lang)
     SELECT doc_id, lang AS task, md5(prefix) AS prefix_hash FROM r JOIN p USING (lang) WHERE rn > 3
     """,
 )
 def glue_fixed_fewshot(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task"), F.left("text", F.lit(20)).alias("head"), "n_chars")
-    example = F.concat("head", F.lit("="), F.col("n_chars").cast("string"), F.lit(";"))
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task"), "text", "n_chars")
+    example = F.concat("text", F.lit("="), F.col("n_chars").cast("string"), F.lit(";"))
     return fs.fixed_prefix(rows, "task", "doc_id", example, 3).select("doc_id", "task", F.md5("prefix").alias("prefix_hash"))

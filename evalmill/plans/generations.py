@@ -1,6 +1,5 @@
 """Queries over sampled generations."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalmill.functions import text as tx
@@ -50,12 +49,12 @@ def maj_at_n(spark, sf_dir):
 
 
 COUNTS = "SELECT task, doc_id, count(*) AS n, count(*) FILTER (answer = gold) AS c FROM generations GROUP BY task, doc_id"
-FACT = "CAST(factorial(CAST({} AS INT)) AS DOUBLE)"
 
 
 def _choose(a, b):
-    f = lambda x: FACT.format(x)
-    return f"({f(a)} / ({f(b)} * {f(f'({a}) - ({b})')}))"
+    """Binomial coefficient through log-gamma, which does not overflow."""
+    f = lambda x: f"lgamma(greatest(CAST({x} AS DOUBLE), 0) + 1)"
+    return f"exp({f(a)} - {f(b)} - {f(f'({a}) - ({b})')})"
 
 
 def _tail(n, c, k, m):
@@ -71,37 +70,37 @@ def _tail(n, c, k, m):
     "pass_at_k",
     f"""
     WITH c AS ({COUNTS})
-    SELECT task, doc_id, {", ".join(f"round(CASE WHEN 16 - c < {k} THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - {_choose('16 - c', k)} / {_choose('16', k)} END, 6) AS pass_{k}" for k in (1, 4, 8))} FROM c
+    SELECT task, doc_id, {", ".join(f"round(CASE WHEN n - c < {k} THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - {_choose('n - c', k)} / {_choose('n', k)} END, 6) AS pass_{k}" for k in (1, 4, 8))} FROM c
     """,
 )
 def pass_at_k(spark, sf_dir):
     """The oracle uses the binomial form 1 - C(n-c, k) / C(n, k)."""
-    counts = gen.correct_counts(fx.generations(spark, sf_dir), KEYS, 16)
-    return counts.select(*KEYS, *[r6(gen.pass_at_k(16, F.col("c"), k)).alias(f"pass_{k}") for k in (1, 4, 8)])
+    counts = gen.correct_counts(fx.generations(spark, sf_dir), KEYS)
+    return counts.select(*KEYS, *[r6(gen.pass_at_k(F.col("n"), F.col("c"), k)).alias(f"pass_{k}") for k in (1, 4, 8)])
 
 
 @query(
     "g_pass_at_k",
     f"""
     WITH c AS ({COUNTS})
-    SELECT task, doc_id, {", ".join(f'round({_tail("16", "c", 4, m)}, 6) AS "g_pass_4_{t}"' for t, m in ((0.0, 1), (0.25, 1), (0.5, 2), (0.75, 3), (1.0, 4)))} FROM c
+    SELECT task, doc_id, {", ".join(f'round({_tail("n", "c", 4, m)}, 6) AS "g_pass_4_{t}"' for t, m in ((0.0, 1), (0.25, 1), (0.5, 2), (0.75, 3), (1.0, 4)))} FROM c
     """,
 )
 def g_pass_at_k(spark, sf_dir):
-    counts = gen.correct_counts(fx.generations(spark, sf_dir), KEYS, 16)
-    return counts.select(*KEYS, *[r6(v).alias(n) for n, v in gen.g_pass_at_k(16, F.col("c"), 4).items()])
+    counts = gen.correct_counts(fx.generations(spark, sf_dir), KEYS)
+    return counts.select(*KEYS, *[r6(v).alias(n) for n, v in gen.g_pass_at_k(F.col("n"), F.col("c"), 4).items()])
 
 
 @query(
     "mg_pass_at_k",
     f"""
     WITH c AS ({COUNTS})
-    SELECT task, doc_id, round(2.0::DOUBLE / 4 * ({_tail("16", "c", 4, 3)} + {_tail("16", "c", 4, 4)}), 6) AS mg_pass_4 FROM c
+    SELECT task, doc_id, round(2.0::DOUBLE / 4 * ({_tail("n", "c", 4, 3)} + {_tail("n", "c", 4, 4)}), 6) AS mg_pass_4 FROM c
     """,
 )
 def mg_pass_at_k(spark, sf_dir):
-    counts = gen.correct_counts(fx.generations(spark, sf_dir), KEYS, 16)
-    return counts.select(*KEYS, r6(gen.mg_pass_at_k(16, F.col("c"), 4)).alias("mg_pass_4"))
+    counts = gen.correct_counts(fx.generations(spark, sf_dir), KEYS)
+    return counts.select(*KEYS, r6(gen.mg_pass_at_k(F.col("n"), F.col("c"), 4)).alias("mg_pass_4"))
 
 
 @query(
@@ -124,7 +123,7 @@ def codegen_pass_at_k(spark, sf_dir):
 @query(
     "epoch_reducer",
     f"""
-    WITH s AS (SELECT doc_id, (answer = gold)::DOUBLE + (pos % 3) / 4.0::DOUBLE AS v FROM generations WHERE pos < 6),
+    WITH s AS (SELECT doc_id, (answer = gold)::DOUBLE + (pos % 3) / 4.0::DOUBLE AS v FROM generations),
     m AS (SELECT doc_id, v FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, v DESC) AS rn FROM s GROUP BY doc_id, v) WHERE rn = 1),
     a AS (SELECT doc_id, avg(v) AS mean, median(v) AS median, max(v) AS mx, count(*) AS n, count(*) FILTER (v >= 1) AS c FROM s GROUP BY doc_id)
     SELECT a.doc_id, round(mean, 6) AS mean, round(median, 6) AS median, mx AS "max", CASE WHEN c >= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS at_least_n,
@@ -133,7 +132,7 @@ def codegen_pass_at_k(spark, sf_dir):
     """,
 )
 def epoch_reducer(spark, sf_dir):
-    df = fx.generations(spark, sf_dir, 6)
+    df = fx.generations(spark, sf_dir)
     v = (F.col("answer") == F.col("gold")).cast("double") + (F.col("pos") % 3) / 4.0
     out = gen.epoch_reducer(df.select("doc_id", v.alias("v")), ["doc_id"], "v", n=2, k=2)
     return out.select("doc_id", r6(F.col("mean")).alias("mean"), r6(F.col("median")).alias("median"), "max", "at_least_n", r6(F.col("pass_at_k")).alias("pass_at_k"), "mode")
@@ -142,8 +141,8 @@ def epoch_reducer(spark, sf_dir):
 view(
     "judged_turns",
     """
-    SELECT conv_id, turn // 2 AS pair, string_agg(text, '') FILTER (role = 'user') AS question, string_agg(text, '') FILTER (role = 'assistant') AS answer
-    FROM conversations WHERE role IN ('user', 'assistant') AND turn < 4 GROUP BY conv_id, turn // 2
+    SELECT conv_id, turn // 2 AS pair, max(text) FILTER (role = 'user') AS question, max(text) FILTER (role = 'assistant') AS answer
+    FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, turn // 2
     """,
 )
 
@@ -151,39 +150,27 @@ view(
 @query(
     "multi_turn_scores",
     """
-    WITH p AS (SELECT *, lag(question) OVER (PARTITION BY conv_id ORDER BY pair) AS q0, lag(answer) OVER (PARTITION BY conv_id ORDER BY pair) AS a0 FROM judged_turns WHERE pair < 2),
-    s AS (SELECT conv_id, pair, CASE WHEN pair = 0 THEN concat('Question: ', question, chr(10), 'Answer: ', answer)
-                 ELSE concat('Question: ', q0, chr(10), 'Answer: ', a0, chr(10), 'Question: ', question, chr(10), 'Answer: ', answer) END AS prompt, length(answer) % 10 AS score FROM p)
-    SELECT conv_id, md5(max(prompt) FILTER (pair = 0)) AS prompt_1, coalesce(md5(max(prompt) FILTER (pair = 1)), '') AS prompt_2,
-           CAST(coalesce(max(score) FILTER (pair = 0), -1) AS INT) AS judge_score_turn_1, CAST(coalesce(max(score) FILTER (pair = 1), -1) AS INT) AS judge_score_turn_2
-    FROM s GROUP BY conv_id
+    WITH p AS (SELECT *, lag(pair) OVER w AS p0, lag(question) OVER w AS q0, lag(answer) OVER w AS a0 FROM judged_turns WINDOW w AS (PARTITION BY conv_id ORDER BY pair)),
+    s AS (SELECT conv_id, pair, concat(CASE WHEN p0 = pair - 1 THEN concat('Question: ', q0, chr(10), 'Answer: ', a0, chr(10)) ELSE '' END, 'Question: ', question, chr(10), 'Answer: ', answer) AS prompt,
+                 length(answer) % 10 AS score FROM p)
+    SELECT conv_id, CAST(pair AS INT) AS pair, md5(prompt) AS prompt_hash, CAST(coalesce(score, -1) AS INT) AS judge_score FROM s
     """,
 )
 def multi_turn_scores(spark, sf_dir):
-    """Two judged exchanges per dialogue: user and assistant rows of turns 0-1 and 2-3.
+    """Every judged exchange of a dialogue, a user and an assistant row, with the exchange before it.
 
-    The turn bound is the feature (two-turn dialogues), so a dialogue brings at
-    most two rows to the window and to the pivot.
+    The exchange before is joined by its number, so a long dialogue is no group of its own.
     """
-    conv = fx.table(spark, sf_dir, "conversations").filter("turn < 4 AND role IN ('user', 'assistant')")
+    conv = fx.table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
     part = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
     turns = conv.groupBy("conv_id", F.floor(F.col("turn") / 2).cast("int").alias("pair")).agg(
         part("user").alias("question"), part("assistant").alias("answer")
     )
-    w = W.partitionBy("conv_id").orderBy("pair")
     none = F.lit("")
     block = lambda q, a: F.concat(F.lit("Question: "), F.coalesce(q, none), F.lit("\nAnswer: "), F.coalesce(a, none))
-    q, a = F.col("question"), F.col("answer")
-    prompt = F.when(F.col("pair") == 0, block(q, a)).otherwise(
-        F.concat(block(F.lag("question").over(w), F.lag("answer").over(w)), F.lit("\n"), block(q, a))
-    )
+    own = block(F.col("question"), F.col("answer"))
+    before = turns.select("conv_id", (F.col("pair") + 1).alias("pair"), F.concat(own, F.lit("\n")).alias("before"))
     verdict = F.concat(F.lit("<score> "), (F.length("answer") % 10).cast("string"), F.lit(" </score>"))
-    judged = turns.select("conv_id", "pair", prompt.alias("prompt"), tx.verdict_score(verdict).alias("score"), F.col("answer").isNotNull().alias("has"))
-    at = lambda c, i: F.max(F.when(F.col("pair") == i, c))
-    score = F.when(F.col("has"), F.col("score"))
-    return judged.groupBy("conv_id").agg(
-        F.md5(at(F.col("prompt"), 0)).alias("prompt_1"),
-        F.coalesce(F.md5(at(F.col("prompt"), 1)), none).alias("prompt_2"),
-        F.coalesce(at(score, 0), F.lit(-1)).alias("judge_score_turn_1"),
-        F.coalesce(at(score, 1), F.lit(-1)).alias("judge_score_turn_2"),
-    )
+    judged = turns.join(before, ["conv_id", "pair"], "left").withColumn("prompt", F.concat(F.coalesce("before", none), own))
+    score = F.when(F.col("answer").isNotNull(), tx.verdict_score(verdict))
+    return judged.select("conv_id", "pair", F.md5("prompt").alias("prompt_hash"), F.coalesce(score, F.lit(-1)).alias("judge_score"))

@@ -41,11 +41,11 @@ def load_mcq_csv(spark, sf_dir):
     return rd.load_mcq_csv(spark, path).select("question", F.concat_ws("|", "a", "d").alias("ends"), "answer", "subject")
 
 
-@query("load_dataset", "SELECT doc_id, n_chars, lang AS split FROM documents WHERE lang IN ('en', 'fr')")
+@query("load_dataset", "SELECT doc_id, n_chars, lang AS split FROM documents")
 def load_dataset(spark, sf_dir):
     path = _folder(spark, "dataset")
     fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("split")).write.partitionBy("split").parquet(path)
-    return rd.load_dataset(spark, path, ["en", "fr"])
+    return rd.load_dataset(spark, path, ["de", "en", "es", "fr"])
 
 
 @query(

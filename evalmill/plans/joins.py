@@ -75,12 +75,12 @@ def cache_fetch(spark, sf_dir):
     "cache_merge",
     """
     SELECT doc_id, CAST(quality AS BIGINT) AS answer, 'old' AS origin FROM labels
-    UNION ALL SELECT doc_id, n_chars, 'new' FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT doc_id, n_chars, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
     """,
 )
 def cache_merge(spark, sf_dir):
     old = _cache(spark, sf_dir).select("doc_id", F.col("quality").cast("long").alias("answer"), F.lit("old").alias("origin"))
-    new = _docs(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id", F.col("n_chars").alias("answer"), F.lit("new").alias("origin"))
+    new = _docs(spark, sf_dir).select("doc_id", F.col("n_chars").alias("answer"), F.lit("new").alias("origin"))
     return joins.cache_merge(old, new, ("doc_id",))
 
 
@@ -102,8 +102,8 @@ def cache_valid_rows(spark, sf_dir):
 @query(
     "compare_runs",
     """
-    WITH a AS (SELECT task, doc_id, pos, answer FROM generations WHERE pos < 8 AND doc_id % 10 <> 3),
-         b AS (SELECT task, doc_id, pos - 8 AS pos, answer FROM generations WHERE pos >= 8 AND doc_id % 10 <> 4)
+    WITH a AS (SELECT task, doc_id, pos, answer FROM generations WHERE pos % 2 = 0),
+         b AS (SELECT task, doc_id, pos - 1 AS pos, answer FROM generations WHERE pos % 2 = 1 UNION ALL SELECT task, doc_id, -1, answer FROM generations WHERE pos = 0)
     SELECT task, doc_id, pos, CASE WHEN b.answer IS NULL THEN 'a' WHEN a.answer IS NULL THEN 'b' ELSE '' END AS only_in,
            coalesce(a.answer, '') AS answer_a, coalesce(b.answer, '') AS answer_b, a.answer IS NOT DISTINCT FROM b.answer AS answer_same
     FROM a FULL JOIN b USING (task, doc_id, pos)
@@ -111,8 +111,9 @@ def cache_valid_rows(spark, sf_dir):
 )
 def compare_runs(spark, sf_dir):
     g = fx.generations(spark, sf_dir).select("task", "doc_id", "pos", "answer")
-    a = g.filter("pos < 8 AND doc_id % 10 <> 3")
-    b = g.filter("pos >= 8 AND doc_id % 10 <> 4").withColumn("pos", F.col("pos") - 8)
+    """Even and odd positions as two runs; an odd number of events, or the first one, is missing on a side."""
+    a = g.filter("pos % 2 = 0")
+    b = g.filter("pos % 2 = 1").withColumn("pos", F.col("pos") - 1).union(g.filter("pos = 0").withColumn("pos", F.lit(-1).cast("long")))
     out = joins.compare_runs(a, b, ["task", "doc_id", "pos"], ["answer"])
     return out.fillna("", ["answer_a", "answer_b"])
 

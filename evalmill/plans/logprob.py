@@ -22,7 +22,7 @@ IX = "lambda i: {}"
              count(*) FILTER (is_gold) OVER (PARTITION BY task, doc_id) AS n_gold
       FROM choice_scores),
     docs AS (SELECT task, CASE WHEN is_gold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc, n_gold / n AS base
-             FROM ranked WHERE rn = 1 AND n >= 2)
+             FROM ranked WHERE rn = 1)
     SELECT task, count(*) AS n, round(avg(acc), 6) AS acc,
            round(stddev_samp(acc) / sqrt(count(*)), 6) AS acc_stderr,
            round(avg(base), 6) AS random_baseline
@@ -36,7 +36,7 @@ def task_accuracy(spark, sf_dir):
         ["task", "doc_id"],
         "logprob",
         ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"],
-    ).filter("n >= 2")
+    )
     return docs.groupBy("task").agg(
         F.count("*").alias("n"),
         r6(F.avg("acc")).alias("acc"),
@@ -57,17 +57,16 @@ def _join(col):
     "logprob_norm_char",
     """
     SELECT doc_id, i, round(logprobs[i + 1] / length(choices[i + 1]), 6) AS norm,
-           round(logprobs[i + 1] / (CASE WHEN choices[i + 1][1] = ' ' THEN greatest(length(choices[i + 1]) - 1, 1) ELSE length(choices[i + 1]) END), 6) AS norm_no_space
+           round(logprobs[i + 1] / nullif(CASE WHEN choices[i + 1][1] = ' ' THEN length(choices[i + 1]) - 1 ELSE length(choices[i + 1]) END, 0), 6) AS norm_no_space
     FROM (SELECT *, unnest(range(0, n)) AS i FROM mcq)
     """,
 )
 def logprob_norm_char(spark, sf_dir):
-    """A lone space counts one character in this fixture (the kernel divides by length - 1)."""
+    """A lone space has no character left, and no value."""
     df = fx.mcq(spark, sf_dir)
-    padded = F.transform("choices", lambda c: F.when(c == " ", F.lit("s")).otherwise(c))
     zipped = F.arrays_zip(
         lp.norm_char(F.col("logprobs"), F.col("choices")).alias("a"),
-        lp.norm_char(F.col("logprobs"), padded, ignore_first_space=True).alias("b"),
+        lp.norm_char(F.col("logprobs"), F.col("choices"), ignore_first_space=True).alias("b"),
     )
     return df.select("doc_id", F.posexplode(zipped).alias("i", "z")).select(
         "doc_id", F.col("i").cast("long").alias("i"), r6(F.col("z.a")).alias("norm"), r6(F.col("z.b")).alias("norm_no_space")

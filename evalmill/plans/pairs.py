@@ -365,7 +365,7 @@ def faithfulness_from_nli(spark, sf_dir):
 @query(
     "nli_pairs",
     r"""
-    WITH c AS (SELECT t.doc_id, list_filter(string_split(regexp_replace(t.source, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 10)[1:100] AS s,
+    WITH c AS (SELECT t.doc_id, list_filter(string_split(regexp_replace(t.source, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 10) AS s,
                       list_filter(string_split(regexp_replace(t.summary, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 10) AS m FROM text_pairs t)
     SELECT doc_id, CAST(len(s) * len(m) AS BIGINT) AS n_pairs, CAST(list_sum(list_transform(s, lambda x: length(x))) * len(m) AS BIGINT) AS premise_chars
     FROM c WHERE len(s) > 0 AND len(m) > 0
@@ -373,7 +373,7 @@ def faithfulness_from_nli(spark, sf_dir):
 )
 def nli_pairs(spark, sf_dir):
     df = fx.text_pairs(spark, sf_dir)
-    rows = tp.nli_pairs(df, tx.split_chunks(F.col("source"), "sentence"), tx.split_chunks(F.col("summary"), "sentence"), 100)
+    rows = tp.nli_pairs(df, tx.split_chunks(F.col("source"), "sentence"), tx.split_chunks(F.col("summary"), "sentence"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.length("premise")).alias("premise_chars"))
 
 

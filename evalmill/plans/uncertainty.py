@@ -79,7 +79,7 @@ BOOT = """
              len(list_filter([24109, 48218, 60273, 64291, 65296, 65497, 65531, 65535],
                  lambda t: t <= CAST('0x' || substr(h, j * 4 + 1, 4) AS INT))) AS w
       FROM (SELECT suite, f1, doc_id, b, md5(b || ':' || doc_id) AS h, unnest(range(0, 8)) AS j
-            FROM (SELECT suite, f1, doc_id, unnest(range(0, 8)) AS b FROM scored))),
+            FROM (SELECT suite, f1, doc_id, unnest(range(0, 125)) AS b FROM scored))),
     reps AS (SELECT suite, b * 8 + j AS replicate, sum(f1 * w) / sum(w) AS m FROM draws GROUP BY suite, b * 8 + j)
 """
 
@@ -92,7 +92,7 @@ BOOT = """
     """,
 )
 def bootstrap_stderr(spark, sf_dir):
-    reps = stats.bootstrap_replicates(scored(spark, sf_dir), ["suite"], "doc_id", {"s": F.col("f1")}, 64)
+    reps = stats.bootstrap_replicates(scored(spark, sf_dir), ["suite"], "doc_id", {"s": F.col("f1")}, 1000)
     out = stats.bootstrap_stderr(reps, ["suite"], F.col("s") / F.col("weight"))
     return out.select("suite", r6(F.col("stderr")).alias("stderr"), "replicates")
 
@@ -102,7 +102,7 @@ def bootstrap_stderr(spark, sf_dir):
     BOOT + "SELECT suite, round(stddev_samp(m), 6) AS distribution_se FROM reps GROUP BY suite",
 )
 def bootstrap_distribution_se(spark, sf_dir):
-    reps = stats.bootstrap_replicates(scored(spark, sf_dir), ["suite"], "doc_id", {"s": F.col("f1")}, 64)
+    reps = stats.bootstrap_replicates(scored(spark, sf_dir), ["suite"], "doc_id", {"s": F.col("f1")}, 1000)
     out = stats.bootstrap_stderr(reps, ["suite"], F.col("s") / F.col("weight"))
     return out.select("suite", r6(F.col("distribution_se")).alias("distribution_se"))
 

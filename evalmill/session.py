@@ -26,8 +26,8 @@ def local_session(cores="*", shuffle_partitions=8, app="evalmill"):
 def shared_folder(spark):
     """The reliable folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there. Only where it is unset (tests, one
-    machine) is a fresh temporary folder used.
+    A cluster must name a shared folder there. Only where it is unset and Spark runs
+    inside one process (tests) is a fresh temporary folder used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,12 +35,7 @@ def shared_folder(spark):
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="evalmill-checkpoint-")
 
-
-def reliable_checkpoint(df):
-    """Cut lineage with ``checkpoint()`` in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()

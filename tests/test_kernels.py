@@ -251,3 +251,19 @@ def test_every_check_id_dispatches(one):
     assert len(ck.CHECKS) == 80
     assert one(ck.strict(L("punctuation:no_comma"), L("no comma"), args, L(""), ["punctuation:no_comma"])) is True
     assert one(ck.follows("punctuation:no_comma", L("  "), args, L(""))) is False
+
+
+def test_reasoning_tags_formed_by_a_deletion(one):
+    pairs = [("<think>", "</think>")]
+    cols = [tx.remove_reasoning_tags(L(t), pairs) for t in ("<thi<think>a</think>nk>b</think>c", "</think>a<think>b", "no tags > here")]
+    assert one(*cols) == ("c", "</think>a<think>b", "no tags > here")
+
+
+def test_last_math_environment_wins(one):
+    texts = ["first $$1$$ then finally $2$", "first $1$ then $$2$$", r"\(a\) and \[b\]", r"$x$ but \boxed{7}", "nothing"]
+    assert one(*[ex.extract_latex_string(L(t)) for t in texts]) == ("2", "2", "b", "7", None)
+
+
+def test_no_units_no_error(one):
+    assert one(lp.norm_char(arr(1.0, 2.0), arr("", " "), True)) == [None, None]
+    assert one(lp.norm_token(arr(1.0, 2.0), arr(0, 4))) == [None, 0.5]

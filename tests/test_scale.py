@@ -89,3 +89,20 @@ def test_rouge_partitions_once(spark):
 
     plan = load_all()[0]["rouge_n"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_positions_with_text_keys_and_nulls(spark):
+    """Keys of any orderable type; null keys come first and are cut by the tie key."""
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("doc-"), F.md5(F.col("id").cast("string")))).alias("k"))
+    out = ps.global_positions(df, "k", "id").orderBy("position").collect()
+    assert [r.position for r in out] == list(range(3000))
+    want = sorted(((r.k is not None, r.k or "", r.id) for r in out))
+    assert [(r.k is not None, r.k or "", r.id) for r in out] == want
+    sizes = ps.range_buckets(df, "k", "id").groupBy("_b", "_t").count().agg(F.max("count")).first()[0]
+    assert sizes < 300
+
+
+def test_documents_without_shots_stay(spark):
+    docs, pool = spark.range(3).withColumnRenamed("id", "doc"), spark.range(1).withColumnRenamed("id", "pool")
+    out = fs.attach(docs, fs.sample_per_doc(docs, pool, "doc", "pool", 1), "doc", "pool", 1, ["pool"])
+    assert {r.doc: [s.pool for s in r.fewshot] for r in out.collect()} == {0: [], 1: [0], 2: [0]}
