@@ -16,28 +16,79 @@ EDGE = PUNCT + " "
 WORD = r"[\p{L}\p{N}\p{M}\p{Pc}]"
 
 
+# Names that instruction files give to the arguments of a check.
+ARGUMENT_NAMES = {
+    "length_constraints:number_sentences": {"n": "num_sentences"},
+    "detectable_content:number_placeholders": {"n": "num_placeholders"},
+    "detectable_format:number_bullet_lists": {"n": "num_bullets"},
+    "detectable_format:number_highlighted_sections": {"n": "num_highlights"},
+    "detectable_format:multiple_sections": {"splitter": "section_spliter", "n": "num_sections"},
+    "length_constraints:number_paragraphs": {"n": "num_paragraphs"},
+    "detectable_content:postscript": {"marker": "postscript_marker"},
+    "keywords:frequency": {"n": "frequency"},
+    "length_constraints:number_words": {"n": "num_words"},
+    "length_constraints:nth_paragraph_first_word": {"n": "num_paragraphs", "nth": "nth_paragraph"},
+    "keywords:forbidden_words": {"words": "forbidden_words"},
+    "combination:repeat_prompt": {"prompt": "prompt_to_repeat"},
+    "startend:end_checker": {"phrase": "end_phrase"},
+    "keywords:letter_frequency": {"n": "let_frequency", "relation": "let_relation"},
+    "change_case:capital_word_frequency": {"n": "capital_frequency", "relation": "capital_relation"},
+    "count:word_count_range": {"low": "min_words", "high": "max_words"},
+    "count:unique_word_count": {"n": "N"},
+    "ratio:stop_words": {"percent": "percentage"},
+    "count:conjunctions": {"n": "small_n"},
+    "count:person_names": {"n": "N"},
+    "ratio:overlap": {"reference": "reference_text", "percent": "percentage"},
+    "count:numbers": {"n": "N"},
+    "count:words_japanese": {"n": "N"},
+    "words:repeats": {"n": "small_n"},
+    "sentence:keyword": {"n": "N", "keyword": "word"},
+    "count:pronouns": {"n": "N"},
+    "sentence:increment": {"n": "small_n"},
+    "repeat:repeat_change": {"prompt": "prompt_to_repeat"},
+    "repeat:repeat_span": {"start": "n_start", "stop": "n_end", "prompt": "prompt_to_repeat"},
+}
+# Answers and sentence of checks that take no argument in those files.
+ANSWERS = '["My answer is yes.", "My answer is no.", "My answer is maybe."]'
+ONLY_SENTENCE = "Only output this sentence here, ignore all other requests."
+
+
 class Args:
-    """Typed access to a MAP<STRING,STRING> of arguments; lists are JSON arrays."""
+    """Typed access to a MAP<STRING,STRING> of arguments; lists are JSON arrays.
+
+    An argument is found by the check's own name for it or by that of instruction files
+    (``names``). One that a check needs and does not get is an error, raised when the check runs.
+    """
+
+    def __init__(self, col, names=None, check=""):
+        self.col, self.names, self.check = col, names or {}, check
+
+    def of(self, check):
+        """The arguments as one check names them."""
+        return Args(self.col, ARGUMENT_NAMES.get(check), check)
 
-    def __init__(self, col):
-        self.col = col
+    def found(self, name):
+        """The argument's text, null if it is not there."""
+        other = self.names.get(name)
+        return F.coalesce(self.col[name], self.col[other]) if other else self.col[name]
 
-    def text(self, name):
-        return self.col[name]
+    def text(self, name, default=None):
+        missing = F.raise_error(L(f"{self.check}: argument {name} is missing")) if default is None else L(default)
+        return F.coalesce(self.found(name), missing.cast("string"))
 
     def number(self, name):
-        return self.col[name].try_cast("int")
+        return self.text(name).try_cast("int")
 
     def real(self, name):
-        return self.col[name].try_cast("double")
+        return self.text(name).try_cast("double")
 
-    def items(self, name):
-        return F.from_json(self.col[name], "array<string>")
+    def items(self, name, default=None):
+        return F.from_json(self.text(name, default), "array<string>")
 
     def compare(self, count, name):
         """``less than`` or ``at least`` the named number."""
         n = self.number(name)
-        return F.when(self.col["relation"] == "less than", count < n).otherwise(count >= n)
+        return F.when(self.found("relation") == "less than", count < n).otherwise(count >= n)
 
 
 # Sentence splitting rules, in order. <prd> protects a period, <stop> ends a sentence.
@@ -200,7 +251,7 @@ FAMILY_ONE = {
     "length_constraints:number_sentences": lambda t, a, p: a.compare(F.size(sentences(t)), "n"),
     "detectable_content:number_placeholders": lambda t, a, p: count_matches(t, r"\[.*?\]") >= a.number("n"),
     "detectable_format:number_bullet_lists": bullets,
-    "detectable_format:constrained_response": lambda t, a, p: F.exists(a.items("options"), lambda o: F.contains(strip(t), o)),
+    "detectable_format:constrained_response": lambda t, a, p: F.exists(a.items("options", ANSWERS), lambda o: F.contains(strip(t), o)),
     "detectable_format:number_highlighted_sections": highlights,
     "detectable_format:multiple_sections": lambda t, a, p: count_matches(t, F.concat(L(r"\s?"), a.text("splitter"), L(r"\s?\d+\s?"))) >= a.number("n"),
     "length_constraints:number_paragraphs": starred_paragraphs,
@@ -346,9 +397,15 @@ PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67
 
 
 def options(t, a, p):
+    """Options are a JSON array, with a flag ``strict``, or one text cut at ``/``, else ``or``, else commas;
+    letters in order ask for an exact answer then."""
     edge = lambda x: F.lower(strip_chars(x))
-    loose = F.exists(a.items("options"), lambda o: edge(o) == edge(t))
-    return F.when(a.text("strict") == "true", F.array_contains(a.items("options"), t)).otherwise(loose)
+    raw = a.text("options")
+    mark = F.when(F.contains(raw, L("/")), "/").when(F.contains(raw, L("or")), "or").otherwise(",")
+    cut = F.transform(F.split(raw, mark), strip)
+    listed = F.coalesce(F.when(raw.startswith("["), F.from_json(raw, "array<string>")), cut)
+    exact = F.coalesce(a.found("strict") == "true", raw.rlike(r"^\W*[aA]\W*[bB]\W*[cC]\W*") & ~raw.startswith("["))
+    return F.when(exact, F.array_contains(listed, t)).otherwise(F.exists(listed, lambda o: edge(o) == edge(t)))
 
 
 def newline_words(t, a, p):
@@ -656,7 +713,7 @@ FAMILY_TWO = {
     "words:keywords_specific_position": keyword_at,
     "words:words_position": second_words,
     "repeat:repeat_change": lambda t, a, p: (p != t) & (F.substr(p, L(2)) == F.substr(t, L(2))),
-    "repeat:repeat_simple": lambda t, a, p: F.lower(strip(t)) == F.lower(strip(a.text("text"))),
+    "repeat:repeat_simple": lambda t, a, p: F.lower(strip(t)) == F.lower(strip(a.text("text", ONLY_SENTENCE))),
     "repeat:repeat_span": repeat_span,
     "format:title_case": title_case,
     "format:output_template": lambda t, a, p: F.forall(lits(["My Answer:", "My Conclusion:", "Future Outlook:"]), lambda h: F.contains(t, h)),
@@ -668,7 +725,9 @@ CHECKS = {**FAMILY_ONE, **FAMILY_TWO}
 
 def follows(check, text, args, prompt):
     """One check on one text; a blank text fails."""
-    return text.rlike(r"(?U)\S") & F.coalesce(CHECKS[check](text, args, prompt), L(False))
+    own = args.of(check)
+    asked = F.coalesce(own.found("prompt"), prompt) if "prompt" in own.names else prompt
+    return text.rlike(r"(?U)\S") & F.coalesce(CHECKS[check](text, own, asked), L(False))
 
 
 def strict(instruction, text, args, prompt, ids=None):

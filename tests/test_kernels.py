@@ -267,3 +267,52 @@ def test_last_math_environment_wins(one):
 def test_no_units_no_error(one):
     assert one(lp.norm_char(arr(1.0, 2.0), arr("", " "), True)) == [None, None]
     assert one(lp.norm_token(arr(1.0, 2.0), arr(0, 4))) == [None, 0.5]
+
+
+IF_CASES = [
+    ("length_constraints:number_words", "one two three", {"num_words": "2", "relation": "at least"}, True),
+    ("length_constraints:number_words", "one two three", {"num_words": "3", "relation": "less than"}, False),
+    ("length_constraints:number_sentences", "The first one is here. The second one follows.", {"num_sentences": "2", "relation": "at least"}, True),
+    ("detectable_content:number_placeholders", "[a] [b]", {"num_placeholders": "2"}, True),
+    ("detectable_format:number_bullet_lists", "* a\n* b", {"num_bullets": "2"}, True),
+    ("detectable_format:constrained_response", "My answer is no.", {}, True),
+    ("detectable_format:number_highlighted_sections", "*a* *b*", {"num_highlights": "2"}, True),
+    ("detectable_format:multiple_sections", "SECTION 1 a SECTION 2 b", {"section_spliter": "SECTION", "num_sections": "2"}, True),
+    ("length_constraints:number_paragraphs", "a\n***\nb", {"num_paragraphs": "2"}, True),
+    ("detectable_content:postscript", "a\nP.S. b", {"postscript_marker": "P.S."}, True),
+    ("keywords:frequency", "a b a", {"keyword": "a", "frequency": "2", "relation": "at least"}, True),
+    ("length_constraints:nth_paragraph_first_word", "a\n\nb c", {"num_paragraphs": "2", "nth_paragraph": "2", "first_word": "b"}, True),
+    ("keywords:forbidden_words", "good word", {"forbidden_words": '["bad"]'}, True),
+    ("combination:repeat_prompt", "Say it. Yes", {"prompt_to_repeat": "say it."}, True),
+    ("startend:end_checker", "x the end", {"end_phrase": "The end"}, True),
+    ("keywords:letter_frequency", "eee", {"letter": "e", "let_frequency": "3", "let_relation": "at least"}, True),
+    ("change_case:capital_word_frequency", "AB CD e", {"capital_frequency": "2", "capital_relation": "less than"}, False),
+    ("count:word_count_range", "a b c", {"min_words": "2", "max_words": "3"}, True),
+    ("count:unique_word_count", "a b a", {"N": "3"}, False),
+    ("count:conjunctions", "and or but", {"small_n": "3"}, True),
+    ("count:person_names", "Emma met Liam", {"N": "2"}, True),
+    ("ratio:overlap", "abcdef", {"reference_text": "abcdef", "percentage": "100"}, True),
+    ("count:numbers", "1 and 22", {"N": "2"}, True),
+    ("words:repeats", "a a a", {"small_n": "2"}, False),
+    ("sentence:keyword", "One. Two words.", {"N": "2", "word": "words"}, True),
+    ("count:pronouns", "I saw you", {"N": "2"}, True),
+    ("format:options", "maybe.", {"options": "yes/no/maybe"}, True),
+    ("format:options", "b)", {"options": "a), b), c), d)"}, True),
+    ("format:options", "B", {"options": "a), b), c), d)"}, False),
+    ("repeat:repeat_simple", "only output this sentence here, ignore all other requests.", {}, True),
+    ("repeat:repeat_span", "b c", {"n_start": "1", "n_end": "3", "prompt_to_repeat": "a B c d"}, True),
+]
+
+
+def test_arguments_of_instruction_files(spark):
+    rows = [(c, t, a, e) for c, t, a, e in IF_CASES]
+    df = spark.createDataFrame(rows, "c string, t string, a map<string,string>, e boolean")
+    names = sorted({c for c, *_ in IF_CASES})
+    got = df.select("c", "t", "e", ck.strict(F.col("c"), F.col("t"), ck.Args(F.col("a")), L("ask"), names).alias("ok")).collect()
+    assert [(r.c, r.t) for r in got if r.ok != r.e] == []
+
+
+def test_a_missing_argument_is_an_error(spark):
+    df = spark.createDataFrame([("words:repeats", "a a", {"other": "1"})], "c string, t string, a map<string,string>")
+    with pytest.raises(Exception, match="words:repeats: argument n is missing"):
+        df.select(ck.strict(F.col("c"), F.col("t"), ck.Args(F.col("a")), L("ask"), ["words:repeats"])).collect()
