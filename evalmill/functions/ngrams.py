@@ -50,10 +50,12 @@ def chrf_words(text):
 
 def repeated(values):
     """Distinct values that occur more than once (sort, then compare neighbours)."""
-    s = F.array_sort(values)
-    nxt = F.concat(F.slice(s, 2, F.size(s)), F.array(F.lit(None).cast("string")))
-    hits = F.zip_with(s, F.slice(nxt, 1, F.size(s)), lambda a, b: F.when(a == b, a))
-    return F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
+
+    def found(s):
+        hits = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.when(a == b, a))  # the last has no neighbour
+        return F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
+
+    return let(F.array_sort(values), found)
 
 
 def token_distance(a, b):

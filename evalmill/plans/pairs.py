@@ -7,7 +7,7 @@ from evalmill.functions import ngrams as ng
 from evalmill.functions import pairs as pr
 from evalmill.functions import sequences as sq
 from evalmill.functions import text as tx
-from evalmill.functions.arrays import array_sum, r6
+from evalmill.functions.arrays import array_sum, let, r6
 from evalmill.operators import textpairs as tp
 from evalmill.plans import fixtures as fx
 from evalmill.plans.registry import query, view
@@ -306,15 +306,21 @@ def ngram_novelty(spark, sf_dir):
     df = fx.text_pairs(spark, sf_dir).select(
         "doc_id", tx.words(F.lower("source")).alias("s"), tx.words(F.lower("summary")).alias("m")
     )
-    rows = []
-    for n in (1, 2, 3):
-        summary, source = ng.ngrams(F.col("m"), n), ng.ngrams(F.col("s"), n)
-        distinct = F.size(F.array_distinct(summary))
-        novel = F.size(F.array_except(summary, source)) / distinct
-        rows.append(
-            F.struct(F.lit(n).alias("n"), distinct.alias("d"), novel.alias("novel"), (F.size(ng.repeated(summary)) / distinct).alias("repeated"))
-        )
-    out = df.select("doc_id", F.inline(F.filter(F.array(*rows), lambda r: r["d"] > 0)))
+
+    def row(n):
+        """Each array is built once and bound."""
+
+        def shares(grams):
+            def told(distinct):
+                d = F.size(distinct)
+                novel = F.try_divide(F.size(F.array_except(distinct, ng.ngrams(F.col("s"), n))), d)
+                return F.struct(F.lit(n).alias("n"), d.alias("d"), novel.alias("novel"), F.try_divide(F.size(ng.repeated(grams)), d).alias("repeated"))
+
+            return let(F.array_distinct(grams), told)
+
+        return let(ng.ngrams(F.col("m"), n), shares)
+
+    out = df.select("doc_id", F.explode(F.array(*[row(n) for n in (1, 2, 3)])).alias("r")).select("doc_id", "r.*").filter("d > 0")
     return out.select("doc_id", "n", r6(F.col("novel")).alias("novel"), r6(F.col("repeated")).alias("repeated"))
 
 
