@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; one of its own only where that is unset, in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = folder.get() if folder.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="evalmill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -170,7 +170,7 @@ def step_sums(train: DataFrame, w: np.ndarray, mean, spread) -> dict[str, np.nda
 
 def fit(train: DataFrame, prior: float | None, mean, spread, n_p: int, n_u: int, rounds: int, ridge: float) -> np.ndarray:
     """Weights that minimise the non-negative risk; without a prior, P against U with equal weights."""
-    w, best, best_risk = np.zeros(MEASURES), np.zeros(MEASURES), np.inf
+    w, best, best_risk, stay = np.zeros(MEASURES), np.zeros(MEASURES), np.inf, 0
     hold = np.full(MEASURES, ridge)
     hold[-1] = 1e-9
     for _ in range(rounds):
