@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased in A-Z. Documents and benchmark items meet on shared seeds, runs of
+Words are lower-cased in A-Z and parted by white space and ASCII marks, so case and punctuation
+do not hide a passage. Documents and benchmark items meet on shared seeds, runs of
 ``min_match`` words; only the stretches of a document made of such seeds can hold a tile, so
 only they are kept. For each candidate pair the longest match of unmarked words is found by
 running Karp-Rabin hashes over both sides and marked, again and again, until no match of
@@ -26,7 +27,7 @@ def item_tokens(items: DataFrame, min_match: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for words in read_words(batch.column(1), lower=True):
+            for words in read_words(batch.column(1), lower=True, marks=True):
                 seeds = grams(words.hashes, min_match)
                 ids, own, runs = [], [], []
                 for k in range(len(words)):
@@ -49,7 +50,7 @@ def seeded_stretches(docs: DataFrame, marks, min_match: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for words in read_words(batch.column(1), lower=True):
+            for words in read_words(batch.column(1), lower=True, marks=True):
                 every = grams(words.hashes, min_match)
                 hits = np.flatnonzero(may_hold(marks.value, every))
                 doc = np.searchsorted(words.bounds, hits, side="right") - 1

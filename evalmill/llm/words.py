@@ -21,6 +21,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space, and every other ASCII byte that is no letter or digit.
+_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -101,8 +103,8 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def read_words(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[Words]:
-    """The words of every text, a chunk of texts at a time."""
+def read_words(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES, marks: bool = False) -> Iterator[Words]:
+    """The words of every text, a chunk of texts at a time; with ``marks`` ASCII marks part words too."""
     data, offsets = text_bytes(column)
     for at, to in chunks(offsets, size):
         own = data[offsets[at] : offsets[to]]
@@ -111,7 +113,7 @@ def read_words(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -
             own = _LOWER[own]
         n = len(own)
         inside = np.zeros(n + 1, dtype=bool)
-        np.logical_not(_SPACE[own], out=inside[:n])
+        np.logical_not((_MARK if marks else _SPACE)[own], out=inside[:n])
         edge = np.zeros(n + 1, dtype=bool)
         edge[where] = True  # a word ends with its text
         before = np.zeros(n + 1, dtype=bool)

@@ -48,7 +48,7 @@ def test_reordered_passage_counts_and_clean_stays(spark):
     swapped = item[20:] + ["between"] * 9 + item[:20]
     rows = [
         (1, " ".join(["pre"] * 30 + item + ["post"] * 30)), (2, " ".join(swapped)), (3, " ".join(item[:10] + ["z"] * 40)), (4, "nothing of it"),
-        (5, " ".join(w.upper() for w in item)), (6, None), (7, ""), (None, " ".join(item)), (2, "no"),
+        (5, ", ".join(w.upper() for w in item) + "!!"), (6, None), (7, ""), (None, " ".join(item)), (2, "no"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS coverage", "3 AS place")
     items = spark.createDataFrame([(9, " ".join(item), "?"), (10, "too short", "?"), (11, None, "?"), (12, "", "?"), (None, " ".join(item), "?"), (9, "other text of this very item", "?")], ITEMS)
