@@ -26,14 +26,18 @@ END_PUNCT = r"[\p{P}$+<=>^`|~]+\z"
 
 
 def literals(lang, table=None):
-    """Struct of words and marks for a language code Column (a constant map lookup, no join)."""
+    """Struct of words and marks for a language code Column (a constant map lookup, no join).
+
+    A code that the table lacks is an error; a null code has no words.
+    """
     table = LITERALS if table is None else table
     names = sorted({n for words in table.values() for n in words} | set(DEFAULT_MARKS))
     pairs = []
     for code, words in table.items():
         full = {**DEFAULT_MARKS, **words}
         pairs += [F.lit(code), F.struct(*[F.lit(full.get(n)).alias(n) for n in names])]
-    return F.create_map(*pairs)[lang]
+    unknown = F.raise_error(F.concat(F.lit("no words for language "), lang))
+    return F.when(lang.isNotNull(), F.coalesce(F.create_map(*pairs)[lang], unknown))
 
 
 # --- casing and punctuation ---------------------------------------------------
@@ -93,6 +97,12 @@ def choice_prefix(kind, lit=None, native=None):
     return F.array(*[F.lit(c) for c in LETTERS])
 
 
+def label_at(labels, i):
+    """Label of an option; one past the last label is an error rather than a line that vanishes."""
+    missing = F.raise_error(F.lit("more options than labels")).cast("string")
+    return F.when(i < F.size(labels), F.get(labels, i)).otherwise(missing)
+
+
 def build_choices(choices, formulation, lit, prefix="Letters", sentence_space=True):
     """Option lines for MCF and Hybrid, NULL for CF."""
     if formulation == "CF":
@@ -100,7 +110,7 @@ def build_choices(choices, formulation, lit, prefix="Letters", sentence_space=Tr
     labels = choice_prefix(prefix, lit)
     space = lit["sentence_space"] if sentence_space else lit["word_space"]
     lead, follow = (space, lit["sentence_space"]) if formulation == "MCF" else (lit["sentence_space"], space)
-    line = lambda c, i: F.concat(lead, F.get(labels, i), lit["full_stop"], follow, c)
+    line = lambda c, i: F.concat(lead, label_at(labels, i), lit["full_stop"], follow, c)
     return F.array_join(F.transform(choices, line), "\n")
 
 
@@ -109,7 +119,7 @@ def build_answers(choices, formulation, lit, prefix="Letters", sentence_space=Tr
     space = lit["sentence_space"] if sentence_space is True else lit["word_space"] if sentence_space is False else sentence_space
     if formulation == "MCF":
         labels = choice_prefix(prefix, lit)
-        return F.transform(choices, lambda c, i: F.concat(space, F.get(labels, i)))
+        return F.transform(choices, lambda c, i: F.concat(space, label_at(labels, i)))
     return F.transform(choices, lambda c: F.concat(space, c))
 
 

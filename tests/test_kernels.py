@@ -316,3 +316,11 @@ def test_a_missing_argument_is_an_error(spark):
     df = spark.createDataFrame([("words:repeats", "a a", {"other": "1"})], "c string, t string, a map<string,string>")
     with pytest.raises(Exception, match="words:repeats: argument n is missing"):
         df.select(ck.strict(F.col("c"), F.col("t"), ck.Args(F.col("a")), L("ask"), ["words:repeats"])).collect()
+
+
+def test_unknown_language_and_too_many_options(one):
+    assert one(pm.literals(L("de"))["answer"], pm.literals(L(None).cast("string"))["answer"]) == ("antwort", None)
+    with pytest.raises(Exception, match="no words for language it"):
+        one(pm.literals(L("it"))["answer"])
+    with pytest.raises(Exception, match="more options than labels"):
+        one(pm.build_choices(arr(*"abcdefghijklmnopqrstuvwxyz1"), "MCF", pm.literals(L("en"))))
