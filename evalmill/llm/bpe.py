@@ -39,11 +39,15 @@ LEXICON_WORDS = 100_000
 KEPT_MERGES = 200_000
 #: Distinct words counted in a task's memory before they are passed on.
 KEPT_COUNTS = 300_000
+#: Letters up to which a word's pairs are looked through anew after each merge; a heap keeps longer ones.
+SHORT = 32
 #: Bytes of text encoded at a time.
 CHUNK_BYTES = 4 << 20
 
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _ANY = regex.compile(_ENDINGS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+#: Python's tables know every code point below U+0378.
+_LATER = re.compile("[\u0378-\U0010ffff]")
 _ASCII = re.compile(_ENDINGS + r"|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 
 
@@ -111,6 +115,17 @@ def merge_word(word: str, vocabulary: Vocabulary) -> list[int]:
     parts = [_LETTERS[b] for b in word.encode()]
     parts[-1] += vocabulary.end
     n, ranks = len(parts), vocabulary.ranks
+    if n <= SHORT:
+        none = len(ranks)
+        while n > 1:
+            known = [ranks.get(pair, none) for pair in zip(parts, parts[1:])]
+            least = min(known)
+            if least == none:
+                break
+            k = known.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            n -= 1
+        return [vocabulary.ids[p] for p in parts]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, k) for k in range(n - 1) if (r := ranks.get((parts[k], parts[k + 1]))) is not None]
     heapq.heapify(heap)
@@ -254,7 +269,7 @@ class Encoder:
 
     def plain(self, text: str) -> list[str]:
         """Words of a text without special strings; the library splits the rare text with unassigned code points."""
-        if text.isascii() or not self.unassigned.search(text):
+        if text.isascii() or not _LATER.search(text) or not self.unassigned.search(text):
             return words_of(text)
         if self.library is None:
             from tokenizers import Tokenizer
