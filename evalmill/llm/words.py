@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text hashed at a time; a longer text is hashed alone. About 80 bytes of memory each.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text hashed at a time; a longer text is hashed alone. About 80 bytes of memory for each.
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
