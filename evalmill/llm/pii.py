@@ -179,17 +179,21 @@ def believed(edges: DataFrame, rounds: int, support: int, sure: float) -> tuple[
     return patterns, beliefs
 
 
-def extracted(docs: DataFrame, rounds: int = 3, support: int = 5, sure: float = 0.8) -> DataFrame:
-    """(doc_id, text_key, email, ip, card, phone, id) of every row: arrays of (start, end, value).
-
-    ``text_key`` is a hash of the text that tells rows of one doc_id apart. A null text counts
-    as empty and holds nothing. Rows that repeat a doc_id are read one by one; rows without
-    one are read too. Found identifiers do not overlap base spans. Other columns are not read.
-    """
+def spans_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, base kinds, _found) of every row; ``text_key`` tells texts of one doc_id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = candidates(base_spans(rows.withColumn("text_key", F.xxhash64("_text"))))
-    short = [F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias(k) for k in KINDS]
-    rows = staged(rows.select("doc_id", "text_key", *short, "_found"), "spans")
+    short = [plain_spans(f"_{k}").alias(k) for k in KINDS]
+    return staged(rows.select("doc_id", "text_key", *short, "_found"), "spans")
+
+
+def plain_spans(column: str) -> Column:
+    """(start, end, value) of spans."""
+    return F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
+def identifiers(rows: DataFrame, rounds: int, support: int, sure: float) -> DataFrame:
+    """(of_doc, of_text, id): the identifiers found by context in ``spans_of``, of the texts that hold any."""
     words = rows.select("doc_id", "text_key", F.explode("_found").alias("c")).select("doc_id", "text_key", "c.*").filter("value <> ''")
     edges = words.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"))
     patterns, beliefs = believed(staged(edges, "edges"), rounds, support, sure)
@@ -197,8 +201,19 @@ def extracted(docs: DataFrame, rounds: int = 3, support: int = 5, sure: float =
     found = open_words.join(patterns.select("pattern"), "pattern").join(beliefs.filter(F.col("belief") >= sure).select("value"), "value")
     one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value")
     found = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(one)).alias("id"))
-    found = staged(found, "found").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "id")
-    match = rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["text_key"] == found["_key"])
+    return staged(found.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "id"), "found")
+
+
+def extracted(docs: DataFrame, rounds: int = 3, support: int = 5, sure: float = 0.8) -> DataFrame:
+    """(doc_id, text_key, email, ip, card, phone, id) of every row: arrays of (start, end, value).
+
+    A null text counts as empty and holds nothing. Rows that repeat a doc_id are read one by
+    one; rows without one are read too. Found identifiers do not overlap base spans. Other
+    columns are not read.
+    """
+    rows = spans_of(docs)
+    found = identifiers(rows, rounds, support, sure)
+    match = rows["doc_id"].eqNullSafe(found["of_doc"]) & (rows["text_key"] == found["of_text"])
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return rows.join(found, match, "left").select("doc_id", "text_key", *KINDS, F.coalesce("id", empty).alias("id"))
 
@@ -224,28 +239,31 @@ def redacted(docs: DataFrame, length: str | None = None) -> DataFrame:
     Spans that overlap are replaced together, by the kind of the one that starts first (ties:
     kinds in the order listed). A null text stays null.
     """
-    found = extracted(docs)
+    found = identifiers(spans_of(docs), 3, 5, 0.8)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no name clashes
+    rows = rows.withColumn("_text", F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    match = F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64("_text") == F.col("of_text"))
+    # Base spans are read again from the text at hand: only texts with found identifiers are joined.
+    rows = base_spans(rows.join(found, match, "left"))
 
-    def marked(rank: int, kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    def marked(rank: int, kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    tagged = F.concat(*[marked(n, k) for n, k in enumerate([*KINDS, "id"])])
-    hits = found.select(F.col("doc_id").alias("of_doc"), "text_key", F.array_sort(tagged).alias("spans"))
-    hits = staged(hits.filter(F.size("spans") > 0).dropDuplicates(["of_doc", "text_key"]), "redactions")
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    columns = [(k, plain_spans(f"_{k}")) for k in KINDS] + [("id", F.coalesce("id", empty))]
+    rows = rows.withColumn("spans", F.array_sort(F.concat(*[marked(n, k, c) for n, (k, c) in enumerate(columns)])))
     text = F.col("row.text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(s, x):
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
+        gap = F.substring("_text", s["at"] + 1, x["start"] - s["at"])
         fresh = F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(F.concat(gap, F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("parts"))
         inside = F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts"))
         return F.when(x["start"] >= s["at"], fresh).otherwise(inside)
 
-    whole = F.aggregate("spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    out = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no name clashes
-    match = F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("text_key"))
-    out = out.join(hits, match, "left").withColumn("new", F.when(F.col("spans").isNull(), text).otherwise(whole))
+    whole = F.aggregate("spans", zero, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring("_text", s["at"] + 1, F.length("_text"))))
+    rows = rows.withColumn("new", F.when(F.size("spans") == 0, text).otherwise(whole))
     new = {"text": F.col("new").alias("text")}
     if length:
-        new[length] = F.when(F.col("spans").isNull(), F.col(f"row.`{length}`")).otherwise(F.length("new")).cast(docs.schema[length].dataType).alias(length)
-    return out.select(*[new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
+        new[length] = F.when(F.size("spans") == 0, F.col(f"row.`{length}`")).otherwise(F.length("new")).cast(docs.schema[length].dataType).alias(length)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
