@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     item = say(30)
     rows, labels = [], []
     for i in range(500):
-        text = say(rng.randrange(30, 80))
+        text = say(rng.randrange(30, 80)) + (f" mail w{i}@home.example now" if i % 7 == 1 else "")
         bad = i % 5 == 0
         rows.append((i, " ".join(w.upper() + "!!" for w in text.split()) if bad else text))
         labels.append((i, int(not bad), 0))
@@ -40,19 +40,20 @@ def test_stages(spark, folder):
         if name != "tokens":
             assert docs.columns == columns
         if name == "personal_data":
-            row = docs.filter("doc_id = 603").first()
-            assert "[EMAIL]" in row.text and "@" not in row.text and row.n_chars == len(row.text)
+            rows = docs.collect()
+            assert any("[EMAIL]" in r.text for r in rows) and all("@" not in r.text and r.n_chars == len(r.text) for r in rows)
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert all(kept[b] <= kept[a] for a, b in zip(names, names[1:], strict=False))
     good = {i for i in range(500) if i % 5}
-    assert len(kept["quality"] & good) > 390 and not any(i % 5 == 0 for i in kept["quality"] if i < 500)
-    assert 601 in kept["quality"] and 601 not in kept["near_duplicates"] and 600 not in kept["near_duplicates"]
-    assert kept["near_duplicates"] >= kept["quality"] - {600, 601}
+    assert len(kept["quality"] & good) > 360 and not any(i % 5 == 0 for i in kept["quality"] if i < 500)
+    near = {600: 1, 601: 2}
+    gone = {i for i, first in near.items() if {i, first} <= kept["quality"]}
+    assert kept["near_duplicates"] == kept["quality"] - gone
     assert kept["decontamination"] == kept["near_duplicates"] - {602}
     assert kept["personal_data"] == kept["decontamination"] == kept["tokens"]
 
 
 def test_run_gives_the_last_stage(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
-    assert len(rows) > 380 and {tuple(sorted(r.asDict())) for r in rows} == {("decoded_sha256", "doc_id", "ids_sha256", "n_tokens")}
+    assert len(rows) > 360 and {tuple(sorted(r.asDict())) for r in rows} == {("decoded_sha256", "doc_id", "ids_sha256", "n_tokens")}
     assert all(r.n_tokens > 0 and r.ids_sha256 != hashlib.sha256(b"").hexdigest() for r in rows)
