@@ -30,10 +30,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import workspace
+from evalmill.llm.common import staged, workspace
 from evalmill.llm.words import chunks, text_bytes
 
-#: Words compiled into the lexicon, by frequency over all documents: a few MB whatever the corpus.
+#: Most words compiled into the lexicon, by frequency over all documents: a few MB whatever the corpus.
 LEXICON_WORDS = 100_000
 #: Exact merges kept for reuse by a worker.
 KEPT_MERGES = 200_000
@@ -364,8 +364,15 @@ def shipped(spark: SparkSession, flat: np.ndarray) -> str:
 
 
 def lexicon_of(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_WORDS) -> str:
-    """Compile the ``size`` most frequent words of all documents; gives the name of the shipped file."""
-    top = word_counts(docs, list(vocabulary.specials)).orderBy(F.desc("count"), "word").limit(size).select("word").toPandas()["word"]
+    """Compile the most frequent words of all documents, ``size`` at most; gives the name of the shipped file.
+
+    Words are taken by steps of their count, a sixteenth of a doubling each, as long as they
+    fit, so that only those taken reach the driver.
+    """
+    counts = staged(word_counts(docs, list(vocabulary.specials)), "word-counts").withColumn("step", F.floor(16 * F.log2("count")))
+    steps = counts.groupBy("step").agg(F.count("*").alias("n")).toPandas().sort_values("step", ascending=False)
+    fits = steps["step"][steps["n"].cumsum() <= size]
+    top = counts.filter(F.col("step") >= int(fits.min())).select("word").toPandas()["word"] if len(fits) else []
     return shipped(docs.sparkSession, Lexicon.compile({w: merge_word(w, vocabulary) for w in top}))
 
 
