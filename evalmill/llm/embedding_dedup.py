@@ -1,7 +1,8 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Reference points (pivots) are vectors drawn by the hash of their id. A vector is described by
-its nearest pivots, nearest first; near vectors see nearly the same ones. The inverted lists
+Reference points (pivots) are vectors drawn by their hash, none near to another: a family of
+near vectors gets about one, however large it is, and so shares its other nearest pivots too.
+A vector is described by its nearest pivots, nearest first; near vectors see nearly the same ones. The inverted lists
 are kept by pairs of pivots, so the vectors that meet in a list share at least two of their
 NEAREST pivots, the count that a candidate needs. Candidates are verified by their cosine in
 double precision, each pair in one list only: that of the two smallest pivots they share.
@@ -30,6 +31,8 @@ from evalmill.llm.common import components, staged
 PIVOTS, MOST_PIVOTS = 256, 16_384
 #: Nearest pivots that describe a vector.
 NEAREST = 6
+#: Pivots are less alike than this, and chosen from SAMPLE times as many vectors.
+TOO_NEAR, SAMPLE = 0.8, 4
 #: Rows of lists that are handled together.
 GROUP = 1024
 
@@ -46,14 +49,27 @@ def usable(column: str):
     return F.coalesce((F.size(column) > 0) & ~bad & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
+def apart(vectors: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` of the unit ``vectors`` that have no cosine of TOO_NEAR or more to one taken before."""
+    taken = np.empty((min(count, len(vectors)), vectors.shape[1]))
+    n = 0
+    for v in vectors:
+        if n == count:
+            break
+        if not (taken[:n] @ v >= TOO_NEAR).any():
+            taken[n] = v
+            n += 1
+    return taken[:n]
+
+
 def draw_pivots(classes: DataFrame, n: int, least: int) -> dict[int, np.ndarray]:
     """Pivots of each vector length."""
     count = min(max(least, 2 ** round(math.log2(max(math.sqrt(n), 1)))), MOST_PIVOTS)
-    drawn = classes.orderBy(F.xxhash64("vec"), "id").limit(count).select("vec").toPandas()["vec"]
+    drawn = classes.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE * count).select("vec").toPandas()["vec"]
     by_length: dict[int, list] = {}
     for v in drawn:
         by_length.setdefault(len(v), []).append(np.asarray(v))
-    return {d: unit(np.stack(rows)) for d, rows in by_length.items()}
+    return {d: apart(unit(np.stack(rows)), count) for d, rows in by_length.items()}
 
 
 def postings(classes: DataFrame, pivots, nearest: int) -> DataFrame:

@@ -57,6 +57,19 @@ def test_long_lists_in_blocks_are_exact(spark):
     assert all(got[i] == (links[i], top[i]) for i in near)
 
 
+def test_a_family_of_a_third_of_the_rows(spark):
+    """Distinct near vectors around one base: before pivots lay apart, recall was 0.19."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=64)
+    rows = [(k, base + rng.normal(size=64) * 0.23) for k in range(1000)] + [(k, rng.normal(size=64)) for k in range(1000, 3000)]
+    u = np.asarray([v for _, v in rows], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in near_duplicates(frame(spark, rows)).collect()}
+    assert all(got[k] <= links[k] for k, _ in rows)
+    assert sum(got.values()) >= 0.95 * links.sum() > 0
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1, 0, 0]), (2, [2, 0, 0]), (3, [1, 0, 0]), (4, None), (5, []), (6, [0, 0, 0]), (7, [0, 0, 0]), (8, [nan, 1, 0]), (9, [inf, 0, 0]), (10, [1, None, 0]), (11, [1, 0]), (12, [-1, 0, 0]), (None, [1, 0, 0])]
