@@ -13,7 +13,9 @@ the list however many pairs link. Lists are packed into groups of about GROUP ro
 list is cut into blocks, and all pairs of its blocks become groups.
 
 The number of pivots grows with the square root of the number of vectors (PIVOTS at least),
-so that lists stay short; the pivots are the only part that is broadcast.
+so that lists stay short; the pivots are the only part that is broadcast. More pivots lie closer
+together and are confused more easily, so a vector keeps one more of them for each doubling,
+which holds recall.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from evalmill.llm.common import components, staged
 
 #: Least number of pivots, and the most: 16,384 pivots of 1,024 numbers are 128 MB.
 PIVOTS, MOST_PIVOTS = 256, 16_384
-#: Nearest pivots that describe a vector.
+#: Nearest pivots that describe a vector, of PIVOTS pivots.
 NEAREST = 6
 #: Pivots are less alike than this, and chosen from SAMPLE times as many vectors.
 TOO_NEAR, SAMPLE = 0.8, 4
@@ -72,6 +74,11 @@ def draw_pivots(classes: DataFrame, n: int, least: int) -> dict[int, np.ndarray]
     return {d: apart(unit(np.stack(rows)), count) for d, rows in by_length.items()}
 
 
+def described_by(points: int, nearest: int) -> int:
+    """Nearest pivots that describe a vector, of ``points`` pivots."""
+    return min(nearest + max(0, math.ceil(math.log2(points / PIVOTS))), points)
+
+
 def postings(classes: DataFrame, pivots, nearest: int) -> DataFrame:
     """(key, p, q, id, copies, near, vec): one row for each pair of a vector's nearest pivots."""
 
@@ -84,7 +91,7 @@ def postings(classes: DataFrame, pivots, nearest: int) -> DataFrame:
                     continue
                 own = batch.take(pa.array(rows))
                 vectors = np.asarray(own.column(2).flatten()).reshape(len(rows), d)
-                m = min(nearest, len(points))
+                m = described_by(len(points), nearest)
                 far = -(unit(vectors) @ points.T)
                 near = np.argsort(far, axis=1, kind="stable")[:, :m].astype(np.int64)
                 near.sort(axis=1)
@@ -145,11 +152,13 @@ def near_duplicates(
     good = rows.filter(F.col("vec_id").isNotNull() & usable("vec"))
     classes = staged(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     n = classes.count()
-    shared = vectors.sparkSession.sparkContext.broadcast(draw_pivots(classes, n, pivots))
+    drawn = draw_pivots(classes, n, pivots)
+    most = max((described_by(len(points), nearest) for points in drawn.values()), default=nearest)
+    shared = vectors.sparkSession.sparkContext.broadcast(drawn)
     lists = postings(classes, shared, nearest)
     sizes = lists.groupBy("key").agg(F.count("*").alias("n"))
     long_lists = staged(sizes.filter(F.col("n") > group).select("key", F.ceil(F.col("n") / group).alias("blocks")), "long-lists")
-    packs = max(1, math.ceil(n * nearest * (nearest - 1) / 2 / group))
+    packs = max(1, math.ceil(n * most * (most - 1) / 2 / group))
     placed = lists.join(long_lists, "key", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1),

@@ -70,6 +70,18 @@ def test_a_family_of_a_third_of_the_rows(spark):
     assert sum(got.values()) >= 0.95 * links.sum() > 0
 
 
+def test_recall_holds_with_more_pivots(spark):
+    """Pairs at a cosine of 0.9: 1,024 pivots find as many as 256 do."""
+    rng = np.random.default_rng(12)
+    u = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, noise = u(rng.normal(size=(800, 64))), rng.normal(size=(800, 64))
+    noise = u(noise - (noise * a).sum(axis=1, keepdims=True) * a)
+    near = 0.905 * a + np.sqrt(1 - 0.905**2) * noise
+    rows = list(enumerate([*a, *near, *rng.normal(size=(1500, 64))]))
+    got = near_duplicates(frame(spark, rows), pivots=1024).collect()
+    assert sum(r.n_links for r in got) >= 0.97 * 1600
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1, 0, 0]), (2, [2, 0, 0]), (3, [1, 0, 0]), (4, None), (5, []), (6, [0, 0, 0]), (7, [0, 0, 0]), (8, [nan, 1, 0]), (9, [inf, 0, 0]), (10, [1, None, 0]), (11, [1, 0]), (12, [-1, 0, 0]), (None, [1, 0, 0])]
