@@ -15,7 +15,8 @@ list is cut into blocks, and all pairs of its blocks become groups.
 The number of pivots grows with the square root of the number of vectors (PIVOTS at least),
 so that lists stay short; the pivots are the only part that is broadcast. More pivots lie closer
 together and are confused more easily, so a vector keeps one more of them for each doubling,
-which holds recall.
+which holds recall. Every vector length has pivots of its own; one with too few vectors for
+pivots is a single list, in which every pair is compared.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PIVOTS, MOST_PIVOTS = 256, 16_384
 NEAREST = 6
 #: Pivots are less alike than this, and chosen from SAMPLE times as many vectors.
 TOO_NEAR, SAMPLE = 0.8, 4
+#: Vector lengths that get pivots of their own.
+LENGTHS = 64
 #: Rows of lists that are handled together.
 GROUP = 1024
 
@@ -64,14 +67,16 @@ def apart(vectors: np.ndarray, count: int) -> np.ndarray:
     return taken[:n]
 
 
-def draw_pivots(classes: DataFrame, n: int, least: int) -> dict[int, np.ndarray]:
-    """Pivots of each vector length."""
-    count = min(max(least, 2 ** round(math.log2(max(math.sqrt(n), 1)))), MOST_PIVOTS)
-    drawn = classes.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE * count).select("vec").toPandas()["vec"]
-    by_length: dict[int, list] = {}
-    for v in drawn:
-        by_length.setdefault(len(v), []).append(np.asarray(v))
-    return {d: apart(unit(np.stack(rows)), count) for d, rows in by_length.items()}
+def draw_pivots(classes: DataFrame, least: int) -> dict[int, np.ndarray]:
+    """Pivots of each vector length with more than ``least`` vectors, of the LENGTHS most frequent ones."""
+    sizes = classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    found, left = {}, MOST_PIVOTS
+    for d, n in sizes.orderBy(F.desc("n"), "d").limit(LENGTHS).collect():
+        count = max(least, min(2 ** round(math.log2(math.sqrt(n))), left))
+        left -= count
+        drawn = classes.filter(F.size("vec") == d).orderBy(F.xxhash64("vec"), "id").limit(SAMPLE * count).select("vec").toPandas()["vec"]
+        found[d] = apart(unit(np.stack(drawn)), count)
+    return found
 
 
 def described_by(points: int, nearest: int) -> int:
@@ -85,21 +90,23 @@ def postings(classes: DataFrame, pivots, nearest: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             lengths = np.asarray(batch.column(2).value_lengths())
-            for d, points in pivots.value.items():
+            for d in np.unique(lengths):
                 rows = np.flatnonzero(lengths == d)
-                if not len(rows):
-                    continue
                 own = batch.take(pa.array(rows))
-                vectors = np.asarray(own.column(2).flatten()).reshape(len(rows), d)
-                m = described_by(len(points), nearest)
-                far = -(unit(vectors) @ points.T)
-                near = np.argsort(far, axis=1, kind="stable")[:, :m].astype(np.int64)
-                near.sort(axis=1)
+                points = pivots.value.get(int(d))
+                if points is None:  # one list for all vectors of this length
+                    m, near = 1, np.zeros((len(rows), 1), np.int64)
+                else:
+                    m = described_by(len(points), nearest)
+                    vectors = np.asarray(own.column(2).flatten()).reshape(len(rows), d)
+                    far = -(unit(vectors) @ points.T)
+                    near = np.argsort(far, axis=1, kind="stable")[:, :m].astype(np.int64)
+                    near.sort(axis=1)
                 pairs = [(a, b) for a in range(m) for b in range(a + 1, m)] or [(0, 0)]
                 for a, b in pairs:
                     p, q = near[:, a], near[:, b]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, m, dtype=np.int32)), pa.array(near.ravel()))
-                    key = (d * MOST_PIVOTS + p) * MOST_PIVOTS + q
+                    key = (int(d) * MOST_PIVOTS + p) * MOST_PIVOTS + q
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key), pa.array(p), pa.array(q), own.column(0), own.column(1), lists, own.column(2)],
                         names=["key", "p", "q", "id", "copies", "near", "vec"],
@@ -152,7 +159,7 @@ def near_duplicates(
     good = rows.filter(F.col("vec_id").isNotNull() & usable("vec"))
     classes = staged(good.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
     n = classes.count()
-    drawn = draw_pivots(classes, n, pivots)
+    drawn = draw_pivots(classes, pivots)
     most = max((described_by(len(points), nearest) for points in drawn.values()), default=nearest)
     shared = vectors.sparkSession.sparkContext.broadcast(drawn)
     lists = postings(classes, shared, nearest)

@@ -82,6 +82,17 @@ def test_recall_holds_with_more_pivots(spark):
     assert sum(r.n_links for r in got) >= 0.97 * 1600
 
 
+def test_rare_vector_lengths(spark):
+    """Vectors of a length that is too rare for a share of the pivots."""
+    rng = np.random.default_rng(13)
+    rows = [(k, rng.normal(size=16)) for k in range(1500)]
+    for k in range(1500, 1520, 2):
+        v = rng.normal(size=(k - 1494) // 2) + 3
+        rows += [(k, v), (k + 1, v + rng.normal(size=len(v)) * 0.001)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(frame(spark, rows), pivots=8).collect()}
+    assert [got[k] for k in range(1500, 1520)] == [(1, k - k % 2) for k in range(1500, 1520)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1, 0, 0]), (2, [2, 0, 0]), (3, [1, 0, 0]), (4, None), (5, []), (6, [0, 0, 0]), (7, [0, 0, 0]), (8, [nan, 1, 0]), (9, [inf, 0, 0]), (10, [1, None, 0]), (11, [1, 0]), (12, [-1, 0, 0]), (None, [1, 0, 0])]
