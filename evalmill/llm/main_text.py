@@ -5,7 +5,8 @@ length and commas to their ancestors, less to farther ones; a container's points
 discounted by its share of link text. The container with the most points is kept, or the
 article around it, with those siblings that score or read like article text. Menus, page
 headers, footers, sidebars, notices, adverts, forms, comments and hidden parts, told by tag,
-role or the words of class and id, are left out wherever they stand.
+role or the names in class and id, are left out wherever they stand; but names never leave out
+an element that is the container of most of the page's text.
 """
 
 from __future__ import annotations
@@ -40,6 +41,15 @@ DROPPED_WORDS = frozenset(
     "footer masthead comment comments disqus respond replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing "
     "social related recommended pagination pager toolbar widget widgets skip hidden".split()
 )
+#: Those of them that leave out an article.
+COMMENT_WORDS = frozenset(["comment", "comments"])
+#: Words that may stand beside a dropped one in a name: ``site-footer`` is one, ``has-sidebar`` and ``social-policy`` are not.
+QUALIFIERS = frozenset(
+    "left right top bottom site main area list box container wrapper bar block section inner outer slot unit primary secondary global page post "
+    "link links button buttons body div even odd depth icons item items panel group sticky mobile desktop".split()
+)
+#: Share of the page's text that makes an element its container, with a heading or an article inside and without.
+MOST, NEARLY_ALL = 0.5, 0.9
 #: A start tag ends these open elements, if no element of the second set lies between.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -61,31 +71,42 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
-def unwanted(tag: str, source: str, in_article: bool) -> bool:
-    """Whether an element is left out with all it holds."""
+def named(names: str, words: frozenset[str]) -> bool:
+    """Whether a whole name consists of ``words``, with no more than qualifiers beside them."""
+    for name in names.split():
+        parts = set(_WORD.findall(name))
+        if not words.isdisjoint(parts) and parts <= words | QUALIFIERS:
+            return True
+    return False
+
+
+def unwanted(tag: str, source: str, in_article: bool) -> str:
+    """Whether an element is left out with all it holds: "" or the reason, "part" or "name"."""
     if tag in DROPPED:
-        return True
+        return "part"
     if tag == "header" and not in_article:
-        return True
+        return "part"
     if not source.strip() or tag in ("html", "body"):
-        return False
+        return ""
     own = attributes(source)
     if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
-        return True
+        return "part"
     if own.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = _WORD.findall(f"{own.get('class', '')} {own.get('id', '')}".lower())
+        return "part"
+    names = f"{own.get('class', '')} {own.get('id', '')}".lower()
     if tag in ("article", "main"):
-        names = [w for w in names if w.startswith("comment")]
-    elif "header" in names and not in_article:
-        return True
-    return not DROPPED_WORDS.isdisjoint(names)
+        return "name" if named(names, COMMENT_WORDS) else ""
+    return "name" if named(names, DROPPED_WORDS if in_article else DROPPED_WORDS | {"header"}) else ""
 
 
 class Page:
     """Elements in page order, and text blocks with the element that holds them."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, containers: frozenset[int] = frozenset()):
+        """``containers`` are elements that names do not leave out."""
+        self.containers = containers
+        self.named: list[int] = []  # elements left out by name
+        self.part, self.own, self.heads = [False], [0], [False]  # left out otherwise; letters, headings, names aside
         self.tag, self.parent, self.dropped, self.article, self.linked = ["#"], [-1], [False], [False], [False]
         self.end = [0]
         self.blocks: list[tuple[int, str, int]] = []  # (element, text, letters in links)
@@ -116,6 +137,8 @@ class Page:
             self.pop()
 
     def text(self, piece: str) -> None:
+        if not self.part[self.stack[-1]]:
+            self.own[self.stack[-1]] += len(piece.strip())
         if piece and not self.dropped[self.stack[-1]]:
             piece = html.unescape(piece) if "&" in piece else piece
             self.pieces.append(piece)
@@ -151,7 +174,13 @@ class Page:
         self.tag.append(tag)
         self.parent.append(top)
         self.article.append(self.article[top] or tag in ("article", "main"))
-        self.dropped.append(self.dropped[top] or unwanted(tag, rest, self.article[top]))
+        reason = unwanted(tag, rest, self.article[top])
+        if reason == "name":
+            self.named.append(k)
+        self.part.append(self.part[top] or reason == "part")
+        self.dropped.append(self.dropped[top] or reason == "part" or (reason == "name" and k not in self.containers))
+        self.own.append(0)
+        self.heads.append(not self.part[k] and not reason and tag in ("h1", "article", "main"))
         self.linked.append(self.linked[top] or tag == "a")
         self.end.append(k + 1)
         self.stack.append(k)
@@ -189,9 +218,22 @@ class Page:
             self.holder = self.block_holder()
 
 
+def read_page(source: str) -> Page:
+    """The page, with those elements in that a name leaves out although they hold most of its text."""
+    page = Page(source)
+    if not page.named:
+        return page
+    held, heads = page.own[:], page.heads[:]
+    for k in range(len(page.tag) - 1, 0, -1):
+        held[page.parent[k]] += held[k]
+        heads[page.parent[k]] |= heads[k]
+    containers = frozenset(k for k in page.named if held[k] > (MOST if heads[k] else NEARLY_ALL) * held[0])
+    return Page(source, containers) if containers else page
+
+
 def main_text(source: str | None) -> str:
     """Main text of one page: its blocks, joined by line breaks."""
-    page = Page(source or "")
+    page = read_page(source or "")
     blocks = page.blocks
     if not blocks:
         return ""
@@ -226,14 +268,14 @@ def main_text(source: str | None) -> str:
             best = up
         up = page.parent[up]
     kept = [(best, page.end[best])]
-    if page.tag[best] not in ("article", "main") and best:
+    if best:
         least = max(10.0, 0.2 * scores[best])
         own = page.parent[best]
         child = own + 1
         while child < page.end[own]:
             if child != best and page.parent[child] == own:
                 long_text = letters[child] > 80 and density(child) < 0.25
-                if scores[child] >= least or (page.tag[child] in ("p", "section", "div", "blockquote", "pre") and long_text):
+                if scores[child] >= least or (page.tag[child] in ("p", "section", "div", "article", "blockquote", "pre") and long_text):
                     kept.append((child, page.end[child]))
             child = max(page.end[child], child + 1)
     return "\n".join(text for holder, text, _ in blocks if any(a <= holder < b for a, b in kept))

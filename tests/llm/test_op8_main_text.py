@@ -58,6 +58,25 @@ def test_broken_and_odd_pages():
     assert main_text("<style>p{}") == "" and main_text("a<b") == "a"
 
 
+def test_names_do_not_leave_out_the_article():
+    rng = random.Random(4)
+    first, second, third = (paragraph(rng, 60) for _ in range(3))
+    body = f"<h1>Title</h1><p>{first}</p><p>{second}</p>"
+    want = f"Title\n{first}\n{second}"
+    for name in ("overflow-hidden", "content has-sidebar", "elementor-widget-text-editor", "post comments-open", "sidebar-left", "widget"):
+        assert main_text(f'<body><div class="{name}">{body}</div><div class="ad">ad</div><div id="site-footer">{third}</div>') == want
+    assert main_text(f'<article>{body}<section id="social-policy"><p>{third}</p></section></article>') == f"{want}\n{third}"
+    assert main_text(f'<div class="overflow-hidden"><p>{first}</p></div>') == main_text(f'<x-app class="widget"><p>{first}</p></x-app>') == first
+    comments = "".join(f'<article id="div-comment-{k}" class="comment-body"><p>{third}</p></article>' for k in range(9))
+    assert main_text(f'<div class="post comments-open">{body}</div><div id="comments" class="comments-area">{comments}</div>') == want
+
+
+def test_siblings_of_an_article():
+    rng = random.Random(5)
+    first, second, third = (paragraph(rng, 60) for _ in range(3))
+    assert main_text(f"<article>{4 * f"<p>{first}</p>"}</article><article><p>{second}</p></article><section><p>{third}</p></section>") == 4 * f"{first}\n" + f"{second}\n{third}"
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "long text, " * 50000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
