@@ -7,10 +7,13 @@ never given back where nothing behind it could match.
 Beyond them, identifiers are learned from context. Base spans are the seeds; candidates are the
 other words with a digit. The two words before either, and the words on both sides, are its
 lexical patterns (digits as #). Patterns and candidate values form a
-graph; each round scores a pattern by the mean belief of its values and a value by the
-patterns that hold it, 1 - prod(1 - score). A pattern counts once enough distinct believed
-values support it and its score surely exceeds half way between the share of seeds among all
-values and 1, so that contexts which merely happen to precede a seed teach nothing.
+graph. Background values stand in a pattern that holds many values and no seed; other values
+without belief are unknown, and do not count against a pattern, however many they are. Each
+round scores a pattern by the mean belief of its believed and background values and a value by
+the patterns that hold it, 1 - prod(1 - score). A pattern counts once enough distinct believed
+values support it, its score surely exceeds half way between the share of seeds among all
+values and 1, and the mean belief of all its values lies CHANCE deviations above that share,
+so that contexts which merely happen to precede a seed teach nothing.
 Candidates of believed values in such patterns are the found
 identifiers (kind ``id``).
 """
@@ -39,6 +42,8 @@ _CANDIDATE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+
 _BLANK = r"[\x20\x09-\x0D]+"
 #: Code points on each side of a candidate that its context words are read from.
 CONTEXT = 60
+#: Deviations that tell a pattern's belief from the share of seeds among all values.
+CHANCE = 5
 #: Numbers summed at a time.
 RUN = 128
 
@@ -164,17 +169,24 @@ def believed(edges: DataFrame, rounds: int, support: int, sure: float) -> tuple[
     values = staged(edges.groupBy("value").agg(F.max("seed").alias("seed")).select("value", F.col("seed").cast("double").alias("belief")), "values")
     rate = values.agg(F.avg("belief")).first()[0] or 0.0
     least = rate + (1 - rate) * 0.5
+    barren = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).filter((F.col("n") >= support) & (F.col("seed") == 0))
+    background = edges.join(barren.select("pattern"), "pattern").select("value").distinct().withColumn("background", F.lit(True))
+    values = staged(values.join(background, "value", "left").withColumn("background", F.coalesce("background", F.lit(False))), "known")
     pairs = edges.select("pattern", "value")
-    beliefs = values
+    beliefs, chance = values, CHANCE * (rate * (1 - rate)) ** 0.5
     patterns = None
     for _ in range(rounds):
         held = pairs.join(beliefs, "value").groupBy("pattern").agg(
-            F.avg("belief").alias("score"), F.count("*").alias("n"), F.sum((F.col("belief") >= sure).cast("int")).alias("support")
+            F.avg(F.when(F.col("background") | (F.col("belief") >= sure), F.col("belief"))).alias("score"),
+            F.count_if(F.col("background") | (F.col("belief") >= sure)).alias("n"),
+            F.count_if(F.col("belief") >= sure).alias("support"),
+            F.avg("belief").alias("mean"),
+            F.count("*").alias("every"),
         )
         low = F.col("score") - 1.64 * F.sqrt(F.col("score") * (1 - F.col("score")) / F.col("n"))
-        patterns = staged(held.filter((F.col("support") >= support) & (low >= least)).select("pattern", "score"), "patterns")
+        patterns = staged(held.filter((F.col("support") >= support) & (low >= least) & (F.col("mean") - rate >= chance / F.sqrt("every"))).select("pattern", "score"), "patterns")
         doubt = pairs.join(patterns, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("doubt"))
-        beliefs = values.join(doubt, "value", "left").select("value", F.greatest("belief", F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("belief"))
+        beliefs = values.join(doubt, "value", "left").select("value", "background", F.greatest("belief", F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("belief"))
         beliefs = staged(beliefs, "beliefs")
     return patterns, beliefs
 

@@ -71,6 +71,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert found == {k: "id:17:25" for k in (100, 101, 102)}
 
 
+def test_unseen_values_outnumber_seeds(spark):
+    rows = [t for _, t in learned_rows()[:100]] + [f"the office phone 555-{k:04d} today" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii_report(df).filter("spans LIKE '%id:%'").collect()}
+    assert found == {k: "id:17:25" for k in range(100, 160)}
+
+
+def test_contexts_by_chance_teach_nothing(spark):
+    """Seeds and numbers in the same random contexts."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "klmn" for b in "aeiou"]
+    value = lambda: f"+1 (555) 555-{rng.randrange(10**4):04d}" if rng.random() < 0.3 else f"{rng.randrange(10**6)}"
+    rows = [(k, " ".join([rng.choice(words), rng.choice(words), value(), rng.choice(words)])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii_report(df).filter("spans LIKE '%id:%'").count() == 0
+
+
 def test_redaction(spark):
     df = spark.createDataFrame(learned_rows() + [(500, "a@b.c, 1.2.3.4"), (501, None), (502, "é 😀 x@y.z")], "doc_id long, text string")
     df = df.selectExpr("*", "cast(length(text) as bigint) AS n_chars", "7 AS kind")
