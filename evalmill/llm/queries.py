@@ -18,6 +18,7 @@ from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.embedding_dedup import near_duplicates
 from evalmill.llm.language_id import language_report
 from evalmill.llm.main_text import main_texts
+from evalmill.llm.manifest import MANIFEST_SQL, document_manifest
 from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pii import pii_report
 from evalmill.llm.pu_quality import quality_scores
@@ -85,6 +86,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
         "op1_pu_quality": op1_pu_quality,
@@ -97,5 +103,6 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op8_tree_scoring": op8_tree_scoring,
         "op9_perspective_rotation": op9_perspective_rotation,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_midstate_manifest": op11_midstate_manifest,
     }
-    return found, {"op9_perspective_rotation": ROTATED_SQL}
+    return found, {"op9_perspective_rotation": ROTATED_SQL, "op11_midstate_manifest": MANIFEST_SQL}
