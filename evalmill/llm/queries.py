@@ -16,6 +16,7 @@ from evalmill.llm.chat_views import ROTATED_SQL, rotated
 from evalmill.llm.common import table
 from evalmill.llm.decontaminate import contaminated
 from evalmill.llm.embedding_dedup import near_duplicates
+from evalmill.llm.host_trust import JUDGED_SQL, judged
 from evalmill.llm.language_id import language_report
 from evalmill.llm.main_text import main_texts
 from evalmill.llm.manifest import MANIFEST_SQL, document_manifest
@@ -91,6 +92,11 @@ def op11_midstate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
         "op1_pu_quality": op1_pu_quality,
@@ -104,5 +110,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op9_perspective_rotation": op9_perspective_rotation,
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op11_midstate_manifest": op11_midstate_manifest,
+        "op12_link_propagation": op12_link_propagation,
     }
-    return found, {"op9_perspective_rotation": ROTATED_SQL, "op11_midstate_manifest": MANIFEST_SQL}
+    sql = {"op9_perspective_rotation": ROTATED_SQL, "op11_midstate_manifest": MANIFEST_SQL, "op12_link_propagation": JUDGED_SQL}
+    return found, sql
