@@ -24,6 +24,7 @@ from evalmill.llm.ngram_join import jaccard_components
 from evalmill.llm.pii import pii_report
 from evalmill.llm.pu_quality import quality_scores
 from evalmill.llm.substring_dedup import repeats_removed
+from evalmill.llm.whitening import whitened
 
 #: The vocabulary of op4: a file of the public tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
@@ -97,6 +98,11 @@ def op12_link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"))
 
 
+def op13_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every usable vector."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     found = {
         "op1_pu_quality": op1_pu_quality,
@@ -111,6 +117,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op11_midstate_manifest": op11_midstate_manifest,
         "op12_link_propagation": op12_link_propagation,
+        "op13_jacobi_davidson": op13_jacobi_davidson,
     }
     sql = {"op9_perspective_rotation": ROTATED_SQL, "op11_midstate_manifest": MANIFEST_SQL, "op12_link_propagation": JUDGED_SQL}
     return found, sql
