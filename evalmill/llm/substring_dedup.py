@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import staged, texts_of
-from evalmill.llm.words import Words, grams, read_words, text_bytes
+from evalmill.llm.common import staged, texts_of, unstaged
+from evalmill.llm.words import OTHER_BASE, Words, grams, read_words
 
 WINDOW = 50
 PERIOD = 31
@@ -48,12 +48,10 @@ def word_digests(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
             sizes, digests = [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                words = data[a:b].tobytes().split()
-                sizes.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            for words in read_words(batch.column(1), hashed=False):
+                sizes += np.diff(words.bounds).tolist()
+                digests += [hashlib.sha256(words.joined(k)).hexdigest() for k in range(len(words))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "words_sha256"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, words_sha256 string")
@@ -74,16 +72,16 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc long")
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """(h, lo): hashes that occur in several documents, with the smallest.
+def shared_only(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lo): hashes that occur in several documents, with the smallest.
 
     Written out, so that a join with them is one of two exchanges, which Spark can split by skew.
     """
-    return staged(rows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h", "lo"), "shared")
+    return staged(rows.groupBy(*keys).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select(*keys, "lo"), "shared")
 
 
 def extended(rows: DataFrame) -> DataFrame:
-    """(h, doc): the windows of WINDOW words around each document's shared anchors.
+    """(h, g, doc): the windows of WINDOW words around each document's shared anchors, by two hashes.
 
     ``rows`` is (doc_id, text, hashes of shared anchors).
     """
@@ -93,8 +91,8 @@ def extended(rows: DataFrame) -> DataFrame:
             ids = np.asarray(batch.column(0))
             shared = batch.column(2)
             for words in read_words(batch.column(1)):
-                small, large = grams(words.hashes, ANCHOR), grams(words.hashes, WINDOW)
-                own, sizes = [], []
+                small, large, other = grams(words.hashes, ANCHOR), grams(words.hashes, WINDOW), grams(words.hashes, WINDOW, OTHER_BASE)
+                own, more, sizes = [], [], []
                 for k in range(len(words)):
                     a, b = words.bounds[k], words.bounds[k + 1]
                     places = anchor_places(words, k)
@@ -104,12 +102,15 @@ def extended(rows: DataFrame) -> DataFrame:
                     np.add.at(near, np.maximum(places - a - (WINDOW - ANCHOR), 0), 1)
                     np.add.at(near, places - a + 1, -1)
                     starts = a + np.flatnonzero(np.cumsum(near)[: max(b - a - WINDOW + 1, 0)] > 0)
-                    own.append(np.unique(large[starts]))
-                    sizes.append(len(own[-1]))
+                    found, at = np.unique(large[starts], return_index=True)
+                    own.append(found)
+                    more.append(other[starts[at]])
+                    sizes.append(len(found))
                 docs_of = np.repeat(ids[words.first : words.first + len(words)], sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(docs_of)], names=["h", "doc"])
+                hashes = [pa.array(np.concatenate(x).view(np.int64)) for x in (own, more)]
+                yield pa.RecordBatch.from_arrays([*hashes, pa.array(docs_of)], names=["h", "g", "doc"])
 
-    return rows.mapInArrow(run, "h long, doc long")
+    return rows.mapInArrow(run, "h long, g long, doc long")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -129,12 +130,11 @@ def cut(rows: DataFrame) -> DataFrame:
                     cover[starts] += 1
                     np.add.at(cover, starts + WINDOW, -1)
                     keep = np.cumsum(cover)[: b - a] == 0
-                    own = [words.data[s:e].tobytes() for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True)]
                     values = (
                         batch.column(0)[words.first + k].as_py(),
-                        hashlib.sha256(b" ".join(own)).hexdigest(),
+                        hashlib.sha256(words.joined(k)).hexdigest(),
                         int((~keep).sum()),
-                        b" ".join(w for w, stays in zip(own, keep, strict=True) if stays).decode(errors="replace"),
+                        words.joined(k, keep).decode(errors="replace"),
                     )
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
@@ -144,9 +144,13 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, words_sha256 string, n_removed long, kept string")
 
 
-def with_hashes(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(doc_id, text, hs) of the documents that have rows (h, doc)."""
-    per_doc = staged(hashes.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "hashes-by-document")
+def hashes_by_document(hashes: DataFrame) -> DataFrame:
+    """(doc_id, hs) of rows (h, doc): a list that grows with its document's text only."""
+    return staged(hashes.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("hs")), "hashes-by-document")
+
+
+def with_hashes(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """(doc_id, text, hs) of the documents in (doc_id, hs)."""
     return texts_of(docs, per_doc.select("doc_id")).join(per_doc, "doc_id").select("doc_id", "text", "hs")
 
 
@@ -160,21 +164,30 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
 
     A null text has no words; texts of fewer than WINDOW words stay whole. Rows that repeat a
     doc_id are judged one by one, and never against each other. Rows without a doc_id keep
-    all words and remove none elsewhere. Other columns are not read.
+    all words and remove none elsewhere. Very long texts are read a piece at a time; a task holds
+    the text, the places and hashes of its words. Windows are told apart by two hashes of 64 bits.
+    Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(word_digests(docs), "word-digests")
-    first = staged(rows.filter("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("first")), "first-copies")
-    rows = rows.join(first, "words_sha256", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False)))
+    digests = staged(word_digests(docs), "word-digests")
+    first = staged(digests.filter("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("first")), "first-copies")
+    rows = digests.join(first, "words_sha256", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False)))
     rows = staged(rows.drop("first"), "copies")
+    unstaged(digests, first)
     copies = rows.groupBy(F.col("doc_id").alias("doc")).agg(F.min(F.col("copy").cast("int")).alias("all_copies")).filter("all_copies = 1").select("doc")
 
     known = docs.filter("doc_id is not null")
     every = anchors(known)
-    hits = every.join(shared_only(every).select("h"), "h").join(copies, "doc", "left_anti")
+    shared = shared_only(every, "h")
+    hits = hashes_by_document(every.join(shared.select("h"), "h").join(copies, "doc", "left_anti"))
+    unstaged(shared)
     windows = staged(extended(with_hashes(known, hits)), "windows")
-    gone = windows.join(shared_only(windows), "h").filter("doc > lo").select("h", "doc")
-    cuts = cut(with_hashes(known, gone)).dropDuplicates(["doc_id", "words_sha256"])
+    unstaged(hits)
+    shared = shared_only(windows, "h", "g")
+    gone = hashes_by_document(windows.join(shared, ["h", "g"]).filter("doc > lo").select("h", "doc"))
+    unstaged(windows, shared)
+    cuts = staged(cut(with_hashes(known, gone)).dropDuplicates(["doc_id", "words_sha256"]), "cuts")
+    unstaged(gone)
     empty = hashlib.sha256(b"").hexdigest()
     out = rows.join(cuts, ["doc_id", "words_sha256"], "left")
     return out.select(

@@ -59,3 +59,15 @@ def test_passages_at_any_shift(spark):
             words[at:at] = p[a : a + rng.randrange(45, len(p) + 1)]
         rows.append((rng.randrange(10**6), " ".join(words)))
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
+def test_a_text_of_tens_of_megabytes(spark):
+    """A long text that shares a passage with a short one, and its own copy."""
+    words = [f"w{k * 7919 % 10000019}" for k in range(2_500_000)]
+    text = " ".join(words)
+    short = " ".join(["a"] * 9 + words[1_000_000:1_000_070] + ["b"] * 9)
+    df = spark.createDataFrame([(1, short), (2, text), (3, text)], "doc_id long, text string")
+    kept = " ".join(words[:1_000_000] + words[1_000_070:]).encode()
+    empty = hashlib.sha256(b"").hexdigest()
+    want = [(1, 88, 0, hashlib.sha256(short.encode()).hexdigest()), (2, len(words), 70, hashlib.sha256(kept).hexdigest()), (3, len(words), len(words), empty)]
+    assert got(df) == want

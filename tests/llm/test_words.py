@@ -16,6 +16,10 @@ def test_words_are_those_of_a_plain_split(column, size):
     for words in read_words(pa.array(column, pa.string()), size=size):
         for k in range(len(words)):
             got.append(words.of(k).tolist())
+            own = (column[words.first + k] or "").encode().split()
+            assert words.joined(k) == b" ".join(own)
+            keep = np.arange(len(own)) % 3 != 1
+            assert words.joined(k, keep) == b" ".join(w for w, stays in zip(own, keep, strict=True) if stays)
     assert len(got) == len(column)
     for text, own in zip(column, got, strict=True):
         plain = (text or "").encode().split()
@@ -39,3 +43,17 @@ def test_grams_depend_on_the_sequence():
         assert grams(hashes[10 : 10 + n], n)[0] == own[10]
     assert len(grams(hashes[:2], 3)) == 0
     assert short_gram(hashes[:2]) != short_gram(hashes[:3])
+
+
+def test_long_texts_are_hashed_in_pieces():
+    """The same hashes as in one piece, for little memory: 24 bytes a word, and the text."""
+    import tracemalloc
+
+    text = ("word " * 5 + "x" * 300 + " ") * 30000
+    (one,) = read_words(pa.array([text]), size=1 << 30)
+    tracemalloc.start()
+    (many,) = read_words(pa.array([text]), size=1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (one.hashes == many.hashes).all() and peak < 4 * len(text)
+    assert (grams(one.hashes, 50) == grams(many.hashes, 50)).all()
