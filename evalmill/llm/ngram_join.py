@@ -7,15 +7,19 @@ and the positional filter (what can still match behind the first shared shingle)
 pairs, each pair is verified once, and the suffix filter ends most failing verifications.
 
 Groups of copies are not expanded into all pairs. A first round pairs every document of a
-prefix group with the smallest one; their components are found; then a second round pairs
+prefix group with the smallest one, and their components are found; then a second round pairs
 documents of a group that are still in different components, so that no link between
 components is missed. The first round sees a pair's shared shingles only where the smallest
-document is one of the two, and so may pass over a pair; the second one finds it.
-
-Rarity comes from one counter table over all shingles of all documents (a shingle's counter
-is picked by its hash; the table has a fixed size, 2 ** COUNTER_BITS). Counts are compared
-with the mean counter on a doubling scale, so the order is the same everywhere; any order
-gives the same result, rare-first only keeps the groups small.
+document is one of the two, and so may pass over a pair; the second one finds it. Exact copies
+take part in the first round only.
+
+Rarity comes from the shingles that a fixed share of the documents holds, whatever the size
+of the table: every task counts the shingles of about SPAN at a time and passes on those that
+recur in a RECURS-th of the span's documents. Those whose sum is one document in COMMON or more,
+a share that a span tells reliably, are ordered by it; all others, the rare ones, stand before
+them. Their number follows from the length of a document, not from the number of documents,
+and the most frequent LISTED of them are what is broadcast.
+Any order gives the same result, rare-first only keeps the groups small.
 """
 
 from __future__ import annotations
@@ -27,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalmill.llm.common import components, staged, texts_of
+from evalmill.llm.common import components, staged, texts_of, unstaged
 from evalmill.llm.words import Words, grams, read_words, short_gram
 
-#: Shingle counters: a table of 2 MB on the driver, 256 KB once compared with the mean.
-COUNTER_BITS = 18
+#: Shingles that a task counts together (16 MB), and the share of their documents, one in so many,
+#: that a shingle must be in to be passed on, at least LEAST of them.
+SPAN, RECURS, LEAST = 1 << 21, 1024, 4
+#: A shingle is common if it is in one of so many documents; the most common shingles that are told apart (2 MB).
+COMMON, LISTED = 512, 1 << 17
 
 
 def shingle_sets(words: Words, n: int):
@@ -47,62 +54,71 @@ def shingle_sets(words: Words, n: int):
             yield words.first + k, np.zeros(0, np.uint64)
 
 
-def rare_first(shingles: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
-    """Order of a sorted set of shingles: by rarity class, then by hash."""
-    return np.argsort(classes[(shingles >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+def rare_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Order of a sorted set of shingles: by the count of common ones, then by hash."""
+    known, counts = common
+    if not len(known):
+        return np.arange(len(shingles))
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return np.argsort(np.where(known[at] == shingles, counts[at], 0), kind="stable")
+
+
+def recurring(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a span that recur in a RECURS-th of its sets, with their counts."""
+    found, counts = np.unique(np.concatenate(sets), return_counts=True)
+    often = counts >= max(LEAST, len(sets) / RECURS)
+    return found[often], counts[often]
 
 
-def profile(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set_key) of every row, and the counters (bucket, total)."""
+def profile(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_key) of every row, and the recurring shingles (tok, total)."""
+    names = ["doc_id", "n_shingles", "set_key", "tok", "total"]
 
     def run(batches):
-        counts = np.zeros(1 << bits, dtype=np.int64)
+        span, held = [], 0
+
+        def told():
+            toks, totals = recurring(span)
+            none = pa.nulls(len(toks), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(toks), pa.binary()), pa.array(toks.view(np.int64)), pa.array(totals)], names=names)
+
         for batch in batches:
             sizes, keys = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for words in read_words(batch.column(1), lower=True):
-                found = []
                 for k, own in shingle_sets(words, n):
                     sizes[k] = len(own)
                     if len(own):
                         keys[k] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                        found.append(own)
-                if found:
-                    every = np.concatenate(found) >> np.uint64(64 - bits)
-                    counts += np.bincount(every.astype(np.int64), minlength=1 << bits)
+                        span.append(own)
+                        held += len(own)
+                if held >= SPAN:
+                    yield told()
+                    span, held = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), none, none],
-                names=["doc_id", "n_shingles", "set_key", "bucket", "total"],
-            )
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 65536):
-            part = used[at : at + 65536]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(counts[part])],
-                names=["doc_id", "n_shingles", "set_key", "bucket", "total"],
-            )
-
-    schema = "doc_id long, n_shingles long, set_key binary, bucket long, total long"
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), none, none], names=names)
+        if span:
+            yield told()
+
+    schema = "doc_id long, n_shingles long, set_key binary, tok long, total long"
     both = staged(docs.mapInArrow(run, schema), "shingle-profile")
-    rows = both.filter("bucket is null").select("doc_id", "n_shingles", "set_key")
-    return rows, both.filter("bucket is not null").groupBy("bucket").agg(F.sum("total").alias("total"))
+    rows = both.filter("tok is null").select("doc_id", "n_shingles", "set_key")
+    return rows, both.filter("tok is not null").groupBy("tok").agg(F.sum("total").alias("total"))
 
 
-def rarity(counters: DataFrame, bits: int) -> np.ndarray:
-    """Class of each counter: 0 up to 1.5 times the mean, one more for each doubling."""
-    found = counters.toPandas()
-    counts = np.zeros(1 << bits)
-    counts[found["bucket"].to_numpy(np.int64)] = found["total"].to_numpy(np.float64)
-    mean = max(counts.mean(), 1.0)
-    return np.where(counts <= 1.5 * mean, 0, np.ceil(np.log2(np.maximum(counts, 1.0) / (1.5 * mean)))).astype(np.uint8)
+def rarity(totals: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of the common ones."""
+    least = max(LEAST, documents / COMMON)
+    found = totals.filter(F.col("total") >= least).orderBy(F.desc("total"), "tok").limit(LISTED).toPandas()
+    toks = found["tok"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(toks)
+    return toks[order], found["total"].to_numpy(np.int64)[order]
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataFrame:
+def prefixes(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
     """(tok, doc, pos, n): each document's prefix shingles with their places in rare-first order."""
 
     def run(batches):
-        order_of = classes.value
+        order_of = common.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for words in read_words(batch.column(1), lower=True):
@@ -110,7 +126,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataF
                 for k, own in shingle_sets(words, n):
                     if len(own):
                         length = len(own) - (len(own) * percent + 99) // 100 + 1
-                        toks.append(own[rare_first(own, order_of, bits)[:length]])
+                        toks.append(own[rare_first(own, order_of)[:length]])
                         at.append(k)
                         sizes.append(len(own))
                 if toks:
@@ -192,7 +208,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = COUNTER_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Two documents link when 100 * shared >= percent * union of their shingle sets (words are
@@ -201,22 +217,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
 
     A null or empty text, or one of white space only, has no shingle and links with nothing.
     Rows of one doc_id are one document with several texts: they share a component. A row
-    without a doc_id links with nothing and has no component. Other columns are not read.
+    without a doc_id links with nothing and has no component. Very long texts are read a piece
+    at a time; a task holds the text, the places and hashes of its words. Other columns are not
+    read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, counters = profile(docs, n, bits)
-    classes = docs.sparkSession.sparkContext.broadcast(rarity(counters, bits))
+    rows, totals = profile(docs, n)
+    common = docs.sparkSession.sparkContext.broadcast(rarity(totals, rows.count()))
     known = rows.filter("doc_id is not null and n_shingles > 0")
     first = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "first-copies")
     copies = known.join(first, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    of = known.join(first, "set_key").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    of = known.join(first, "set_key").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     copies = staged(copies.distinct(), "copies")
-    of = staged(of.filter("rep <> doc_id"), "representatives")
+    of = staged(of.filter("rep <> doc_id and rep = last").select("doc_id", "rep"), "representatives")
+    unstaged(first)
 
-    every = prefixes(docs.filter("doc_id is not null"), n, percent, classes, bits)
-    hubs = every.groupBy("tok").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub < top")
+    every = prefixes(docs.filter("doc_id is not null"), n, percent, common)
+    hubs = every.groupBy("tok").agg(F.min(F.struct("doc", "pos", "n")).alias("hub"), F.max("doc").alias("top")).filter("hub.doc < top")
+    hubs = staged(hubs.select("tok", F.col("hub.doc").alias("b"), F.col("hub.pos").alias("pb"), F.col("hub.n").alias("nb")), "hubs")
     # Written out, so that the join is one of two exchanges, which Spark can split by skew.
-    groups = staged(every.join(staged(hubs.select("tok", "hub"), "hubs"), "tok"), "prefix-groups")
+    groups = staged(every.join(hubs, "tok"), "prefix-groups")
+    unstaged(hubs)
 
     def by_class(pairs: DataFrame) -> DataFrame:
         """Pairs of representatives; pairs of copies are links already."""
@@ -225,24 +246,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, bits: int
             pairs = pairs.withColumn(side, F.coalesce("r", side)).drop("r")
         return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    heads = groups.filter("doc = hub").select("tok", F.col("pos").alias("pb"), F.col("n").alias("nb"))
-    star = groups.filter("doc <> hub").join(heads, "tok")
-    star = star.select(F.col("doc").alias("a"), F.col("hub").alias("b"), F.col("pos").alias("pa"), "pb", F.col("n").alias("na"), "nb")
+    star = groups.filter("doc <> b").select(F.col("doc").alias("a"), "b", F.col("pos").alias("pa"), "pb", F.col("n").alias("na"), "nb")
     tried = staged(by_class(filtered(star, percent)), "star-pairs")
     links = staged(verified(docs, tried, n, percent).union(copies), "star-links")
     found = staged(components(links), "star-components")
 
     labels = found.select(F.col("id").alias("doc"), "component")
-    members = groups.join(labels, "doc", "left").select("tok", "doc", "pos", "n", F.coalesce("component", "doc").alias("label"))
-    members = staged(members, "labelled-groups")
-    open_groups = members.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tok")
-    members = staged(members.join(staged(open_groups, "open-shingles"), "tok"), "open-groups")
+    members = groups.join(of.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select("tok", "doc", "pos", "n")
+    labelled = members.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    open_groups = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tok")
+    open_groups = staged(open_groups, "open-shingles")
+    members = staged(labelled.join(open_groups, "tok"), "open-groups")
+    unstaged(groups, open_groups)
     x = members.select("tok", F.col("doc").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = members.select("tok", F.col("doc").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("la") < F.col("lb"))
     rest = by_class(filtered(x.join(y, "tok").filter(fits), percent)).join(tried, ["a", "b"], "left_anti")
-    more = staged(verified(docs, staged(rest, "cross-pairs"), n, percent), "cross-links")
-    found = components(links.union(more)) if more.take(1) else found
+    rest = staged(rest, "cross-pairs")
+    unstaged(members, tried)
+    more = staged(verified(docs, rest, n, percent), "cross-links")
+    unstaged(rest)
+    found = staged(components(links.union(more)), "cross-components") if more.take(1) else found
     return (
         rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

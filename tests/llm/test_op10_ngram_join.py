@@ -5,8 +5,9 @@ import string
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from evalmill.llm.ngram_join import first_of_each, jaccard_components, suffix_differs
+from evalmill.llm.ngram_join import first_of_each, jaccard_components, prefixes, profile, rarity, suffix_differs
 
 from .helpers import components_of, no_documents, odd_documents, texts
 
@@ -82,3 +83,29 @@ def test_suffix_filter_never_drops_a_link():
         y = np.unique(np.concatenate([rng.permutation(x)[: rng.integers(1, len(x))], rng.integers(0, 300, rng.integers(0, 30))]))
         apart = len(np.setxor1d(x, y))
         assert not suffix_differs(x, y, apart)
+
+
+def test_boilerplate_stays_out_of_prefixes(spark):
+    """A passage that every tenth document holds is common at any size, and only rare shingles form groups."""
+    rng = random.Random(8)
+    passage = " ".join(f"legal{k}" for k in range(40))
+    for n in (300, 3000):
+        rows = []
+        for k in range(n):
+            own = " ".join(f"q{rng.randrange(10**7)}" for _ in range(80))
+            rows.append((k, f"{own} {passage}" if k % 10 == 0 else own))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        _, totals = profile(df, 5)
+        common = rarity(totals, n)
+        assert len(common[0]) >= 36 and (common[1] > 0).all()
+        groups = prefixes(df, 5, 80, spark.sparkContext.broadcast(common)).groupBy("tok").count()
+        assert groups.agg(F.max("count")).first()[0] <= 2
+
+
+def test_a_text_of_tens_of_megabytes(spark):
+    words = [f"w{k * 7919 % 10000019}" for k in range(2_000_000)]
+    changed = words[:1000] + ["new"] + words[1001:]
+    df = spark.createDataFrame([(3, " ".join(words)), (2, " ".join(changed).upper()), (1, " ".join(words[:500_000]))], "doc_id long, text string")
+    first = len({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    (a, b, c) = got(df)
+    assert a[2] == 1 and b[2] == c[2] == 2 and c == (3, first, 2)
