@@ -742,8 +742,3 @@ def strict(instruction, text, args, prompt, ids=None):
 def variants(text):
     """Distinct non-blank loose variants of a text."""
     return F.filter(F.array_distinct(loose_variants(text)), lambda v: v.rlike(r"(?U)\S"))
-
-
-def loose(instruction, texts, args, prompt, ids=None):
-    """The check on any of the given variants."""
-    return F.exists(texts, lambda v: strict(instruction, v, args, prompt, ids))

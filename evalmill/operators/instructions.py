@@ -8,18 +8,27 @@ from evalmill.functions import checks as ck
 def grade(docs, identity, text, prompt, instructions, ids=None):
     """One row per (response, instruction): strict and loose flags.
 
-    ``instructions`` is an array of (instruction_id, kwargs map) structs. The
-    loose variants are built once per response; then a response is exploded in
-    place and nothing is shuffled. ``ids`` names the
-    checks that occur, which keeps the chosen-by-id expression small.
+    ``instructions`` is an array of (instruction_id, kwargs map) structs. A response becomes a
+    row for each instruction and distinct variant of its text, the raw one first; on every row
+    the one check that its id names is evaluated, outside lambdas. A check stands in the plan
+    once, so the plan grows with the number of checks only. Flags are added up per instruction,
+    map-side first, as the rows of a response are neighbours. ``ids`` names the checks that
+    occur, if they are known; an id that is not among them fails.
     """
-    once = docs.select(identity, text, prompt, ck.variants(F.col(text)).alias("_v"), F.col(instructions).alias("_list"))
-    rows = once.select(identity, text, prompt, "_v", F.posexplode("_list").alias("position", "_i"))
-    args = ck.Args(F.col("_i.kwargs"))
+    once = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(identity).alias("_id"), F.col(text).alias("_t"), F.col(prompt).alias("_p"),
+        F.col(instructions).alias("_list"), ck.variants(F.col(text)).alias("_v"),
+    )
+    texts = F.concat(F.array("_t"), F.filter("_v", lambda v: v != F.col("_t")))
+    rows = once.select("_row", "_id", "_p", texts.alias("_texts"), F.posexplode("_list").alias("position", "_i"))
+    rows = rows.select("_row", "_id", "_p", "position", "_i", F.posexplode("_texts").alias("_k", "_x"))
     name = F.col("_i.instruction_id")
-    strict = ck.strict(name, F.col(text), args, F.col(prompt), ids)
-    loose = strict | ck.loose(name, F.col("_v"), args, F.col(prompt), ids)
-    return rows.select(identity, "position", name.alias("instruction_id"), strict.alias("strict"), loose.alias("loose"))
+    ok = ck.strict(name, F.col("_x"), ck.Args(F.col("_i.kwargs")), F.col("_p"), ids)
+    flags = rows.select("_row", "_id", "position", name.alias("instruction_id"), (F.col("_k") == 0).alias("_raw"), ok.alias("_ok"))
+    out = flags.groupBy("_row", "position").agg(
+        F.first("_id").alias(identity), F.first("instruction_id").alias("instruction_id"), F.bool_or(F.col("_raw") & F.col("_ok")).alias("strict"), F.bool_or("_ok").alias("loose")
+    )
+    return out.select(identity, "position", "instruction_id", "strict", "loose")
 
 
 def per_prompt(graded, identity):

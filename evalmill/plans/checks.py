@@ -43,54 +43,66 @@ def sql_text(s):
     return "'" + s.replace("'", "''") + "'"
 
 
-SPLIT_SQL = "' ' || t || '  '"
-for _pattern, _new in ck.SENTENCE_RULES:
-    if "(?=" in _pattern:
-        SPLIT_SQL = rf"regexp_replace(regexp_replace({SPLIT_SQL}, '\.\.', '<prd><prd>', 'g'), '<prd>\.(<stop>)', '<prd><prd>\1', 'g')"
-    else:
-        SPLIT_SQL = f"regexp_replace({SPLIT_SQL}, {sql_text(_pattern)}, {sql_text(_new.replace('$', chr(92)))}, 'g')"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
 Q = sql_text(PUNCT)
 EDGE = sql_text(PUNCT + " ")
 
+
+def split_sql(text):
+    """SQL: a text with <stop> behind each sentence."""
+    out = f"' ' || {text} || '  '"
+    for pattern, new in ck.SENTENCE_RULES:
+        if "(?=" in pattern:
+            out = rf"regexp_replace(regexp_replace({out}, '\.\.', '<prd><prd>', 'g'), '<prd>\.(<stop>)', '<prd><prd>\1', 'g')"
+        else:
+            out = f"regexp_replace({out}, {sql_text(pattern)}, {sql_text(new.replace('$', chr(92)))}, 'g')"
+    return out
+
+
 view(
     "raw_resp",
     f"""
-    SELECT 'd' || doc_id AS rid, text AS t, 'Tell me about ' || lang AS p FROM documents
-    UNION ALL SELECT 'p' || p_partkey, replace(replace([{", ".join(sql_text(x) for x in TEXTS)}][1 + p_partkey % {len(TEXTS)}], '{{name}}', p_name), '{{size}}', CAST(p_size AS VARCHAR)), 'Tell me about ' || p_name FROM part
+    SELECT 'd' || doc_id AS rid, doc_id AS k, text AS t, 'Tell me about ' || lang AS p FROM documents
+    UNION ALL SELECT 'p' || p_partkey, p_partkey, replace(replace([{", ".join(sql_text(x) for x in TEXTS)}][1 + p_partkey % {len(TEXTS)}], '{{name}}', p_name), '{{size}}', CAST(p_size AS VARCHAR)), 'Tell me about ' || p_name FROM part
     """,
 )
-view(
-    "resp",
-    f"""
+
+def resp_sql(source):
+    """The texts of a table with their words and sentences."""
+    return f"""
     SELECT *, {WORDS.format('t')} AS w, {WORDS.format(f"translate(t, {Q}, '')")} AS nw, {WORDS.format(f"translate(lower(t), {Q}, '')")} AS lw,
            {STRIP.format('t')} AS tr, translate(t, {Q}, '') AS nt,
            CASE WHEN s0[len(s0)] = '' THEN s0[1:len(s0) - 1] ELSE s0 END AS s
-    FROM (SELECT *, list_transform(string_split({SPLIT_SQL}, '<stop>'), lambda x: {STRIP.format('x')}) AS s0 FROM raw_resp)
-    """,
-)
-# The same with per-sentence and per-line lists, for rules over neighbours.
-view(
-    "resp_lists",
-    f"""
+    FROM (SELECT *, list_transform(string_split({split_sql('t')}, '<stop>'), lambda x: {STRIP.format('x')}) AS s0 FROM {source})
+    """
+
+
+def lists_sql(source):
+    """The same with per-sentence and per-line lists, for rules over neighbours."""
+    return f"""
     SELECT *, list_transform(s, lambda x: len({WORDS.format(f"translate(x, {Q}, '')")})) AS sw,
            list_transform(lw, lambda x: left(x, 1)) AS ini,
            list_transform(s, lambda x: lower({WORDS.format(f'ltrim(x, {EDGE})')}[1])) AS firsts,
            list_transform(s, lambda x: lower({WORDS.format(f'rtrim(x, {EDGE})')}[-1])) AS lasts,
            list_transform(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x, ' '))) AS ind,
-           list_transform(s, lambda x: {STRIP.format(f"translate(x, {Q}, '')")}) AS cl
-    FROM resp
-    """,
-)
+           list_transform(s, lambda x: {STRIP.format(f"translate(x, {Q}, '')")}) AS cl,
+           list_transform(s, lambda y: list_transform(list_filter(list_transform({WORDS.format('lower(y)').replace('lambda x: x', 'lambda z: z')}, lambda v: ltrim(v, {EDGE})), lambda v: v <> ''), lambda v: left(v, 1))) AS si,
+           list_transform(list_transform(string_split(t, chr(10)), lambda x: {STRIP.format('x')}), lambda x: {{'x': x, 'p': list_transform(string_split({split_sql('x')}, '<stop>'), lambda y: {STRIP.format('y')})}}) AS ln
+    FROM {source}
+    """
+
+
+view("resp", resp_sql("raw_resp"))
+view("resp_lists", lists_sql("resp"))
 
 
 def responses(spark, sf_dir):
-    """(rid, t, p): text and prompt of every response."""
+    """(rid, k, t, p): id, number, text and prompt of every response."""
     fill = F.replace(F.replace(F.get(ck.lits(TEXTS), (F.col("p_partkey") % len(TEXTS)).cast("int")), F.lit("{name}"), F.col("p_name")), F.lit("{size}"), F.col("p_size").cast("string"))
     ask = lambda c: F.concat(F.lit("Tell me about "), F.col(c))
-    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rid"), F.col("text").alias("t"), ask("lang").alias("p"))
-    parts = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("rid"), fill.alias("t"), ask("p_name").alias("p"))
+    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rid"), F.col("doc_id").alias("k"), F.col("text").alias("t"), ask("lang").alias("p"))
+    parts = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("rid"), F.col("p_partkey").alias("k"), fill.alias("t"), ask("p_name").alias("p"))
     return docs.unionByName(parts)
 
 
@@ -133,7 +145,49 @@ SIX = f"list_transform(string_split(t, '******'), lambda x: {STRIP.format('x')})
 PARAS2 = "string_split(t, chr(10) || chr(10))"
 JSON_BODY = r"trim(regexp_replace(regexp_replace(tr, '^```(json|Json|JSON)?', ''), '```$', ''))"
 
-# id, arguments, SQL of the rule (None: no SQL form; the tests hold brute-force cases)
+
+def folded(items, start, step):
+    """SQL: a fold of a list of structs; ``start`` and ``step`` give the fields, from a (so far) and x (the next)."""
+    return f"list_reduce(list_prepend({start}, {items}), lambda a, x: {step})"
+
+
+EMPTY_STACK = "{'st': '', 'top': 0::BIGINT, 'ok': false, 'c': ''}"
+BRACKETS = folded(
+    r"list_transform(regexp_extract_all(t, '[()\[\]{}]'), lambda c: {'st': '', 'top': 0::BIGINT, 'ok': false, 'c': c})",
+    EMPTY_STACK,
+    """CASE WHEN x.c IN ('(', '[', '{') THEN {'st': x.c || a.st, 'top': greatest(a.top, length(a.st) + 1), 'ok': a.ok, 'c': ''}
+            WHEN a.st <> '' AND left(a.st, 1) = translate(x.c, ')]}', '([{') THEN {'st': substr(a.st, 2), 'top': a.top, 'ok': a.ok OR a.top >= 5, 'c': ''}
+            ELSE {'st': '', 'top': 0::BIGINT, 'ok': a.ok, 'c': ''} END""",
+)
+QUOTES = folded(
+    """list_transform(regexp_extract_all(t, '["'']'), lambda c: {'st': '', 'top': 0::BIGINT, 'ok': false, 'c': c})""",
+    EMPTY_STACK,
+    """CASE WHEN left(a.st, 1) = x.c THEN {'st': substr(a.st, 2), 'top': a.top, 'ok': a.ok OR a.top - length(a.st) + 1 >= 3, 'c': ''}
+            ELSE {'st': x.c || a.st, 'top': greatest(a.top, length(a.st) + 1), 'ok': a.ok, 'c': ''} END""",
+)
+BULLETS = folded(
+    "list_transform(ln, lambda l: {'txt': true, 'n': (len(l.p) - (CASE WHEN l.p[len(l.p)] = '' THEN 1 ELSE 0 END))::BIGINT, 'b': 0::BIGINT, 'ok': true, 'star': starts_with(l.x, '*')})",
+    "{'txt': true, 'n': 0::BIGINT, 'b': 0::BIGINT, 'ok': true, 'star': false}",
+    """{'txt': NOT x.star AND a.txt AND x.n > 0, 'n': a.n + CASE WHEN NOT x.star AND a.txt THEN x.n ELSE 0 END, 'b': a.b + x.star::BIGINT,
+        'ok': a.ok AND CASE WHEN x.star THEN a.n >= 2 ELSE a.txt END, 'star': false}""",
+)
+UNQUOTED = r"""regexp_replace(replace(translate(t, '“”', '""'), '''"''', ''), '\s+', '', 'g')"""
+TAIL = f"trim({UNQUOTED}, {sql_text('0123456789' + PUNCT.replace(chr(34), ''))})"
+NO_QUOTE = f"""NOT contains({UNQUOTED}, '""') AND right({TAIL}, 1) <> '"' AND {TAIL} <> ''"""
+SAME = "len(list_filter(range(1, len(q)), lambda i: q[i] = q[i + 1]{}))"
+STEPS = f"list_transform(si, lambda q: {SAME.format('')} + {SAME.format(' AND (i = 1 OR q[i - 1] <> q[i])')})"
+PARTS = rf"list_filter(list_transform(string_split_regex(t, '\n*(?:Question \d+[\.|\):;]?\s*)'), lambda q: {STRIP.format('q')}), lambda q: q <> '')"
+LINES = f"list_transform(string_split({{}}, chr(10)), lambda l: {STRIP.format('l')})"
+OPTION = r"regexp_matches(l, '^[A-Ea-e][\.|\)]\s*\w+')"
+OPTIONS = f"list_transform({{}}, lambda l: {OPTION})"
+MCQ_HEADS = f"""list_transform({PARTS}, lambda q: length(trim(array_to_string(
+    CASE WHEN list_contains({OPTIONS.format(LINES.format('q'))}, true) THEN {LINES.format('q')}[1:list_position({OPTIONS.format(LINES.format('q'))}, true) - 1] ELSE {LINES.format('q')} END, ' '))))"""
+MCQ_FIVE = every(PARTS, f"len(list_filter({LINES.format('v')}, lambda l: {OPTION})) = 5")
+ENTRIES = f"list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l, {EDGE})), lambda l: l <> '')"
+ASCII_LINE = rf"regexp_replace(translate(l, {sql_text(ck.ACCENTS[0])}, {sql_text(ck.ACCENTS[1])}), '[^\x00-\x7f]', '', 'g')"
+AFRICA = f"list_transform({ENTRIES}[list_position(list_transform({ENTRIES}, lambda l: contains(l, 'Zimbabwe')), true):], lambda l: {ASCII_LINE})"
+
+# id, arguments, SQL of the rule
 SUITE = [
     ("length_constraints:number_sentences", {"relation": "at least", "n": 3}, "len(s) >= 3"),
     ("detectable_content:number_placeholders", {"n": 2}, f"{n_matches(chr(92) + '[.*?' + chr(92) + ']')} >= 2"),
@@ -171,11 +225,11 @@ SUITE = [
     ("words:alphabet", {}, "regexp_matches(lower(left(nw[1], 1)), '[a-z]') AND len(list_filter(range(1, len(nw) + 1), lambda i: ascii(lower(left(nw[i], 1))) - 97 <> (ascii(lower(left(nw[1], 1))) - 98 + i) % 26)) = 0"),
     ("words:vowel", {}, "NOT contains(tr, chr(10)) AND len(list_filter(['a', 'e', 'i', 'o', 'u'], lambda v: contains(lower(t), v))) <= 3"),
     ("words:consonants", {}, every("w", "regexp_matches(lower(v), '[bcdfghjklmnpqrstvwxyz]{2}')")),
-    ("sentence:alliteration_increment", {}, None),
+    ("sentence:alliteration_increment", {}, adjacent(STEPS, "{b} > {a}")),
     ("words:palindrome", {}, "len(list_filter(lw, lambda v: length(v) >= 5 AND reverse(v) = v)) >= 10"),
     ("count:punctuation", {}, r"regexp_matches(t, '\?!|!\?|‽') AND len(list_filter(['.', ',', '!', '?', ';', ':'], lambda v: contains(CASE WHEN contains(t, '?!') THEN regexp_replace(t, '\?!', '') ELSE regexp_replace(t, '!\?', '') END, v))) = 6"),
-    ("format:parentheses", {}, None),
-    ("format:quotes", {}, None),
+    ("format:parentheses", {}, f"({BRACKETS}).ok"),
+    ("format:quotes", {}, f"({QUOTES}).ok"),
     ("words:prime_lengths", {}, every("nw", f"list_contains({ck.PRIMES}, length(v))")),
     ("format:options", {"strict": "false", "options": ["my answer is yes", "B"]}, f"list_contains(['my answer is yes', 'b'], lower(trim(t, {EDGE})))"),
     ("format:newline", {}, f"len(list_filter(string_split({STRIP.format('nt')}, chr(10)), lambda x: x <> '')) = len(nw)"),
@@ -190,14 +244,14 @@ SUITE = [
     ("sentence:increment", {"n": 1}, adjacent("sw", "{b} = {a} + 1")),
     ("words:no_consecutive", {}, adjacent("ini", "{a} <> {b}")),
     ("format:line_indent", {}, adjacent("ind", "{b} > {a}")),
-    ("format:quote_unquote", {}, None),
+    ("format:quote_unquote", {}, NO_QUOTE),
     ("format:list", {"sep": "->"}, f"{occurrences('t', sql_text('->'))} >= 2"),
     ("format:thesis", {}, r"regexp_matches(t, '(?s)^.*?<i>\s*[^\s<].*?</i>\s*\S')"),
     ("format:sub-bullets", {}, every("string_split(t, '*')[2:]", "contains(v, '-')")),
-    ("format:no_bullets_bullets", {}, None),
+    ("format:no_bullets_bullets", {}, f"({BULLETS}).ok AND ({BULLETS}).b >= 2"),
     ("custom:multiples", {}, r"regexp_extract_all(t, '\d+') = ['14', '21', '28', '35', '42', '49']"),
-    ("custom:mcq_count_length", {}, None),
-    ("custom:reverse_newline", {}, None),
+    ("custom:mcq_count_length", {}, f"starts_with(t, 'Question') AND len({PARTS}) = 4 AND {MCQ_FIVE} AND {adjacent(MCQ_HEADS, '{b} > {a}')}"),
+    ("custom:reverse_newline", {}, f"len({AFRICA}) >= 52 AND list_reverse_sort({AFRICA}) = {AFRICA}"),
     ("custom:word_reverse", {}, "contains(array_to_string(list_reverse(lw), ' '), 'bald eagle')"),
     ("custom:character_reverse", {}, "contains(lower(t), 'elgae dlab')"),
     ("custom:sentence_alphabet", {}, "array_to_string(list_transform(s, lambda x: lower(left(ltrim(x), 1))), '') = 'abcdefghijklmnopqrstuvwxyz'"),
@@ -234,7 +288,7 @@ def _register(instruction, args, rule):
         ok = ck.follows(instruction, F.col("t"), ck.Args(args_column(args)), F.col("p"))
         return responses(spark, sf_dir).select("rid", ok.alias("followed"))
 
-    sql = None if rule is None else f"SELECT rid, tr <> '' AND coalesce({rule}, false) AS followed FROM resp_lists"
+    sql = f"SELECT rid, tr <> '' AND coalesce({rule}, false) AS followed FROM resp_lists"
     run.__name__ = query_name(instruction)
     run.__doc__ = f"Instruction check {instruction} over all responses."
     query(query_name(instruction), sql)(run)
@@ -246,32 +300,38 @@ for _instruction, _args, _rule in SUITE:
 
 # --- reports ----------------------------------------------------------------------
 
-REPORT_IDS = [
-    ("punctuation:no_comma", {}, "NOT contains(v, ',')"),
-    ("change_case:english_lowercase", {}, "lower(v) = v AND upper(v) <> v"),
-    ("format:list", {"sep": "->"}, "len(string_split(v, '->')) > 2"),
-    ("keywords:existence", {"keywords": ["the"]}, "contains(lower(v), 'the')"),
-    ("format:no_whitespace", {}, r"NOT regexp_matches(v, '\s')"),
-    ("detectable_content:number_placeholders", {"n": 1}, r"regexp_matches(v, '\[.*?\]')"),
-]
+# Every response gets GIVEN instructions of the suite, from its number; over the table all of them occur.
+GIVEN, STEP, SHIFT = 6, 7, 13
 view(
-    "graded",
+    "variant_raw",
     f"""
-    WITH v AS (SELECT rid, t, string_split(t, chr(10)) AS r FROM raw_resp),
-    x AS (SELECT rid, t, {STRIP.format("array_to_string(r[2:], chr(10))")} AS f, {STRIP.format("array_to_string(r[:len(r) - 1], chr(10))")} AS l,
+    WITH v AS (SELECT rid, k, p, t, string_split(t, chr(10)) AS r FROM raw_resp),
+    x AS (SELECT rid, k, p, t, {STRIP.format("array_to_string(r[2:], chr(10))")} AS f, {STRIP.format("array_to_string(r[:len(r) - 1], chr(10))")} AS l,
                  {STRIP.format("array_to_string(CASE WHEN len(r) > 2 THEN r[2:len(r) - 1] ELSE [] END, chr(10))")} AS b FROM v),
-    y AS (SELECT rid, t, list_concat([t, f, l, b], list_transform([t, f, l, b], lambda z: replace(z, '*', ''))) AS vs FROM x),
-    z AS (SELECT rid, unnest(list_concat([t], vs)) AS v, unnest(range(0, 9)) AS i FROM y)
-    {" UNION ALL ".join(f"SELECT rid, '{n}' AS instruction_id, bool_or(i = 0 AND trim(v, ' ' || chr(10)) <> '' AND {r}) AS strict, bool_or(trim(v, ' ' || chr(10)) <> '' AND {r}) AS loose FROM z GROUP BY rid" for n, _, r in REPORT_IDS)}
+    y AS (SELECT rid, k, p, t, list_concat([t, f, l, b], list_transform([t, f, l, b], lambda z: replace(z, '*', ''))) AS vs FROM x)
+    SELECT rid, k, p, true AS raw, t FROM y UNION ALL SELECT rid, k, p, false, unnest(list_distinct(list_filter(vs, lambda z: z <> t))) FROM y
+    """,
+)
+view("variant_resp", resp_sql("variant_raw"))
+view("variant_lists", lists_sql("variant_resp"))
+view(
+    "graded",
+    f"""
+    SELECT rid, instruction_id, bool_or(raw AND followed) AS strict, bool_or(followed) AS loose
+    FROM (SELECT rid, raw, instruction_id, tr <> '' AND coalesce(CASE instruction_id {" ".join(f"WHEN '{n}' THEN ({r})" for n, _, r in SUITE)} END, false) AS followed
+          FROM (SELECT *, ({sql_list([n for n, _, _ in SUITE])})[1 + (k * {STEP} + j * {SHIFT}) % {len(SUITE)}] AS instruction_id FROM variant_lists, range({GIVEN}) AS given(j)))
+    GROUP BY rid, instruction_id
     """,
 )
 
 
 def graded(spark, sf_dir):
     """One row per (response, instruction) with its strict and loose flags."""
-    rows = F.array(*[F.struct(F.lit(n).alias("instruction_id"), args_column({"_": "", **a}).alias("kwargs")) for n, a, _ in REPORT_IDS])
-    docs = responses(spark, sf_dir).withColumn("instructions", rows)
-    return ins.grade(docs, "rid", "t", "p", "instructions", [n for n, _, _ in REPORT_IDS])
+    suite = F.array(*[F.struct(F.lit(n).alias("instruction_id"), args_column({"_": "", **a}).alias("kwargs")) for n, a, _ in SUITE])
+    given = F.transform(F.array(*[F.lit(j) for j in range(GIVEN)]), lambda j: F.get(suite, ((F.col("k") * STEP + j * SHIFT) % len(SUITE)).cast("int")))
+    # Small files of short rows hold much work a row: more tasks than files.
+    spread = responses(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "rid")
+    return ins.grade(spread.withColumn("instructions", given), "rid", "t", "p", "instructions")
 
 
 @query(
