@@ -140,13 +140,13 @@ def get_golds(spark, sf_dir):
 @query(
     "num_samples_max",
     """
-    WITH s AS (SELECT 'brand:' || p_brand AS task, max(p_size) AS n FROM part WHERE p_size % 2 = 0 AND p_size > 40 GROUP BY p_brand)
+    WITH s AS (SELECT 'brand:' || p_brand AS task, max(p_size) AS n FROM part GROUP BY p_brand)
     SELECT p_partkey AS doc_id, 'brand:' || p_brand AS task, greatest(coalesce(n, 1), 1) AS num_samples FROM part LEFT JOIN s ON s.task = 'brand:' || p_brand
     """,
 )
 def num_samples_max(spark, sf_dir):
     part = fx.table(spark, sf_dir, "part").withColumn("task", cat("brand:", F.col("p_brand")))
-    specs = part.filter("p_size % 2 = 0 AND p_size > 40").select("task", F.col("p_size").alias("num_samples"))
+    specs = part.select("task", F.col("p_size").alias("num_samples"))
     return dc.num_samples_max(part.select(F.col("p_partkey").alias("doc_id"), "task"), specs)
 
 

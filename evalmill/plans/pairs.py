@@ -83,16 +83,16 @@ def quasi_f1_lang(spark, sf_dir):
     "drop_em_f1",
     rf"""
     WITH s AS (SELECT doc_id, string_split(gold, ' ') AS g, list_filter(string_split(norm_pred, ' '), lambda w: true) AS p,
-                      len(string_split(CASE WHEN doc_id % 4 = 3 THEN trim(pred) ELSE pred END, ' ')) AS n_spans FROM helm WHERE doc_id % 4 <> 3),
-    c AS (SELECT doc_id, n_spans, len(list_intersect(g, p)) AS hits, len(p) AS np FROM s)
+                      len(string_split(pred, ' ')) AS n_spans FROM helm),
+    c AS (SELECT doc_id, n_spans, list_sum(list_transform(list_distinct(g), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(p, lambda y: y = x))))) AS hits, len(p) AS np FROM s)
     SELECT doc_id, CASE WHEN hits = 2 AND np = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em,
            round_even(hits::DOUBLE / greatest(2, n_spans), 2) AS f1
     FROM c
     """,
 )
 def drop_em_f1(spark, sf_dir):
-    """Two one-word gold spans against the words of the prediction (spans of distinct words)."""
-    df = fx.string_pairs(spark, sf_dir).filter("doc_id % 4 <> 3")
+    """Two one-word gold spans against the words of the prediction; blanks at its ends are empty spans."""
+    df = fx.string_pairs(spark, sf_dir)
     em, matrix = pr.span_match(F.split("gold", " "), F.split("pred", " "))
     return df.select("doc_id", em.alias("em"), matrix.alias("m")).select("doc_id", "em", pr.aligned_f1(F.col("m")).alias("f1"))
 
