@@ -19,6 +19,7 @@ MODULES = (
     "corpora",
     "io",
     "extension",
+    "scoring",
 )
 
 
