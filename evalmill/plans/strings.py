@@ -194,6 +194,52 @@ def extract_number(spark, sf_dir):
     return number_answers(spark, sf_dir).select("doc_id", r6(value).alias("value"))
 
 
+view(
+    "expressions",
+    """
+    SELECT p_partkey AS doc_id, ['en', 'zh', 'de', 'hi'][1 + p_partkey % 4] AS lang,
+           ['The answer is ', '答案：', 'Die Antwort: ', 'उत्तर: '][1 + p_partkey % 4] || CASE p_partkey % 6
+             WHEN 0 THEN p_size || '/4' WHEN 1 THEN '3*(' || p_size || '+5)' WHEN 2 THEN '2^' || (p_size % 12) WHEN 3 THEN p_size || ' - 7 × 2'
+             WHEN 4 THEN '(' || p_size || '-60)/(2+3)*-2' ELSE CAST(p_size AS VARCHAR) END || ['. Yes', '。', ', ja', '।'][1 + p_partkey % 4] AS text,
+           CASE p_partkey % 6
+             WHEN 0 THEN p_size / 4.0::DOUBLE WHEN 1 THEN 3.0::DOUBLE * (p_size + 5) WHEN 2 THEN power(2, p_size % 12) WHEN 3 THEN p_size - 14.0::DOUBLE
+             WHEN 4 THEN (p_size - 60) / 5.0::DOUBLE * -2 ELSE p_size::DOUBLE END AS value
+    FROM part
+    """,
+)
+
+
+def expressions(spark, sf_dir):
+    """Answers that are expressions over the size of a part, in four languages."""
+    size = F.col("p_size").cast("string")
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % 4).cast("int"))
+    form = F.col("p_partkey") % 6
+    text = (
+        F.when(form == 0, F.concat(size, F.lit("/4")))
+        .when(form == 1, F.concat(F.lit("3*("), size, F.lit("+5)")))
+        .when(form == 2, F.concat(F.lit("2^"), (F.col("p_size") % 12).cast("string")))
+        .when(form == 3, F.concat(size, F.lit(" - 7 × 2")))
+        .when(form == 4, F.concat(F.lit("("), size, F.lit("-60)/(2+3)*-2")))
+        .otherwise(size)
+    )
+    before, after = pick("The answer is ", "答案：", "Die Antwort: ", "उत्तर: "), pick(". Yes", "。", ", ja", "।")
+    return fx.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("doc_id"), pick("en", "zh", "de", "hi").alias("lang"), F.concat(before, text, after).alias("text"), text.alias("expression")
+    )
+
+
+@query("extract_expression", "SELECT doc_id, lang, round(value, 6) AS value FROM expressions")
+def extract_expression(spark, sf_dir):
+    """Each text is read with the words and marks of its own language."""
+    value = ex.extract_number(F.col("text"), F.col("lang"), ["en", "zh", "de", "hi"])
+    return expressions(spark, sf_dir).select("doc_id", "lang", r6(value).alias("value"))
+
+
+@query("expression_value", "SELECT doc_id, round(value, 6) AS value FROM expressions")
+def expression_value(spark, sf_dir):
+    return expressions(spark, sf_dir).select("doc_id", r6(ex.expression_value(F.col("expression"))).alias("value"))
+
+
 view(
     "letter_answers",
     """

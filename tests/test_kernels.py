@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.functions import checks as ck
+from evalmill.functions import expressions as ev
 from evalmill.functions import extract as ex
 from evalmill.functions import logprob as lp
 from evalmill.functions import ngrams as ng
@@ -91,6 +92,34 @@ def test_letters(one):
     assert one(*[ex.extract_choice_letter(L(t), 4) for t in texts]) == ("B", "C", "A", "D", "A")
 
 
+def test_expressions(one):
+    """Values of expressions in answers, and numbers where there is none."""
+    texts = ["The answer is 1/2.", "answer: 3*(4+5)", "so it is 2^10 in all", "answer = -2^2", "the answer is 7 (seven", "1/0 is no answer: 5", "3 + 4 = 7", "x 10 - 4 × 2 ÷ 8 y"]
+    assert one(*[ex.extract_number(L(t)) for t in texts]) == pytest.approx((0.5, 27.0, 1024.0, -4.0, 7.0, 5.0, 7.0, 9.0))
+
+
+def test_expression_values(one):
+    """The grammar against Python's own: precedence, brackets, powers from the right, signs."""
+    texts = ["1-2-3", "8/4/2", "2^3^2", "2*-3^2", "2/-4", "2^-2", "-(3)+--1", "(1+2)*(3-4)/5", "10-(2+3)*2^2", ".5+1.", "((7))"]
+    assert one(*[ev.expression_value(L(t)) for t in texts]) == pytest.approx(tuple(float(eval(t.replace("^", "**"))) for t in texts))
+    assert one(*[ev.expression_value(L(t)) for t in ("1/0", "1+", "(1", "1)", "2 3", "", "a", "2*(", "9^9^9")]) == (None,) * 9
+
+
+def test_answers_by_language(one):
+    letters = [("zh", "答案：B。因为A不对", "B"), ("zh", "B不是 A", "B"), ("zh", "B。 不是 A", "B"), ("fr", "réponse est C non A", "C"), ("ja", "回答：(D)、Aではない", "D"), ("hi", "उत्तर: B। A नहीं", "B"), ("en", "The answer: D, not A", "D")]
+    assert one(*[ex.extract_choice_letter(L(t), 4, code) for code, t, _ in letters]) == tuple(x for _, _, x in letters)
+    numbers = [("zh", "答案：42", 42.0), ("de", "Die Antwort: 3,5 Meter und 7", 3.5), ("ru", "ответ 12% от 5", 0.12), ("th", "คำตอบ: 6/4", 1.5)]
+    assert one(*[ex.extract_number(L(t), code) for code, t, _ in numbers]) == pytest.approx(tuple(x for _, _, x in numbers))
+    with pytest.raises(ValueError, match="xx"):
+        ex.extract_number(L("1"), "xx")
+
+
+def test_each_language_has_patterns():
+    for code in ex.LANGUAGES:
+        patterns = ex.number_patterns(code) + ex.letter_patterns(4, code)
+        assert not any(x in p for p in patterns for x in ("{v}", "{ix}", "{end}", "{answer}", "{colon}", "{space}"))
+
+
 def test_numeric_equal(one):
     cases = [("1.0", "1", True), ("50%", "0.5", True), ("1,000", "1000", True), ("1d", "1", False), ("abc", " abc", True), ("", "", False)]
     assert list(one(*[ex.numeric_equal(L(a), L(b)) for a, b, _ in cases])) == [c for *_, c in cases]
