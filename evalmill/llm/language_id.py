@@ -13,6 +13,10 @@ step for all documents of a chunk that are still running.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,8 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.001
 #: Bytes scored at a time.
 CHUNK_BYTES = 1 << 21
-#: First code point of each script range and its name: the common alphabets; the rest is "other".
+#: First code point of each script range and its name: the common alphabets; other letters are "other".
+#: What a letter is, is told by its Unicode category alone.
 SCRIPTS = (
     (0x00, "none"), (0x41, "latin"), (0x5B, "none"), (0x61, "latin"), (0x7B, "none"), (0xAA, "latin"), (0xAB, "none"), (0xB5, "greek"),
     (0xB6, "none"), (0xBA, "latin"), (0xBB, "none"), (0xC0, "latin"), (0xD7, "none"), (0xD8, "latin"), (0xF7, "none"), (0xF8, "latin"),
@@ -51,6 +56,15 @@ def lowered(column: pa.Array) -> pa.Array:
     return pa.array([(t or "").lower() for t in column.to_pylist()], pa.large_string())
 
 
+@lru_cache(maxsize=1)
+def scripts() -> np.ndarray:
+    """Script of every code point that is a letter (categories L), -1 of all others: 1.1 MB."""
+    points = np.arange(sys.maxunicode + 1)
+    script = _SCRIPT[np.searchsorted(_FIRST, points, side="right") - 1].astype(np.int8)
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in points), dtype=bool, count=len(points))
+    return np.where(letter, np.where(script < 0, NAMES.index("other"), script), -1).astype(np.int8)
+
+
 def letter_scripts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(word, script) of every letter of the chunk."""
     data = words.data.astype(np.int64)
@@ -60,7 +74,7 @@ def letter_scripts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     b = padded[lead]
     rest = [padded[lead + k] & 0x3F for k in (1, 2, 3)]
     point = np.where(b < 0x80, b, np.where(b < 0xE0, (b & 0x1F) << 6 | rest[0], np.where(b < 0xF0, (b & 0x0F) << 12 | rest[0] << 6 | rest[1], (b & 7) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2])))
-    script = _SCRIPT[np.searchsorted(_FIRST, point, side="right") - 1]
+    script = scripts()[np.minimum(point, sys.maxunicode)].astype(np.int64)
     letters = script >= 0
     of = np.zeros(n + 1, dtype=np.int64)
     of[words.starts] = 1
@@ -139,7 +153,7 @@ def best_path(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarr
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
     path = np.zeros(len(scores), dtype=np.int64)
-    back = np.zeros(scores.shape, dtype=np.int8)
+    back = np.zeros(scores.shape, dtype=np.min_scalar_type(scores.shape[1]))
     running = int((sizes > 0).sum())
     if not running:
         return path
@@ -192,7 +206,7 @@ def identify(docs: DataFrame, train: DataFrame, switch: float = SWITCH, spans: b
     of that language; with ``spans`` also spans, an array of (word, words, lang): first word,
     number of words and language of each span of one language.
 
-    A text without a letter, an empty or a null text has lang_pred ``und``, score 0 and no
+    A text without a letter (Unicode categories L), an empty or a null text has lang_pred ``und``, score 0 and no
     spans, as has every text if there is nothing to learn from. Equal shares go to the
     language that sorts first. Rows that repeat a doc_id are labelled one by one; training
     rows without text or lang are passed over. Other columns are not read.

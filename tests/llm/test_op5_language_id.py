@@ -44,6 +44,25 @@ def test_best_path_is_the_best_of_all(spark):
             assert np.isclose(worth(path[a:b]), max(worth(p) for p in product(range(3), repeat=b - a)))
 
 
+def test_best_path_with_many_languages():
+    """More languages than a byte counts."""
+    rng = np.random.default_rng(5)
+    scores = rng.normal(size=(40, 300))
+    scores[:20, 290] += 9
+    scores[20:, 135] += 9
+    assert best_path(scores, np.array([0, 40]), 3.0).tolist() == [290] * 20 + [135] * 20
+
+
+def test_letters_are_told_by_their_category(spark):
+    """Letters of any script are letters; digits, marks and punctuation of any script are none."""
+    letters = ["ⵜⴰⵎⴰⵣⵉⵖⵜ", "ⲁⲃⲅ", "ｆｕｌｌ", "ℕ", "𝓍", "ª", "中", "𐐷"]
+    others = ["١٢٣", "१२३", "๑๒๓", "،", "۔", "₅", "½", "٪", "́", "😀", "① ②", "—"]
+    docs = spark.createDataFrame(list(enumerate(letters + others)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in identify(docs, frame(spark, TRAIN)).collect()}
+    assert all(got[k] != "und" for k in range(len(letters)))
+    assert all(got[len(letters) + k] == "und" for k in range(len(others)))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
