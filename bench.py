@@ -37,6 +37,7 @@ HEADLINE = [
     "pack_blocks",
     "check_keywords_forbidden_words",
     "if_report",
+    "scoring_job",
     "group_by_generation_params",
     "token_budget",
     "nli_pairs",
