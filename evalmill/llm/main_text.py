@@ -2,11 +2,13 @@
 
 The page is read as a tree that tolerates missing end tags. Text blocks pass points for their
 length and commas to their ancestors, less to farther ones; a container's points are
-discounted by its share of link text. The container with the most points is kept, or the
-article around it, with those siblings that score or read like article text. Menus, page
-headers, footers, sidebars, notices, adverts, forms, comments and hidden parts, told by tag,
-role or the names in class and id, are left out wherever they stand; but names never leave out
-an element that is the container of most of the page's text.
+discounted by its share of link text. An element whose text is all in one child is a mere
+wrapper and counts as no step on the way up. The container with the most points is kept, or the
+article around it, with those siblings, of it and of its ancestors, that score or read like
+article text. Menus, page headers, footers, sidebars, notices, adverts, forms, comments and
+hidden parts, told by tag, role or the names in class and id, are left out wherever they stand;
+but names never leave out an element that is the container of most of the page's text. An
+article whose headline is a link announces another page, unless it holds most of the text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_SENTENCE = re.compile(r"""[.!?\u2026\u3002\uff01\uff1f\u061f\u0964]["'\u201d\u2019\u00bb)\]]*(?:\s|\Z)""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,12 +45,17 @@ DROPPED_WORDS = frozenset(
     "footer masthead comment comments disqus respond replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing "
     "social related recommended pagination pager toolbar widget widgets skip hidden".split()
 )
-#: Those of them that leave out an article.
-COMMENT_WORDS = frozenset(["comment", "comments"])
+#: Words that leave out a block, an article too, whatever stands beside them in its name.
+COMMENT_WORDS = frozenset("comment comments disqus".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertisements adsense adslot sponsor sponsored promo promoted newsletter popup teaser teasers".split())
+RELATED_WORDS = frozenset("related recommended recommendations".split())
+#: But not beside these: ``comments-open`` and ``no-ads`` tell a state, ``related-work`` is a section's subject.
+STATES = frozenset("has no not without with open opened closed enabled disabled off free allow allowed".split())
+SUBJECTS = frozenset("work works literature research theory concepts terms methods".split())
 #: Words that may stand beside a dropped one in a name: ``site-footer`` is one, ``has-sidebar`` and ``social-policy`` are not.
 QUALIFIERS = frozenset(
     "left right top bottom site main area list box container wrapper bar block section inner outer slot unit primary secondary global page post "
-    "link links button buttons body div even odd depth icons item items panel group sticky mobile desktop".split()
+    "link links button buttons body div even odd depth icons item items panel group sticky mobile desktop form".split()
 )
 #: Share of the page's text that makes an element its container, with a heading or an article inside and without.
 MOST, NEARLY_ALL = 0.5, 0.9
@@ -60,6 +69,10 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table".split())
+#: Siblings that a long text makes part of the article.
+TEXTUAL = frozenset("p section div article blockquote pre figure details center".split()) | LISTS
 #: Ancestors that a block's points reach.
 REACH = 5
 
@@ -80,8 +93,20 @@ def named(names: str, words: frozenset[str]) -> bool:
     return False
 
 
-def unwanted(tag: str, source: str, in_article: bool) -> str:
-    """Whether an element is left out with all it holds: "" or the reason, "part" or "name"."""
+def mentioned(names: str, words: frozenset[str], but: frozenset[str]) -> bool:
+    """Whether a name holds one of ``words`` and none of ``but``; capitals start words, too."""
+    for name in names.split():
+        parts = set(_WORD.findall(name.lower())) | {w.lower() for w in _CAMEL.findall(name)}
+        if not words.isdisjoint(parts) and but.isdisjoint(parts):
+            return True
+    return False
+
+
+def unwanted(tag: str, source: str, in_article: bool, in_code: bool = False) -> str:
+    """Whether an element is left out with all it holds: "" or the reason, "part", "name" or "comments".
+
+    Names inside of preformatted text are a highlighter's, and leave out nothing.
+    """
     if tag in DROPPED:
         return "part"
     if tag == "header" and not in_article:
@@ -93,10 +118,18 @@ def unwanted(tag: str, source: str, in_article: bool) -> str:
         return "part"
     if own.get("role", "").lower() in DROPPED_ROLES:
         return "part"
-    names = f"{own.get('class', '')} {own.get('id', '')}".lower()
+    names = f"{own.get('class', '')} {own.get('id', '')}"
+    if in_code or names == " ":
+        return ""
+    block = tag in BLOCK or "-" in tag
+    if block and tag not in HEADINGS and tag != "main":
+        if mentioned(names, COMMENT_WORDS, STATES):
+            return "comments"
+        if mentioned(names, ADVERT_WORDS, STATES) or mentioned(names, RELATED_WORDS, STATES | SUBJECTS):
+            return "name"
     if tag in ("article", "main"):
-        return "name" if named(names, COMMENT_WORDS) else ""
-    return "name" if named(names, DROPPED_WORDS if in_article else DROPPED_WORDS | {"header"}) else ""
+        return ""
+    return "name" if named(names.lower(), DROPPED_WORDS if in_article else DROPPED_WORDS | {"header"}) else ""
 
 
 class Page:
@@ -105,8 +138,9 @@ class Page:
     def __init__(self, source: str, containers: frozenset[int] = frozenset()):
         """``containers`` are elements that names do not leave out."""
         self.containers = containers
-        self.named: list[int] = []  # elements left out by name
-        self.part, self.own, self.heads = [False], [0], [False]  # left out otherwise; letters, headings, names aside
+        self.named: list[tuple[int, str]] = []  # elements left out by name, and the reason
+        self.part, self.own, self.heads = [False], [0], [0]  # left out otherwise; letters, headings (2) or articles (1), names aside
+        self.code = [False]
         self.tag, self.parent, self.dropped, self.article, self.linked = ["#"], [-1], [False], [False], [False]
         self.end = [0]
         self.blocks: list[tuple[int, str, int]] = []  # (element, text, letters in links)
@@ -174,13 +208,15 @@ class Page:
         self.tag.append(tag)
         self.parent.append(top)
         self.article.append(self.article[top] or tag in ("article", "main"))
-        reason = unwanted(tag, rest, self.article[top])
-        if reason == "name":
-            self.named.append(k)
+        reason = unwanted(tag, rest, self.article[top], self.code[top])
+        by_name = reason in ("name", "comments")
+        if by_name:
+            self.named.append((k, reason))
+        self.code.append(self.code[top] or tag in ("pre", "code"))
         self.part.append(self.part[top] or reason == "part")
-        self.dropped.append(self.dropped[top] or reason == "part" or (reason == "name" and k not in self.containers))
+        self.dropped.append(self.dropped[top] or reason == "part" or (by_name and k not in self.containers))
         self.own.append(0)
-        self.heads.append(not self.part[k] and not reason and tag in ("h1", "article", "main"))
+        self.heads.append(0 if self.part[k] or reason else 2 if tag in ("h1", "main") else int(tag == "article"))
         self.linked.append(self.linked[top] or tag == "a")
         self.end.append(k + 1)
         self.stack.append(k)
@@ -226,8 +262,14 @@ def read_page(source: str) -> Page:
     held, heads = page.own[:], page.heads[:]
     for k in range(len(page.tag) - 1, 0, -1):
         held[page.parent[k]] += held[k]
-        heads[page.parent[k]] |= heads[k]
-    containers = frozenset(k for k in page.named if held[k] > (MOST if heads[k] else NEARLY_ALL) * held[0])
+        heads[page.parent[k]] = max(heads[page.parent[k]], heads[k])
+
+    def holds_most(k: int, reason: str) -> bool:
+        if reason == "comments":  # readers may write more than the author: a title or all of the text
+            return held[k] > MOST * held[0] if heads[k] == 2 else held[k] == held[0]
+        return held[k] > (MOST if heads[k] else NEARLY_ALL) * held[0]
+
+    containers = frozenset(k for k, reason in page.named if holds_most(k, reason))
     return Page(source, containers) if containers else page
 
 
@@ -238,22 +280,34 @@ def main_text(source: str | None) -> str:
     if not blocks:
         return ""
     n = len(page.tag)
-    points, letters, linked = [0.0] * n, [0] * n, [0] * n
+    points, letters, linked, sentences = [0.0] * n, [0] * n, [0] * n, [False] * n
+    teasers = set()
     for holder, text, links in blocks:
         letters[holder] += len(text)
         linked[holder] += links
-        if len(text) < 25 or page.tag[holder] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if page.tag[holder] == "p" and _SENTENCE.search(text):
+            sentences[holder] = True
+        if page.tag[holder] in HEADINGS and links and page.article[holder] and links >= len(text.replace(" ", "")):
+            up = holder
+            while up > 0 and page.tag[up] != "article":
+                up = page.parent[up]
+            teasers.add(up)
+    for k in range(n - 1, 0, -1):
+        letters[page.parent[k]] += letters[k]
+        linked[page.parent[k]] += linked[k]
+        sentences[page.parent[k]] |= sentences[k]
+    for holder, text, _ in blocks:
+        if len(text) < 25 or page.tag[holder] in HEADINGS:
             continue
         worth = 1 + text.count(",") + min(len(text) // 100, 3)
         up = holder if page.tag[holder] in ("div", "section", "article", "main", "body") else page.parent[holder]
-        for level in range(REACH):
-            if up < 0:
-                break
+        level = 0
+        while up >= 0:
             points[up] += worth / (1, 2, 6, 9, 12)[level]
+            level += up > 0 and letters[page.parent[up]] > letters[up]
+            if level == REACH:
+                break
             up = page.parent[up]
-    for k in range(n - 1, 0, -1):
-        letters[page.parent[k]] += letters[k]
-        linked[page.parent[k]] += linked[k]
 
     def density(k: int) -> float:
         return min(linked[k] / letters[k], 1.0) if letters[k] else 0.0
@@ -267,18 +321,45 @@ def main_text(source: str | None) -> str:
         if page.tag[up] == "article" or (page.tag[up] == "main" and page.tag[best] != "article"):
             best = up
         up = page.parent[up]
+    least = max(10.0, 0.2 * scores[best])
+    # An article, a main part and what is left of a page are bounds; another container has none.
+    bounded = page.article[best]
     kept = [(best, page.end[best])]
-    if best:
-        least = max(10.0, 0.2 * scores[best])
-        own = page.parent[best]
-        child = own + 1
-        while child < page.end[own]:
-            if child != best and page.parent[child] == own:
-                long_text = letters[child] > 80 and density(child) < 0.25
-                if scores[child] >= least or (page.tag[child] in ("p", "section", "div", "article", "blockquote", "pre") and long_text):
+
+    def is_text(k: int, level: int, before: bool) -> bool:
+        """Whether a sibling belongs to the text, ``level`` branchings above the container."""
+        tag = page.tag[k]
+        if not letters[k] or density(k) >= 0.25 and scores[k] < least:
+            return False
+        if k in teasers and best not in teasers:
+            return False
+        if scores[k] >= least or (letters[k] > 80 and tag in (TEXTUAL - LISTS if bounded else TEXTUAL)):
+            return True
+        if bounded:
+            return False
+        if tag == "h1":
+            return before
+        return level == 1 and (tag in HEADINGS or (not linked[k] and (sentences[k] or tag in LISTS)))
+
+    path, level = best, 0
+    while path > 0:
+        own = page.parent[path]
+        if letters[own] > letters[path]:
+            level += 1
+            child = own + 1
+            while child < page.end[own]:
+                if child != path and is_text(child, level, child < path):
                     kept.append((child, page.end[child]))
-            child = max(page.end[child], child + 1)
-    return "\n".join(text for holder, text, _ in blocks if any(a <= holder < b for a, b in kept))
+                child = max(page.end[child], child + 1)
+            if bounded:
+                break
+        path = own
+    # Announcements go, unless the page is a list of them.
+    listed = best in teasers or 2 * sum(letters[k] for k in teasers if best < k < page.end[best]) > letters[best]
+    left = [] if listed else [(k, page.end[k]) for k in teasers if not k < best < page.end[k]]
+    return "\n".join(
+        text for holder, text, _ in blocks if any(a <= holder < b for a, b in kept) and not any(a <= holder < b for a, b in left)
+    )
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

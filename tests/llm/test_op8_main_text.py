@@ -84,3 +84,58 @@ def test_odd_rows(spark):
     long_text = ("long text, " * 50000).strip()
     assert got == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (2, None, "", 0), (None, "v", "", 0), (3, "w", long_text, len(long_text))], key=str)
     assert main_texts(df.limit(0)).count() == 0
+
+
+def test_wrapped_paragraphs():
+    """Wrappers to depth 5 around each paragraph lose neither paragraphs nor the heading."""
+    rng = random.Random(6)
+    for depth in range(6):
+        for n in (2, 3, 5, 8):
+            ps = [paragraph(rng, rng.randrange(12, 70)) for _ in range(n)]
+            body = "".join("<div>" * depth + f"<p>{p}</p>" + "</div>" * depth for p in ps)
+            source = f'<body><div class="wrap"><div><h1>Title here</h1>{body}</div></div><div class="footer">x</div>'
+            assert main_text(source) == "\n".join(["Title here", *ps])
+
+
+def test_parts_beside_the_container():
+    rng = random.Random(7)
+    ps = [paragraph(rng, 40) for _ in range(4)]
+    core = "".join(f"<p>{p}</p>" for p in ps)
+    links = '<div><a href="x">Privacy</a> <a href="y">Terms</a></div>'
+    source = f"<body><h1>Head</h1><div>{core}</div><div><p>Thanks for reading.</p></div><ul><li>one<li>two</ul>{links}"
+    assert main_text(source) == "\n".join(["Head", *ps, "Thanks for reading.", "one", "two"])
+
+
+def test_names_of_comments_adverts_and_related_parts():
+    rng = random.Random(8)
+    ps = [paragraph(rng, 40) for _ in range(4)]
+    core, want = "<h1>T</h1>" + "".join(f"<p>{p}</p>" for p in ps), "\n".join(["T", *ps])
+    names = (
+        "reader-comments article-comments user-comments comment-thread comments-wrap disqus_thread related-posts recommended-stories "
+        "newsletter-form cookie-policy-popup ad-leaderboard sponsored-content relatedPosts commentList"
+    )
+    for name in names.split():
+        for tag in ("div", "section", "article"):
+            for kind in ("class", "id"):
+                for length in (30, 400):  # 400: readers write more than the author
+                    part = f'<{tag} {kind}="{name}"><p>{paragraph(rng, length)}</p></{tag}>'
+                    assert main_text(f"<body><article>{core}</article>{part}") == want, name
+                    assert main_text(f"<body><div>{core}{part}</div>") == want, name
+    text = paragraph(rng, 60)
+    for name in ("related-work", "no-ads", "with-comments"):
+        assert main_text(f'<article>{core}<section id="{name}"><p>{text}</p></section></article>') == f"{want}\n{text}"
+    code = '<pre><span class="comment"># add</span> x = 1</pre>'
+    assert main_text(f"<article>{core}{code}</article>") == f"{want}\n# add x = 1"
+
+
+def test_announced_articles():
+    """Articles whose headline is a link go, but on a page that lists nothing else."""
+    rng = random.Random(9)
+    ps = [paragraph(rng, 40) for _ in range(4)]
+    core, want = "<h1>T</h1>" + "".join(f"<p>{p}</p>" for p in ps), "\n".join(["T", *ps])
+    parts = [(paragraph(rng, 4), paragraph(rng, 25)) for _ in range(3)]
+    teasers = "".join(f'<article><h3><a href="x">{a}</a></h3><p>{b}</p></article>' for a, b in parts)
+    assert main_text(f"<body><article>{core}</article>{teasers}") == want
+    assert main_text(f"<body><div><article>{core}</article><div>{teasers}</div></div>") == want
+    assert main_text(f"<body><article>{core}<div>{teasers}</div></article>") == want
+    assert main_text(f"<body><div>{teasers}</div>") == "\n".join(x for part in parts for x in part)
