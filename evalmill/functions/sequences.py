@@ -4,6 +4,8 @@ Each is a pandas UDF over Arrow batches that loops inside the batch; joins,
 grouping and averaging around them stay in Spark.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -24,21 +26,43 @@ def lcs_length(a, b):
 
 
 def lcs_positions(ref, cand):
-    """Positions in ``ref`` of one longest common subsequence with ``cand``."""
-    n, m = len(ref), len(cand)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    codes = {}
-    r = np.array([codes.setdefault(t, len(codes)) for t in ref])
-    c = np.array([codes.setdefault(t, len(codes)) for t in cand])
-    for i in range(1, n + 1):
-        hit = table[i - 1, :-1] + (c == r[i - 1])
-        table[i, 1:] = np.maximum.accumulate(np.maximum(hit, table[i - 1, 1:]))
-    out, i, j = [], n, m
+    """Positions in ``ref`` of one longest common subsequence with ``cand``.
+
+    Where two cells of the classic table tie, the walk back leaves the reference's token out. The
+    table is never built: a row is one bit per token of ``cand``, set where the length does not
+    grow. Every sqrt(n)-th row is kept, and the rows between are made again on the way back, so
+    two lines of 20,000 words take about 2 MB. Along a row pair the lengths of the lower row
+    exceed those above by 0 or 1, and change sides where the bits differ: the parity of the
+    differing bits before a column tells which.
+    """
+    masks = {}
+    for j, token in enumerate(cand):
+        masks[token] = masks.get(token, 0) | (1 << j)
+    full = (1 << len(cand)) - 1
+
+    def below(row, token):
+        hit = row & masks.get(token, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    stride = math.isqrt(len(ref)) + 1
+    kept, row = [], full
+    for i, token in enumerate(ref):
+        if i % stride == 0:
+            kept.append(row)
+        row = below(row, token)
+    out, i, j = [], len(ref), len(cand)
+    base = len(ref)
+    rows = []
     while i and j:
+        if i <= base:
+            base = (i - 1) // stride * stride
+            rows = [kept[base // stride]]
+            for token in ref[base:i]:
+                rows.append(below(rows[-1], token))
         if ref[i - 1] == cand[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif table[i, j - 1] > table[i - 1, j]:
+        elif ((rows[i - base] ^ rows[i - 1 - base]) & ((1 << j) - 1)).bit_count() & 1:
             j -= 1
         else:
             i -= 1

@@ -11,6 +11,7 @@ plan and every re-run of a lost task sees the same ranges.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalmill.functions.arrays import let
 
 #: Rows drawn for each range to find the bounds of a text column.
 SAMPLE = 50
@@ -33,7 +34,6 @@ def default_ranges(df):
     return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-
 def quantile_bounds(df, cols, ranges):
     """Approximate quantiles of the columns, each a short sorted list.
 
@@ -56,12 +56,21 @@ def quantile_bounds(df, cols, ranges):
 
 
 def _bucket(v, bounds):
-    """Number of bounds below the value, doubled, plus one on a bound; -1 for null, which comes first."""
+    """Number of bounds below the value, doubled, plus one on a bound; -1 for null, which comes first.
+
+    A binary search: the bounds are one literal array and the value is bound once, since a Column
+    named inside a lambda is evaluated again for every element.
+    """
     if not bounds:
         return F.when(v.isNull(), -1).otherwise(0)
     arr = F.array(*[F.lit(b) for b in bounds])
-    found = (2 * F.size(F.filter(arr, lambda b: b < v)) + F.array_contains(arr, v).cast("int")).cast("int")
-    return F.when(v.isNull(), -1).otherwise(found)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def search(x):
+        below = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(arr, n + step - 1) < x, n + step).otherwise(n))
+        return let(below, lambda n: 2 * n + F.coalesce(F.get(arr, n) == x, F.lit(False)).cast("int"))
+
+    return F.when(v.isNull(), -1).otherwise(let(v, search))
 
 
 def range_buckets(df, key, tie, ranges=None):

@@ -27,13 +27,21 @@ def to_long(df, keys, metrics):
     return df.unpivot(list(keys), list(metrics), "metric", "value")
 
 
-def poisson_weight(digest, slot):
-    """Poisson(1) draw from the ``slot``-th four hex digits of an md5 (eight slots)."""
-    u = F.conv(F.substr(digest, slot * 4 + 1, F.lit(4)), 16, 10).cast("int")
-    weight = F.lit(0)
-    for step in POISSON1_STEPS:
-        weight = weight + (u >= step).cast("int")
-    return weight
+def poisson_weights(digest):
+    """Eight Poisson(1) draws from an md5, four hex digits each.
+
+    Draws have 16 bits and end at 8, an approximation: the true mass beyond is 1.1e-6.
+    """
+    weights = []
+    for first, digits in ((0, 12), (12, 12), (24, 8)):
+        number = F.conv(F.substr(digest, F.lit(first + 1), F.lit(digits)), 16, 10).cast("long")
+        for slot in range(digits // 4):
+            u = F.shiftright(number, digits * 4 - 16 * (slot + 1)).bitwiseAND(65535)
+            weight = F.lit(0)
+            for step in POISSON1_STEPS:
+                weight = weight + (u >= step).cast("int")
+            weights.append(weight)
+    return weights
 
 
 def bootstrap_replicates(df, keys, identity, sums, replicates=1000):
@@ -41,23 +49,35 @@ def bootstrap_replicates(df, keys, identity, sums, replicates=1000):
 
     A replicate gives each sample a Poisson(1) weight drawn from a hash of its
     identity, which resamples the corpus in one pass: no row index, no join
-    back. One md5 serves eight replicates. Replicates are exploded next to a
-    partial aggregate inside generated code, so what is shuffled is (keys x
-    replicates) rows per input task whatever the corpus size.
+    back. One md5 serves eight replicates, whose sums are columns of one row:
+    a sample becomes replicates / 8 rows next to a partial aggregate inside
+    generated code, so what is shuffled is (keys x replicates / 8) rows per
+    input task whatever the corpus size. Samples are dealt out by identity first:
+    a table of scores has few input splits for the work that each row makes.
     """
     blocks = (replicates + 7) // 8
+    slots = range(8)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         df.select(*keys, F.col(identity).alias("_id"), *[c.alias(n) for n, c in sums.items()])
+        .repartition(tasks, "_id")
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumn("_digest", F.md5(F.concat(F.col("_block").cast("string"), F.lit(":"), F.col("_id").cast("string"))))
-        .withColumn("_slot", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-        .withColumn("replicate", F.col("_block") * 8 + F.col("_slot"))
-        .filter(F.col("replicate") < replicates)
-        .withColumn("_w", poisson_weight(F.col("_digest"), F.col("_slot")))
     )
-    return drawn.groupBy(*keys, "replicate").agg(
-        F.sum("_w").alias("weight"), *[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums]
+    drawn = drawn.select(*keys, *sums, "_block", *[w.alias(f"_w{k}") for k, w in enumerate(poisson_weights(F.col("_digest")))])
+    totals = drawn.groupBy(*keys, "_block").agg(
+        *[F.sum(f"_w{k}").alias(f"_weight{k}") for k in slots],
+        *[F.sum(F.col(n) * F.col(f"_w{k}")).alias(f"_{n}{k}") for n in sums for k in slots],
+    )
+    each = F.array(
+        *[
+            F.struct(
+                (F.col("_block") * 8 + k).alias("replicate"), F.col(f"_weight{k}").alias("weight"), *[F.col(f"_{n}{k}").alias(n) for n in sums]
+            )
+            for k in slots
+        ]
     )
+    return totals.select(*keys, F.explode(each).alias("_r")).select(*keys, "_r.*").filter(F.col("replicate") < replicates)
 
 
 def bootstrap_stderr(replicates, keys, metric):

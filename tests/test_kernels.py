@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,6 +160,36 @@ def test_sequences_against_brute_force():
         assert sq.fragments(a, b) == brute_fragments(a, b)
 
 
+def test_lcs_positions_walk_back_as_over_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(25))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        want, i, j = [], len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                want.append(i - 1)
+                i, j = i - 1, j - 1
+            elif table[i][j - 1] > table[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        assert sq.lcs_positions(a, b) == want
+
+
+def test_lcs_positions_of_long_lines_take_little_memory():
+    rng = random.Random(6)
+    a, b = ([rng.randrange(500) for _ in range(20000)] for _ in range(2))
+    tracemalloc.start()
+    found = sq.lcs_positions(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == sq.lcs_length(a, b) and peak < 4_000_000
+
+
 def test_union_hits():
     assert sq.union_hits([list("abcde")], [list("ab"), list("ce")]) == 4
     assert sq.union_hits([list("aa")], [list("a")]) == 1

@@ -106,3 +106,10 @@ def test_documents_without_shots_stay(spark):
     docs, pool = spark.range(3).withColumnRenamed("id", "doc"), spark.range(1).withColumnRenamed("id", "pool")
     out = fs.attach(docs, fs.sample_per_doc(docs, pool, "doc", "pool", 1), "doc", "pool", 1, ["pool"])
     assert {r.doc: [s.pool for s in r.fewshot] for r in out.collect()} == {0: [], 1: [0], 2: [0]}
+
+
+def test_buckets_are_a_search_over_the_bounds(spark):
+    for bounds in ([], [3.0], [1.0, 2.0], [0.0, 2.0, 5.0], [float(k) for k in range(0, 40, 2)]):
+        rows = [r[0] for r in spark.createDataFrame([(float(k) / 2,) for k in range(-4, 100)] + [(None,)], "v double").select(ps._bucket(F.col("v"), bounds)).collect()]
+        want = [2 * sum(b < k / 2 for b in bounds) + (k / 2 in bounds) for k in range(-4, 100)] + [-1]
+        assert rows == want
