@@ -3,7 +3,8 @@
 Words are lower-cased in A-Z and parted by white space and ASCII marks, so case and punctuation
 do not hide a passage. Documents and benchmark items meet on shared seeds, runs of
 ``min_match`` words; only the stretches of a document made of such seeds can hold a tile, so
-only they are kept. For each candidate pair the longest match of unmarked words is found by
+only they are kept. A pair whose item has too few of its seeds in the document for the wanted
+coverage is left out unread. For each candidate pair the longest match of unmarked words is found by
 running Karp-Rabin hashes over both sides and marked, again and again, until no match of
 ``min_match`` words is left. Tiles may lie in any order, so reordered passages count in full.
 A document is contaminated by an item if its tiles cover ``percent`` of the item's words.
@@ -23,7 +24,7 @@ from evalmill.llm.words import grams, read_words, run_hashes
 
 
 def item_tokens(items: DataFrame, min_match: int) -> DataFrame:
-    """(item_id, words, seeds) of every item long enough for a tile."""
+    """(item_id, words, seeds) of every item long enough for a tile; a seed for each place of the item."""
 
     def run(batches):
         for batch in batches:
@@ -35,7 +36,7 @@ def item_tokens(items: DataFrame, min_match: int) -> DataFrame:
                     if b - a >= min_match:
                         ids.append(batch.column(0)[words.first + k])
                         own.append(words.hashes[a:b].view(np.int64))
-                        runs.append(np.unique(seeds[a : b - min_match + 1]).view(np.int64))
+                        runs.append(seeds[a : b - min_match + 1].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, batch.schema.field(0).type), pa.array(own, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))],
                     names=["item_id", "words", "seeds"],
@@ -139,10 +140,13 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 4, percent:
     either table are not read.
     """
     bench = staged(item_tokens(items, min_match).withColumn("row", F.monotonically_increasing_id()), "items")
-    seeds = bench.select(F.explode("seeds").alias("seed"), "row").distinct()
-    marks = docs.sparkSession.sparkContext.broadcast(id_filter(seeds.select("seed")))
+    seeds = bench.select(F.explode("seeds").alias("seed"), "row", F.size("words").alias("size"))
+    seeds = seeds.groupBy("seed", "row", "size").agg(F.count("*").alias("times"))
+    marks = docs.sparkSession.sparkContext.broadcast(id_filter(seeds.select("seed").distinct()))
     found = staged(seeded_stretches(docs, marks, min_match).withColumn("place", F.monotonically_increasing_id()), "stretches")
-    pairs = found.select("place", F.explode("seeds").alias("seed")).join(seeds, "seed").select("place", "row").distinct()
+    # A covered word lies in one of the item's seeds that the document holds, so their number bounds the coverage.
+    met = found.select("place", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("place", "row", "size").agg(F.sum("times").alias("held"))
+    pairs = met.filter(100 * min_match * F.col("held") >= percent * F.col("size")).select("place", "row")
 
     def run(batches):
         for batch in batches:
@@ -158,10 +162,12 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 4, percent:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
     wide = pairs.join(found.select("place", "doc_id", "stretch"), "place").join(bench.select("row", "item_id", "words"), "row")
-    tiled = wide.select("doc_id", "item_id", "stretch", "words").mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles long, longest long")
-    best = F.max(F.struct("coverage", -F.col("n_tiles"), "longest")).alias("best")
+    # Few bytes, much work: a number of tasks is named, or they would be merged into one by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = wide.repartition(tasks, "place", "row").select("doc_id", "item_id", "stretch", "words").mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles long, longest long")
+    best = F.max(F.struct("coverage", (-F.col("n_tiles")).alias("fewest"), "longest")).alias("best")
     one = tiled.groupBy("doc_id", "item_id").agg(best)
-    return one.select("doc_id", "item_id", F.col("best.coverage").alias("coverage"), (-F.col("best.col2")).alias("n_tiles"), F.col("best.longest").alias("longest"))
+    return one.select("doc_id", "item_id", F.col("best.coverage").alias("coverage"), (-F.col("best.fewest")).alias("n_tiles"), F.col("best.longest").alias("longest"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, min_match: int = 4, percent: int = 50) -> DataFrame:

@@ -70,3 +70,26 @@ def test_long_repeats(spark):
     docs = spark.createDataFrame([(1, "the " * 20000), (2, "a the " * 500)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "the " * 30, "")], ITEMS)
     assert [r.doc_id for r in contaminated(docs, items).collect()] == [1]
+
+
+def test_pairs_left_out_unread_are_not_contaminated(spark):
+    """Every share of an item in a document, in one tile or many, against tiling all pairs."""
+    rng = random.Random(11)
+    items = [[f"i{n}w{rng.randrange(12)}" for _ in range(rng.randrange(4, 40))] for n in range(12)]
+    docs = []
+    for n in range(120):
+        parts = []
+        for item in rng.sample(items, 3):
+            for _ in range(rng.randrange(1, 4)):
+                a = rng.randrange(len(item))
+                parts += [item[a : a + rng.randrange(2, 30)], [f"x{rng.randrange(9)}"] * rng.randrange(3)]
+        docs.append((n, " ".join(w for part in parts for w in part)))
+    table = spark.createDataFrame([(n, " ".join(item), "") for n, item in enumerate(items)], ITEMS)
+    want = {}
+    for n, text in docs:
+        for k, item in enumerate(items):
+            own = plain_tiles(item, text.split(), 4)
+            if 100 * sum(t[2] for t in own) >= 50 * len(item):
+                want[n, k] = (sum(t[2] for t in own) / len(item), len(own), own[0][2])
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_tiles, r.longest) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert want and len(want) < 120 * 12 and got == want
