@@ -7,11 +7,12 @@ texts are shuffled once and the n-grams never are.
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evalmill.functions.arrays import dbl
+from evalmill.functions.arrays import array_sum, dbl, let
 from evalmill.functions.ngrams import char_ngrams, chrf_words, ngrams
-from evalmill.functions.pairs import cosine
 
 
 def _exploded(pairs, keys, sides, by=None):
@@ -126,25 +127,63 @@ def corpus_chrf(pairs, keys, task, gold, pred, char_order=6, word_order=0, beta=
     return means.select(task, F.when(p + r > 0, 100 * (1 + f) * p * r / (f * p + r)).otherwise(dbl(0)).alias("chrf"))
 
 
-def greedy_embedding_match(vectors, pair, side, token, vector, weight):
+def _block_best(batches):
+    """Best cosine of every token of two blocks with the other block."""
+    for batch in batches:
+        parts = []
+        for key, ref, hyp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            sides = [side.values for side in (ref, hyp)]
+            ids, weights = ([s.field(k) for s in sides] for k in ("token", "weight"))
+            rows = [s.field("vector") for s in sides]
+            x, y = (np.asarray(r.flatten(), dtype=float).reshape(len(r), -1) for r in rows)
+            s = x @ y.T
+            for side, best in ((0, s.max(axis=1)), (1, s.max(axis=0))):
+                n = len(best)
+                parts.append([pa.array([key] * n, pa.string()), pa.array([side] * n, pa.int32()), ids[side], weights[side], pa.array(best)])
+        columns = [pa.concat_arrays(c) for c in zip(*parts)] if parts else []
+        if columns:
+            yield pa.RecordBatch.from_arrays(columns, names=["_pair", "_side", "_token", "_weight", "_s"])
+
+
+def greedy_embedding_match(vectors, pair, side, token, vector, weight, block=256):
     """Weighted precision, recall and F of best-cosine token matching per pair.
 
-    ``side`` is 0 for the reference and 1 for the prediction. Each pair joins
-    the tokens of its own two texts only.
-    """
-    ref = vectors.filter(F.col(side) == 0).select(pair, F.col(token).alias("rt"), F.col(vector).alias("rv"), F.col(weight).alias("rw"))
-    hyp = vectors.filter(F.col(side) == 1).select(pair, F.col(token).alias("ht"), F.col(vector).alias("hv"), F.col(weight).alias("hw"))
-    sims = ref.join(hyp, pair).select(pair, "rt", "rw", "ht", "hw", cosine(F.col("rv"), F.col("hv")).alias("s"))
-
-    def side_mean(tok, w, name):
-        best = sims.groupBy(pair, tok).agg(F.max("s").alias("s"), F.first(w).alias("w"))
-        return best.groupBy(pair).agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias(name))
+    ``side`` is 0 for the reference and 1 for the prediction; ``token`` names a vector within
+    its pair and side. Tokens are dealt by hash to blocks of about ``block`` vectors of unit
+    length. Every block of a pair's reference meets every block of its prediction once, in one
+    join, as one matrix product that gives both sides' best cosines; blocks are merged by
+    maximum. So a pair of any size is spread over tasks, and one of two short texts is one row.
 
-    scores = side_mean("ht", "hw", "precision").join(side_mean("rt", "rw", "recall"), pair)
+    A null vector is no token. A vector without length has a cosine of 0 with all others. A pair
+    without tokens on one side has the scores 0.
+    """
+    key = F.to_json(F.struct(F.col(pair).alias("k")))
+    length = F.sqrt(array_sum(F.transform(vector, lambda x: dbl(x) * dbl(x))))
+    unit = let(length, lambda n: F.transform(vector, lambda x: F.when(n > 0, dbl(x) / n).otherwise(dbl(0))))
+    named = vectors.select(
+        key.alias("_pair"), F.col(side).cast("int").alias("_side"), F.col(token).alias("_token"), dbl(F.col(weight)).alias("_weight"), unit.alias("_vector")
+    ).filter("_vector IS NOT NULL")
+    blocks = lambda n: F.ceil(F.count_if(F.col("_side") == n) / block)
+    sizes = named.groupBy("_pair").agg(blocks(0).alias("_n0"), blocks(1).alias("_n1")).filter("_n0 > 0 AND _n1 > 0")
+    cut = named.join(sizes, "_pair")
+
+    def dealt(n):
+        """Blocks of side ``n``, one row for each block of the other side."""
+        own, other = f"_n{n}", f"_n{1 - n}"
+        tokens = F.collect_list(F.struct(F.col("_token").alias("token"), F.col("_weight").alias("weight"), F.col("_vector").alias("vector")))
+        held = cut.filter(F.col("_side") == n).groupBy("_pair", F.pmod(F.xxhash64("_token"), own).alias(f"_b{n}"), other).agg(tokens.alias(f"_t{n}"))
+        return held.withColumn(f"_b{1 - n}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop(other)
+
+    met = dealt(0).join(dealt(1), ["_pair", "_b0", "_b1"]).select("_pair", "_t0", "_t1")
+    kind = dict(named.dtypes)["_token"]
+    best = met.mapInArrow(_block_best, f"_pair string, _side int, _token {kind}, _weight double, _s double")
+    tokens = best.groupBy("_pair", "_side", "_token").agg(F.max("_s").alias("_s"), F.first("_weight").alias("_weight"))
+    mean = lambda n: F.sum(F.when(F.col("_side") == n, F.col("_s") * F.col("_weight"))) / F.sum(F.when(F.col("_side") == n, F.col("_weight")))
+    matched = tokens.groupBy("_pair").agg(mean(1).alias("precision"), mean(0).alias("recall"))
     p, r = F.col("precision"), F.col("recall")
-    matched = scores.withColumn("f1", 2 * p * r / (p + r))
-    every = vectors.select(pair).distinct()
-    return every.join(matched, pair, "left").fillna(0.0, ["precision", "recall", "f1"])
+    every = vectors.select(pair).distinct().withColumn("_pair", key)
+    out = every.join(matched, "_pair", "left").select(pair, F.coalesce(p, dbl(0)).alias("precision"), F.coalesce(r, dbl(0)).alias("recall"))
+    return out.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(dbl(0)))
 
 
 def faithfulness(nli, doc, gen, ent, con, settings):

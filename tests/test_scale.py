@@ -1,5 +1,6 @@
 """Skewed keys and ties: totals stay exact and plans keep their shape."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evalmill.operators import corpora as co
@@ -7,6 +8,7 @@ from evalmill.operators import docs as dc
 from evalmill.operators import fewshot as fs
 from evalmill.operators import positions as ps
 from evalmill.operators import stats
+from evalmill.operators import textpairs as tp
 
 
 def test_positions_with_a_hot_value(spark):
@@ -113,3 +115,25 @@ def test_buckets_are_a_search_over_the_bounds(spark):
         rows = [r[0] for r in spark.createDataFrame([(float(k) / 2,) for k in range(-4, 100)] + [(None,)], "v double").select(ps._bucket(F.col("v"), bounds)).collect()]
         want = [2 * sum(b < k / 2 for b in bounds) + (k / 2 in bounds) for k in range(-4, 100)] + [-1]
         assert rows == want
+
+
+def test_embedding_match_in_blocks_is_brute_force(spark):
+    """Pairs of many blocks, a token alone, null and zero vectors, one side empty."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for pair, sizes in (("big", (70, 45)), ("small", (2, 3)), ("one side", (4, 0)), (None, (1, 1))):
+        for side, n in enumerate(sizes):
+            rows += [(pair, side, f"t{k}", [float(x) for x in rng.normal(size=5)], float(rng.integers(1, 4))) for k in range(n)]
+    rows += [("big", 0, "zero", [0.0] * 5, 2.0), ("big", 1, "null", None, 9.0)]
+    df = spark.createDataFrame(rows, "pair string, side int, token string, vector array<double>, weight double")
+    out = tp.greedy_embedding_match(df, "pair", "side", "token", "vector", "weight", block=8)
+    assert out.columns == ["pair", "precision", "recall", "f1"]
+    got = {r.pair: (r.precision, r.recall, r.f1) for r in out.collect()}
+    assert len(got) == 4 and got["one side"] == (0.0, 0.0, 0.0)
+    for pair in ("big", "small", None):
+        side = [[(np.array(v), w) for p, s, _, v, w in rows if p == pair and s == n and v is not None] for n in (0, 1)]
+        unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+        best = [[(max(unit(v) @ unit(u) for u, _ in side[1 - n]), w) for v, w in side[n]] for n in (0, 1)]
+        recall, precision = (sum(s * w for s, w in b) / sum(w for _, w in b) for b in best)
+        np.testing.assert_allclose(got[pair], (precision, recall, 2 * precision * recall / (precision + recall)), atol=1e-12)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
