@@ -5,6 +5,7 @@ grouping and averaging around them stay in Spark.
 """
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -92,6 +93,15 @@ def union_hits(ref_lines, cand_lines):
     return hits
 
 
+def rouge_matches(gold_lines, pred_lines):
+    """Shared unigrams, bigrams, subsequence tokens and union hits, and the tokens of both sides."""
+    gold, pred = ([t for line in lines for t in line] for lines in (gold_lines, pred_lines))
+    pairs = [Counter(zip(side, side[1:])) for side in (gold, pred)]
+    length = lcs_length(gold, pred) if len(gold) <= len(pred) else lcs_length(pred, gold)
+    shared = [(Counter(gold) & Counter(pred)).total(), (pairs[0] & pairs[1]).total(), length, union_hits(gold_lines, pred_lines)]
+    return [*shared, len(gold), len(pred)]
+
+
 def fragments(summary, source):
     """Lengths of the greedy longest shared fragments, left to right in the summary."""
     where = {}
@@ -165,6 +175,17 @@ def union_lcs_udf(ref_lines, cand_lines):
     return run(ref_lines, cand_lines)
 
 
+def rouge_matches_udf(golds, preds):
+    """``rouge_matches`` of each gold with the prediction at its place, both as token lines."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        plain = lambda text: [list(line) for line in text]
+        return pd.Series([[rouge_matches(plain(g), plain(p)) for g, p in zip(x, y)] for x, y in zip(a, b)])
+
+    return run(golds, preds)
+
+
 def fragments_udf(summary, source):
     """Fragment lengths of a summary against its source."""
 

@@ -159,6 +159,42 @@ def rouge_t5(spark, sf_dir):
     return rouge_pairs(spark, sf_dir).groupBy("task", "n").agg(r6(F.avg("f") * 100).alias("score"))
 
 
+MEASURE = "CASE WHEN {m} > 0 THEN 2.0::DOUBLE * {m} / ({g} + {p}) ELSE 0.0::DOUBLE END"
+
+
+@query(
+    "rouge_t5_mid",
+    f"""
+    WITH b AS (SELECT doc_id, task, gold, pred, split_part(gold, ' ', 1) AS a, split_part(gold, ' ', 2) AS z FROM string_pairs),
+    pairs AS (SELECT doc_id, task, a, z, 0 AS i, pred AS p FROM b UNION ALL SELECT doc_id, task, a, z, 1, task || ' . ' || gold FROM b
+              UNION ALL SELECT doc_id, task, a, z, 2, z || ' . ' || a FROM b),
+    t AS (SELECT doc_id, task, a, z, i, regexp_extract_all(lower(p), '[a-z0-9]+') AS p,
+                 list_transform(string_split(replace(p, ' . ', '.' || chr(10)), chr(10)), lambda x: regexp_extract_all(lower(x), '[a-z0-9]+')) AS lines FROM pairs),
+    m AS (SELECT *, len(list_filter(p, lambda x: x = a)) AS na, len(list_filter(p, lambda x: x = z)) AS nz,
+                 CAST(len(list_filter(range(1, len(p)), lambda k: p[k] = a AND p[k + 1] = z)) > 0 AS INT) AS m2,
+                 CASE WHEN len(list_filter(range(1, len(p) + 1), lambda k: p[k] = a AND list_contains(p[k + 1:], z))) > 0 THEN 2
+                      WHEN list_contains(p, a) OR list_contains(p, z) THEN 1 ELSE 0 END AS ml FROM t),
+    s AS (SELECT doc_id, task, i, {MEASURE.format(m="(CASE WHEN a = z THEN least(2, na) ELSE least(1, na) + least(1, nz) END)", g="2", p="len(p)")} AS f1,
+                 {MEASURE.format(m="m2", g="1", p="len(p) - 1")} AS f2, {MEASURE.format(m="ml", g="2", p="len(p)")} AS fl,
+                 {MEASURE.format(m="(CASE WHEN len(lines) = 1 OR ml = 2 AND i < 2 OR a = z THEN CASE WHEN i = 2 THEN 1 ELSE ml END ELSE least(1, na) + least(1, nz) END)", g="2", p="len(p)")} AS fs
+          FROM m),
+    l AS (SELECT doc_id, task, list(f1 ORDER BY i) AS f1, list(f2 ORDER BY i) AS f2, list(fl ORDER BY i) AS fl, list(fs ORDER BY i) AS fs FROM s GROUP BY doc_id, task),
+    d AS (SELECT *, list_transform(range(0, 3), lambda j: CAST('0x' || substr(md5(doc_id || ':' || r || ':0'), 8 * j + 1, 8) AS BIGINT) % 3 + 1) AS d
+          FROM (SELECT *, unnest(range(0, 1000)) AS r FROM l)),
+    mid AS (SELECT doc_id, task, {", ".join(f"median(({f}[d[1]] + {f}[d[2]] + {f}[d[3]]) / 3) AS {f}" for f in ("f1", "f2", "fl", "fs"))} FROM d GROUP BY doc_id, task)
+    SELECT task, round(100 * avg(f1), 6) AS "rouge1", round(100 * avg(f2), 6) AS "rouge2", round(100 * avg(fl), 6) AS "rougeL", round(100 * avg(fs), 6) AS "rougeLsum"
+    FROM mid GROUP BY task
+    """,
+)
+def rouge_t5_mid(spark, sf_dir):
+    """Three pairs a sample: the prediction, the gold behind its task, the gold's words in turned lines."""
+    df = fx.string_pairs(spark, sf_dir)
+    turned = F.concat(F.split_part("gold", F.lit(" "), F.lit(2)), F.lit(" . "), F.split_part("gold", F.lit(" "), F.lit(1)))
+    preds = F.array("pred", F.concat("task", F.lit(" . "), "gold"), turned)
+    out = tp.rouge_t5(df.select("doc_id", "task", F.array_repeat("gold", F.lit(3)).alias("g"), preds.alias("p")), F.col("doc_id"), F.col("g"), F.col("p"))
+    return out.groupBy("task").agg(*[r6(F.avg(c)).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")])
+
+
 @query(
     "rouge_l",
     """

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from evalmill.operators import textpairs as tp
 from evalmill.operators.extension import MetricSpec
 from evalmill.operators.scoring import BUILT_IN, assigned, named, score
 
@@ -63,3 +64,24 @@ def test_one_scan_and_shared_columns(spark, tmp_path):
     assert sorted(named("bow_f1:norm=helm").derived) == sorted(named("exact_match:norm=helm").derived) == ["_gold_texts_helm", "_pred_texts_helm"]
     logical = score(spark.read.parquet(path), metrics)._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("AS _gold_texts_helm") == 1
+
+
+def test_rouge_t5_of_one_and_of_many_pairs(spark):
+    """One pair gives its own scores; many the median of resampled means; lines count in the last score only."""
+    rows = [
+        (1, ["the cat sat"], ["The cat, sat!"]),
+        (2, ["one two . three four"], ["three four . one two"]),
+        (3, ["a b", "a b", "a b", "a b", "a b", "a b"], ["a b", "x", "a b", "x", "a b", "x"]),
+        (4, ["a b", "unpaired"], ["b"]),
+        (5, [""], ["a"]),
+        (6, [], ["a"]),
+        (7, None, ["a"]),
+        (8, [None], ["a"]),
+    ]
+    df = spark.createDataFrame(rows, "id long, g array<string>, p array<string>")
+    got = {r.id: (r.rouge1, r.rouge2, r.rougeL, r.rougeLsum) for r in tp.rouge_t5(df, F.col("id"), F.col("g"), F.col("p")).collect()}
+    assert got[1] == (100.0, 100.0, 100.0, 100.0)
+    assert got[2][0] == 100.0 and round(got[2][1], 6) == round(100 * 2 / 3, 6) and got[2][2] == 50.0 and got[2][3] == 100.0
+    assert all(40 <= x <= 60 for x in got[3])
+    assert [round(x, 6) for x in got[4]] == [round(200 / 3, 6), 0.0, round(200 / 3, 6), round(200 / 3, 6)]
+    assert got[5] == got[8] == (0.0, 0.0, 0.0, 0.0) and got[6] == got[7] == (None, None, None, None)
