@@ -277,20 +277,22 @@ FAMILY_ONE = {
 # --- second family -----------------------------------------------------------------
 
 # Word lists of the second family.
-CONJUNCTIONS = "and but for nor or so yet".split()
-PRONOUNS = (
-    "i me my mine myself we us our ours ourselves you your yours yourself yourselves he him his himself she her hers "
-    "herself it its itself they them their theirs themselves"
-).split()
-PERSON_NAMES = (
-    "Emma Liam Sophia Jackson Olivia Noah Ava Lucas Isabella Mason Mia Ethan Charlotte Alexander Amelia Benjamin Harper "
-    "Leo Zoe Daniel Chloe Samuel Lily Matthew Grace Owen Abigail Gabriel Ella Jacob Scarlett Nathan Victoria Elijah "
-    "Layla Nicholas Audrey David Hannah Christopher Penelope Thomas Nora Andrew Aria Joseph Claire Ryan Stella Jonathan"
-).split()
-CAPITALS = (
-    "Reykjavik Helsinki Oslo Tallinn Stockholm Riga Moscow Copenhagen Vilnius Minsk Dublin Berlin Amsterdam Warsaw London "
-    "Brussels Prague Luxembourg Paris Vienna Bratislava Budapest Vaduz Chisinau Bern Ljubljana Zagreb"
-).split()
+CONJUNCTIONS = ["and", "but", "for", "nor", "or", "so", "yet"]
+PRONOUNS = [
+    "i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he",
+    "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves",
+]
+PERSON_NAMES = [
+    "Emma", "Liam", "Sophia", "Jackson", "Olivia", "Noah", "Ava", "Lucas", "Isabella", "Mason", "Mia", "Ethan", "Charlotte", "Alexander",
+    "Amelia", "Benjamin", "Harper", "Leo", "Zoe", "Daniel", "Chloe", "Samuel", "Lily", "Matthew", "Grace", "Owen", "Abigail", "Gabriel",
+    "Ella", "Jacob", "Scarlett", "Nathan", "Victoria", "Elijah", "Layla", "Nicholas", "Audrey", "David", "Hannah", "Christopher",
+    "Penelope", "Thomas", "Nora", "Andrew", "Aria", "Joseph", "Claire", "Ryan", "Stella", "Jonathan",
+]
+CAPITALS = [
+    "Reykjavik", "Helsinki", "Oslo", "Tallinn", "Stockholm", "Riga", "Moscow", "Copenhagen", "Vilnius", "Minsk", "Dublin", "Berlin",
+    "Amsterdam", "Warsaw", "London", "Brussels", "Prague", "Luxembourg", "Paris", "Vienna", "Bratislava", "Budapest", "Vaduz", "Chisinau",
+    "Bern", "Ljubljana", "Zagreb",
+]
 EMOJI = "[\U0001f1e6-\U0001f1ff\U0001f300-\U0001faff☀-➿⬀-⯿⌚⌛⏩-⏳]"
 ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ", "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN")
 
