@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evalmill.functions.arrays import array_sum, dbl, let
 from evalmill.functions.ngrams import alnum_tokens, char_ngrams, chrf_words, ngrams
 from evalmill.functions.pairs import f_measure
-from evalmill.functions.sequences import rouge_matches_udf
+from evalmill.functions.sequences import medians_udf, rouge_matches_udf
 from evalmill.functions.text import norm_bigbench
 
 
@@ -95,27 +95,9 @@ def bootstrap_mid(scores, identity, samples=1000):
     ``scores`` maps names to array Columns, which are resampled together. Draws come from a
     hash of the identity and the resample, four of each md5. One score is its own median; none gives null.
     """
-    first = next(iter(scores.values()))
-
-    def medians(draws):
-        def median(values):
-            means = F.array_sort(F.transform(draws, lambda d: F.aggregate(d, dbl(0), lambda acc, i: acc + F.get(values, i)) / F.size(d)))
-            return let(means, lambda m: (F.get(m, F.lit((samples - 1) // 2)) + F.get(m, F.lit(samples // 2))) / 2)
-
-        return F.struct(*[median(values).alias(name) for name, values in scores.items()])
-
-    def draw(n):
-        def places(r):
-            digest = lambda b: F.md5(F.concat_ws(":", identity.cast("string"), r.cast("string"), b.cast("string")))
-            place = lambda h, k: F.conv(F.substr(h, F.lit(8 * k + 1), F.lit(8)), 16, 10).cast("long") % n
-            four = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda b: let(digest(b), lambda h: F.array(*[place(h, k) for k in range(4)])))
-            return F.slice(F.flatten(four), F.lit(1), n).cast("array<int>")
-
-        return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), places)
-
-    many = let(F.size(first), lambda n: let(draw(n), medians))
-    one = F.struct(*[F.get(values, F.lit(0)).alias(name) for name, values in scores.items()])
-    return F.when(F.size(first) > 1, many).when(F.size(first) == 1, one)
+    rows = medians_udf(identity.cast("string"), F.array(*scores.values()), samples)
+    named = lambda m: F.struct(*[F.get(m, F.lit(k)).alias(name) for k, name in enumerate(scores)])
+    return let(rows, lambda m: F.when(m.isNotNull(), named(m)))
 
 
 def rouge_t5(samples, identity, golds, preds, normalize=None, resamples=1000):
@@ -124,8 +106,10 @@ def rouge_t5(samples, identity, golds, preds, normalize=None, resamples=1000):
     The gold and the prediction at the same place are a pair; what has no partner is left out.
     Texts are normalised, then read as lower-cased runs of letters and digits, for the last score
     line by line. Of several pairs the median of bootstrap means counts; without a pair, or with a
-    null array, the scores are null, and a null text holds no words. Nothing is shuffled.
+    null array, the scores are null, and a null text holds no words. Samples are dealt out first:
+    a table of them has few input splits for the work that each row makes.
     """
+    samples = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     normalize = normalize or norm_bigbench
     n = F.when(golds.isNotNull() & preds.isNotNull(), F.least(F.size(golds), F.size(preds))).otherwise(0)
     lines = lambda text: F.transform(F.split(normalize(F.coalesce(text, F.lit(""))), "\n", -1), alnum_tokens)
