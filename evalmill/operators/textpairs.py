@@ -1,6 +1,6 @@
 """Text-pair metrics that need grouping: n-gram overlap, BLEU, chrF, NLI, embeddings.
 
-Pairs are first hash-partitioned on their key. Exploding to n-grams and every
+Pairs are first hash-partitioned on their key. Counting n-grams and every
 aggregate after it keep that partitioning (the keys contain it), so the raw
 texts are shuffled once and the n-grams never are.
 """
@@ -9,51 +9,73 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalmill.functions.arrays import array_sum, dbl, let
-from evalmill.functions.ngrams import alnum_tokens, char_ngrams, chrf_words, ngrams
+from evalmill.functions.ngrams import alnum_tokens, chars, chrf_words, runs
 from evalmill.functions.pairs import f_measure
-from evalmill.functions.sequences import medians_udf, rouge_matches_udf
+from evalmill.functions.sequences import gram_counts_udf, medians_udf, rouge_matches_udf
 from evalmill.functions.text import norm_bigbench
 
 
-def _exploded(pairs, keys, sides, by=None):
-    """Rows (keys, side, n, gram); ``sides`` maps side -> {n: gram array Column}.
+def _specs(side):
+    """A side as (units, separator, {label: size}): runs of ``size`` units, or ready-made grams by label."""
+    return [(grams, "", {n: 1}) for n, grams in side.items()] if isinstance(side, dict) else side
 
-    ``by`` names the keys to partition on (all of them unless given); later
-    groupings that contain them need no further exchange.
-    """
 
-    def tagged(side, n, grams):
-        return F.transform(grams, lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("gram")))
+def _counted(pairs, keys, golds, pred, by):
+    """Per (keys, n): clipped matches, grams of the gold and of the prediction; counts are clipped by the best gold.
 
-    parts = [tagged(side, n, grams) for side, orders in sides.items() for n, grams in orders.items()]
-    return pairs.repartition(*(by or keys)).select(*keys, F.inline(F.concat(*parts)))
+    The grams of a pair are counted inside its row. Only rows that share their keys become a row for each gram,
+    which are added up over the rows of the keys. A null array of units leaves the whole row out.
+    """
+    golds, pred = [_specs(g) for g in golds], _specs(pred)
+    whole = Window.partitionBy(*keys)
+    sizes = [list(labels.values()) for _, _, labels in pred]
+    counted = pairs.withColumn("_m", gram_counts_udf(sizes, [[side[k][0] for side in (pred, *golds)] for k in range(len(pred))]))
+    rows = counted.repartition(*(by or keys)).withColumn("_rows", F.count(F.lit(1)).over(whole))
+    single = F.col("_rows") == 1
+    labels = [label for _, _, named in pred for label in named]
+
+    def entry(n, gram, side, g, p, match):
+        values = {"n": F.lit(n), "gram": gram, "side": F.lit(side), "g": g, "p": p, "match": match}
+        kinds = {"gram": "string", "g": "long", "p": "long", "match": "long"}
+        return F.struct(*[(v.cast(kinds[k]) if k in kinds else v).alias(k) for k, v in values.items()])
+
+    null, one, zero = F.lit(None), F.lit(1), F.lit(0)
+    tagged = lambda n, at, g, p: lambda x: entry(n, x, at, g, p, null)
+    parts = []
+    for at, side in enumerate((pred, *golds)):
+        g, p = (zero, one) if at == 0 else (one, zero)
+        for units, sep, named in side:
+            for n, size in named.items():
+                parts.append(F.transform(runs(units, size, sep), tagged(n, at, g, p)))
+    told = lambda k, m: entry(labels[k], null, 0, F.get(m, F.lit(2)), F.get(m, F.lit(1)), F.get(m, F.lit(0)))
+    whole_rows = F.filter(F.array(*[told(k, F.get("_m", F.lit(k))) for k in range(len(labels))]), lambda e: e["g"] + e["p"] > 0)
+    entries = F.when(single, F.when(F.col("_m").isNotNull(), whole_rows)).otherwise(F.concat(*parts))
+    grams = rows.select(*keys, F.inline(entries))
+    sides = grams.groupBy(*keys, "n", "gram", "side").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.max("match").alias("match"))
+    clipped = sides.groupBy(*keys, "n", "gram").agg(F.max("g").alias("g"), F.max("p").alias("p"), F.max("match").alias("match"))
+    return clipped.groupBy(*keys, "n").agg(
+        F.sum(F.coalesce("match", F.least("g", "p"))).alias("match"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred")
+    )
 
 
 def ngram_overlap(pairs, keys, sides, by=None):
-    """Per (keys, n): clipped matches and n-gram totals of both sides."""
-    grams = _exploded(pairs, keys, sides, by)
-    counts = grams.groupBy(*keys, "n", "gram").agg(
-        F.count_if(F.col("side") == "gold").alias("g"), F.count_if(F.col("side") == "pred").alias("p")
-    )
-    return counts.groupBy(*keys, "n").agg(
-        F.sum(F.least("g", "p")).alias("match"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred")
-    )
+    """Per (keys, n): clipped matches and n-gram totals of both sides.
+
+    ``sides`` maps gold and pred to {n: gram array Column} or to a list of (units, separator, {n: size}), the
+    n-grams then being runs of units. ``by`` names the keys to partition on (all of them unless given); later
+    groupings that contain them need no further exchange.
+    """
+    return _counted(pairs, keys, [sides["gold"]], sides["pred"], by)
 
 
 def multi_gold_overlap(pairs, keys, gold_arrays, pred_tokens, orders=(1, 2, 3, 4)):
     """Like ``ngram_overlap`` with counts clipped by the best of several golds."""
-    sides = {f"g{i}": {n: ngrams(g, n) for n in orders} for i, g in enumerate(gold_arrays)}
-    sides["pred"] = {n: ngrams(pred_tokens, n) for n in orders}
-    grams = _exploded(pairs, keys, sides)
-    counts = grams.groupBy(*keys, "n", "gram", "side").agg(F.count("*").alias("c"))
-    clipped = counts.groupBy(*keys, "n", "gram").agg(
-        F.coalesce(F.max(F.when(F.col("side") == "pred", F.col("c"))), F.lit(0)).alias("p"),
-        F.coalesce(F.max(F.when(F.col("side") != "pred", F.col("c"))), F.lit(0)).alias("g"),
-    )
-    return clipped.groupBy(*keys, "n").agg(F.sum(F.least("g", "p")).alias("match"), F.sum("p").alias("n_pred"))
+    spec = lambda tokens: [(tokens, " ", {n: n for n in orders})]
+    return _counted(pairs, keys, [spec(g) for g in gold_arrays], spec(pred_tokens), None).drop("n_gold")
 
 
 def closest_length(gold_sizes, pred_size):
@@ -132,8 +154,8 @@ def rouge_t5(samples, identity, golds, preds, normalize=None, resamples=1000):
 def corpus_bleu(pairs, keys, task, gold_tokens, pred_tokens, max_order=4):
     """BLEU x100 per task from summed clipped counts and lengths (exponential smoothing)."""
     orders = range(1, max_order + 1)
-    sides = {"gold": {n: ngrams(gold_tokens, n) for n in orders}, "pred": {n: ngrams(pred_tokens, n) for n in orders}}
-    stats = ngram_overlap(pairs, [task, *keys], sides)
+    spec = lambda tokens: [(tokens, " ", {n: n for n in orders})]
+    stats = ngram_overlap(pairs, [task, *keys], {"gold": spec(gold_tokens), "pred": spec(pred_tokens)})
     sums = stats.groupBy(task).agg(
         *[F.sum(F.when(F.col("n") == n, F.col("match")).otherwise(0)).alias(f"m{n}") for n in orders],
         *[F.sum(F.when(F.col("n") == n, F.col("n_pred")).otherwise(0)).alias(f"t{n}") for n in orders],
@@ -152,11 +174,14 @@ def corpus_bleu(pairs, keys, task, gold_tokens, pred_tokens, max_order=4):
 def corpus_chrf(pairs, keys, task, gold, pred, char_order=6, word_order=0, beta=2):
     """chrF x100 per task: mean precision and recall over the orders both sides have."""
     squeezed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    # a table of short texts has few input splits for the work that each row makes
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sides = {}
     for side, col in (("gold", gold), ("pred", pred)):
-        orders = {n: char_ngrams(squeezed(col), n) for n in range(1, char_order + 1)}
-        orders.update({100 + n: ngrams(chrf_words(col), n) for n in range(1, word_order + 1)})
-        sides[side] = orders
+        characters = F.coalesce(chars(squeezed(col)), F.array().cast("array<string>"))
+        sides[side] = [(characters, "", {n: n for n in range(1, char_order + 1)})]
+        if word_order:
+            sides[side].append((chrf_words(col), " ", {100 + n: n for n in range(1, word_order + 1)}))
     stats = ngram_overlap(pairs, [task, *keys], sides)
     sums = stats.groupBy(task, "n").agg(
         F.sum("match").alias("match"), F.sum("n_gold").alias("n_gold"), F.sum("n_pred").alias("n_pred")

@@ -133,7 +133,7 @@ def rouge_pairs(spark, sf_dir):
     pairs = fx.text_pairs(spark, sf_dir).select(
         "doc_id", "task", ng.alnum_tokens(F.col("source")).alias("g"), ng.alnum_tokens(F.col("summary")).alias("p")
     )
-    sides = {s: {n: ng.ngrams(F.col(c), n) for n in (1, 2)} for s, c in (("gold", "g"), ("pred", "p"))}
+    sides = {s: [(F.col(c), " ", {n: n for n in (1, 2)})] for s, c in (("gold", "g"), ("pred", "p"))}
     stats = tp.ngram_overlap(pairs, ["doc_id", "task"], sides, by=["doc_id"])
     return stats.withColumn("f", pr.f_measure(F.col("match"), F.col("n_gold"), F.col("n_pred")))
 

@@ -34,3 +34,20 @@ def test_bootstrap_mid_of_samples_dealt_to_all_tasks(spark):
     assert tuple(got["one"]) == (0.5, 0.25) and got["none"] is None and got["gap"] is None
     texts = spark.range(100, numPartitions=1).select("id", F.array(F.lit("a b")).alias("g"), F.array(F.lit("a c")).alias("p"))
     assert tp.rouge_t5(texts, F.col("id"), F.col("g"), F.col("p")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_repeated_and_null_keys_add_up(spark):
+    """Rows of one key are one pair; a null side leaves its row out; single rows are counted without a row for each gram."""
+    rows = [(1, "a b a", "a a b"), (2, "x y", "y"), (2, "y y x y", "x y q"), (None, "k", "k l"), (None, "k", "m"), (3, None, "a"), (4, "", "z"), (5, "a", "b")]
+    df = spark.createDataFrame(rows, "id long, g string, p string").select("id", *[F.filter(F.split(c, " "), lambda w: w != "").alias(c) for c in "gp"])
+    spec = lambda c: [(F.col(c), " ", {1: 1, 2: 2})]
+    out = tp.ngram_overlap(df, ["id"], {"gold": spec("g"), "pred": spec("p")})
+    got = {(r.id, r.n): (r.match, r.n_gold, r.n_pred) for r in out.collect()}
+    assert got == {
+        (1, 1): (3, 3, 3), (1, 2): (1, 2, 2), (2, 1): (3, 6, 4), (2, 2): (1, 4, 2), (None, 1): (1, 2, 3), (None, 2): (0, 0, 1),
+        (4, 1): (0, 0, 1), (5, 1): (0, 1, 1),
+    }
+    multi = tp.multi_gold_overlap(df.filter("id < 3"), ["id"], [F.col("g"), F.col("p")], F.col("p"), (1,))
+    assert {(r.id, r.match, r.n_pred) for r in multi.collect()} == {(1, 3, 3), (2, 4, 4)}
+    counted = tp.ngram_overlap(df, ["id"], {"gold": spec("g"), "pred": spec("p")})._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in counted and counted.count("Exchange hashpartitioning") == 1
