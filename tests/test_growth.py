@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evalmill.functions import sequences as sq
+from evalmill.functions import text as tx
 from evalmill.operators import textpairs as tp
+from evalmill.plans import checks
 
 
 def brute_draws(identity, size, samples):
@@ -51,3 +53,17 @@ def test_repeated_and_null_keys_add_up(spark):
     assert {(r.id, r.match, r.n_pred) for r in multi.collect()} == {(1, 3, 3), (2, 4, 4)}
     counted = tp.ngram_overlap(df, ["id"], {"gold": spec("g"), "pred": spec("p")})._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in counted and counted.count("Exchange hashpartitioning") == 1
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    """Every character of (?U)\\s and no other is trimmed, by a trim and no longer by a pattern that scans the whole text."""
+    chars = spark.range(0xFFFF).filter("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    t = F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c")
+    pairs = [(tx.strip(t), r"(?U)^\s+|\s+\z"), (tx.rstrip(t), r"(?U)\s+\z"), (tx.lstrip(t), r"(?U)^\s+")]
+    assert chars.filter(~F.forall(F.array(*[new == F.regexp_replace(t, old, "") for new, old in pairs]), lambda ok: ok)).count() == 0
+    assert "regexp_replace" not in str(tx.strip(F.col("c")))
+
+
+def test_responses_are_dealt_to_all_tasks(spark):
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert checks.responses(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks
