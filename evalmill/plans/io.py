@@ -92,14 +92,13 @@ def prompt_to_response(spark, sf_dir):
     "SELECT subject AS task, question, CAST(gold AS VARCHAR) AS label FROM mcq_rows",
 )
 def load_task_json(spark, sf_dir):
-    """One JSON object per chunk of 50 rows, task -> records."""
+    """One JSON object per subject and chunk of 50 rows, task -> records, on a line of its own."""
     record = F.create_map(F.lit("question"), F.col("question"), F.lit("label"), F.col("gold").cast("string"))
     rows = mcq_rows(spark, sf_dir).select("id", "subject", record.alias("r"))
     chunks = rows.groupBy(F.floor(F.col("id") / 50).alias("chunk"), "subject").agg(F.collect_list("r").alias("rs"))
-    objects = chunks.select(F.to_json(F.create_map("subject", "rs")).alias("value"), "chunk", "subject")
     path = _folder(spark, "tasks")
-    objects.write.partitionBy("chunk", "subject").text(path)
-    files = rd.load_task_json(spark, f"{path}/*/*")
+    chunks.select(F.to_json(F.create_map("subject", "rs")).alias("value")).write.text(path)
+    files = rd.load_task_json(spark, path, lines=True)
     return files.select("task", F.col("record")["question"].alias("question"), F.col("record")["label"].alias("label"))
 
 

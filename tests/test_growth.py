@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from evalmill.functions import sequences as sq
 from evalmill.functions import text as tx
 from evalmill.operators import textpairs as tp
-from evalmill.plans import checks
+from evalmill.plans import checks, io
+from evalmill.sources import readers as rd
 
 
 def brute_draws(identity, size, samples):
@@ -67,3 +68,14 @@ def test_strip_takes_what_the_pattern_takes(spark):
 def test_responses_are_dealt_to_all_tasks(spark):
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     assert checks.responses(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == tasks
+
+
+def test_task_json_objects_share_files(spark, tmp_path):
+    """Objects on lines of a few files are read split; a file that is one object is read whole."""
+    (tmp_path / "a.json").write_text('{"t": [{"q": "x\\ny"}, {"q": null}],\n "u": []}\n')
+    (tmp_path / "b.jsonl").write_text('{"t": [{"q": "x\\ny"}]}\n{"u": [{"q": "1"}, {"q": "2"}], "t": [{"q": "3"}]}\n')
+    rows = lambda name, **how: sorted((r.task, r.row_ix, r.record["q"] or "") for r in rd.load_task_json(spark, f"{tmp_path}/{name}", **how).collect())
+    assert rows("a.json") == [("t", 0, "x\ny"), ("t", 1, "")]
+    assert rows("b.jsonl", lines=True) == [("t", 0, "3"), ("t", 0, "x\ny"), ("u", 0, "1"), ("u", 1, "2")]
+    files = io.load_task_json(spark, "/root/testdata/sf0.001").inputFiles()
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
