@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from evalmill.functions import prompts as pm
+from evalmill.functions.arrays import let
 from evalmill.operators import docs as dc
 from evalmill.plans import fixtures as fx
 from evalmill.plans.registry import query, view
@@ -507,19 +508,25 @@ def adapt_mcq_rows(spark, sf_dir):
     letters = F.array(*[L(x) for x in "ABCD"])
     labelled = F.transform(c, lambda x, i: cat(F.get(letters, i), ". ", x))
     answer = F.when(F.col("id") % 2 == 0, (g + 1).cast("string")).otherwise(F.lower(F.get(letters, g)))
-    shared = pm.without_common_prefix(F.transform(F.slice(c, 1, 2), lambda x: cat("the ", x)))
+    prefixed = pm.without_common_prefix(F.transform(F.slice(c, 1, 2), lambda x: cat("the ", x)))
+    shared = let(prefixed, lambda s: F.struct(s["question"].alias("question"), _joined(s["choices"]).alias("choices")))
     blanks = F.when(F.col("id") % 3 == 0, cat("no blank ", F.col("question"))).otherwise(cat("a ", F.col("question"), " _end"))
-    gap = pm.cloze(blanks, c)
+    gap = let(pm.cloze(blanks, c), lambda d: F.coalesce(cat(d["context"], "|", F.get(d["continuations"], L(0))), L("")))
     filled = pm.fill_placeholders(L("see [[placeholder]] and [[placeholder]]"), F.slice(c, 1, 3))
-    return mcq_rows(spark, sf_dir).select(
+    # A small file holds much work a row: it is dealt to as many tasks as a shuffle has.
+    rows = mcq_rows(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = rows.select(
         "id",
         _joined(pm.exam_choices(labelled)).alias("exam_choices"),
         pm.exam_gold(answer).alias("exam_gold"),
-        shared["question"].alias("prefix_question"),
-        _joined(shared["choices"]).alias("prefix_choices"),
-        F.coalesce(cat(gap["context"], "|", F.get(gap["continuations"], L(0))), L("")).alias("cloze"),
+        shared.alias("shared"),
+        gap.alias("cloze"),
         filled.alias("filled"),
     )
+    return out.select(
+        "id", "exam_choices", "exam_gold", F.col("shared.question").alias("prefix_question"), F.col("shared.choices").alias("prefix_choices"),
+        "cloze", "filled",
+    )
 
 
 @query(

@@ -1,14 +1,16 @@
 """Steps whose cost must follow the input: exact against brute force, dealt out to all tasks."""
 
 import hashlib
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from evalmill.functions import prompts as pm
 from evalmill.functions import sequences as sq
 from evalmill.functions import text as tx
 from evalmill.operators import textpairs as tp
-from evalmill.plans import checks, io
+from evalmill.plans import checks, documents, io
 from evalmill.sources import readers as rd
 
 
@@ -79,3 +81,20 @@ def test_task_json_objects_share_files(spark, tmp_path):
     assert rows("b.jsonl", lines=True) == [("t", 0, "3"), ("t", 0, "x\ny"), ("u", 0, "1"), ("u", 1, "2")]
     files = io.load_task_json(spark, "/root/testdata/sf0.001").inputFiles()
     assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_common_prefix_is_found_once_a_row(spark):
+    """Every text against a plain version, nulls included; the query's plan holds the comparison once and deals its rows."""
+    texts = [["the cat a", "the cat b"], ["same", "same"], ["a b", "a bc", "a"], ["", "x"], ["ü→ x", "ü→ y"], ["the  a", "the  ab c"], [" x", " y"], ["one two three"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, ["a b", None], [None, "a b"], None])], "id int, c array<string>")
+    got = {r.id: (r.p.question, r.p.choices) for r in df.select("id", pm.without_common_prefix(F.col("c")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        cut = os.path.commonprefix(t)
+        cut = cut[: cut.rindex(" ")] if " " in cut else ""
+        assert got[i] == (cut, [x[len(cut) :] for x in t])
+    assert [got[len(texts) + k] for k in range(3)] == [("", ["a b", None]), ("", [None, "a b"]), ("", None)]
+    gap = {r.s: r.g for r in spark.createDataFrame([("a _b",), ("_b",), ("a",), ("a_b_c",), (None,)], "s string").select("s", pm.cloze(F.col("s"), F.array(F.lit("x"))).alias("g")).collect()}
+    assert tuple(gap["a _b"]) == ("a ", ["x b"]) and [gap[k] for k in ("_b", "a", "a_b_c", None)] == [None] * 4
+    out = documents.adapt_mcq_rows(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("forall(") == 1
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
