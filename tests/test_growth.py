@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evalmill.functions import prompts as pm
 from evalmill.functions import sequences as sq
 from evalmill.functions import text as tx
+from evalmill.operators import stats
 from evalmill.operators import textpairs as tp
 from evalmill.plans import checks, documents, io
 from evalmill.sources import readers as rd
@@ -98,3 +99,26 @@ def test_common_prefix_is_found_once_a_row(spark):
     out = documents.adapt_mcq_rows(spark, "/root/testdata/sf0.001")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("forall(") == 1
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bootstrap_draws_are_those_of_md5(spark):
+    """Weights and sums by brute force: long, null and repeated identities, null keys and values, whole numbers; draws are made in numpy."""
+    rows = [(f"{i}" if i % 5 else "ü→" * (i % 30), "a" if i % 3 else None, (i % 7) / 4, i) for i in range(90)]
+    rows += [("1", "a", None, None), (None, "a", 2.0, 3), (None, "lost", 1.0, 1), ("7", "blank", None, None)]
+    df = spark.createDataFrame(rows, "id string, k string, x double, n long")
+    out = stats.bootstrap_replicates(df, ["k"], "id", {"x": F.col("x"), "n": F.col("n")}, 21)
+    assert [f.dataType.simpleString() for f in out.schema] == ["string", "int", "bigint", "double", "bigint"]
+    got = {(r.k, r.replicate): (r.weight, r.x, r.n) for r in out.collect()}
+    assert len(got) == 4 * 21 and got["lost", 3] == (None, None, None) and got["blank", 3][1:] == (None, None)
+    for k in ("a", None):
+        for r in range(21):
+            want = [0, 0.0, 0]
+            for i, key, x, n in rows:
+                if key == k and i is not None:
+                    u = int(hashlib.md5(f"{r // 8}:{i}".encode()).hexdigest()[4 * (r % 8) :][:4], 16)
+                    w = sum(u >= s for s in stats.POISSON1_STEPS)
+                    want = [want[0] + w, want[1] + w * (x or 0), want[2] + w * (n or 0)]
+            assert got[k, r] == tuple(want)
+    assert stats.bootstrap_replicates(df, [], "id", {"x": F.col("x")}, 9).count() == 9
+    assert stats.bootstrap_replicates(df.limit(0), ["k"], "id", {"x": F.col("x")}, 9).count() == 0
+    assert "Generate explode" not in out._jdf.queryExecution().optimizedPlan().toString()
