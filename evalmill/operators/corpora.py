@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from evalmill.functions.arrays import span
 from evalmill.operators.boards import top_per_task
 from evalmill.operators.ordering import shuffle_select
 from evalmill.operators.positions import global_running_sum
@@ -97,12 +98,15 @@ def hash_split(df, identity, share=0.995, seed=42):
 
 
 def sweep_grid(configs, n_layers, drop):
-    """One row per contiguous start, with the kept layer indices."""
-    n = F.col(n_layers)
+    """One row per contiguous start, with the kept layer indices.
+
+    A configuration becomes many rows, so they are dealt to as many tasks as a shuffle has.
+    """
+    n, start = F.col(n_layers), F.col("start")
     starts = F.when(n >= drop, F.sequence(F.lit(0), n - drop)).otherwise(F.array().cast("array<int>"))
-    grid = configs.withColumn("start", F.explode(starts))
-    kept = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i < F.col("start")) | (i >= F.col("start") + drop))
-    return grid.withColumn("kept", kept)
+    tasks = int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = configs.repartition(tasks).withColumn("start", F.explode(starts))
+    return grid.withColumn("kept", F.concat(span(F.lit(0), start), span(start + drop, n)))
 
 
 def superset_members(requested, available, name):

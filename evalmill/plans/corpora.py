@@ -143,7 +143,7 @@ def hash_split(spark, sf_dir):
 )
 def sweep_grid(spark, sf_dir):
     grid = co.sweep_grid(fx.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", 3)
-    kept = F.array_join(F.transform("kept", lambda i: i.cast("string")), ",")
+    kept = F.array_join(F.col("kept").cast("array<string>"), ",")
     return grid.select("p_partkey", F.col("start").cast("long").alias("start"), kept.alias("kept"))
 
 

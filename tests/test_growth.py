@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evalmill.functions import prompts as pm
 from evalmill.functions import sequences as sq
 from evalmill.functions import text as tx
+from evalmill.operators import corpora as co
 from evalmill.operators import stats
 from evalmill.operators import textpairs as tp
 from evalmill.plans import checks, documents, io
@@ -122,3 +123,16 @@ def test_bootstrap_draws_are_those_of_md5(spark):
     assert stats.bootstrap_replicates(df, [], "id", {"x": F.col("x")}, 9).count() == 9
     assert stats.bootstrap_replicates(df.limit(0), ["k"], "id", {"x": F.col("x")}, 9).count() == 0
     assert "Generate explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sweep_grid_is_dealt_out(spark):
+    """Kept layers by brute force, sizes below the cut and null ones included; no lambda walks over the layers."""
+    sizes = [0, 1, 2, 3, 4, 9, None, -2]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id int, n int").coalesce(1)
+    out = co.sweep_grid(df, "n", 3)
+    want = [(i, s, [*range(s), *range(s + 3, n)]) for i, n in enumerate(sizes) if n is not None for s in range(n - 2)]
+    assert sorted(map(tuple, out.collect())) == [(i, sizes[i], s, kept) for i, s, kept in want]
+    wide = co.sweep_grid(df.withColumn("n", F.col("n").cast("long")), "n", 3)
+    assert sorted((r.id, r.start, r.kept) for r in wide.collect()) == want and wide.schema["kept"].dataType.simpleString() == "array<bigint>"
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
