@@ -7,8 +7,9 @@ least to SCRIPT_SHARE. A Viterbi pass over the words of a document, with a penal
 switch, labels spans of one language; the document gets the language with the most letters
 in its spans.
 
-Counting and scoring walk over all bytes of a chunk at once, and the Viterbi pass takes one
-step for all documents of a chunk that are still running.
+Counting and scoring walk over the bytes of all distinct words of a chunk at once, and the Viterbi
+pass takes one step for all documents of a chunk that are still running; documents in which no
+stretch can pay for a switch are left out of it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +83,17 @@ def letter_scripts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(of)[lead[letters]] - 1, script[letters]
 
 
+def distinct(words: Words, kinds: np.ndarray | None = None) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Each word once (once for each of its ``kinds``), told apart by 64-bit hashes; where it is first, and which one each word is."""
+    which, _ = pd.factorize(words.hashes if kinds is None else mix(words.hashes) + mix(kinds))
+    first = np.empty(which.max() + 1, dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    lengths = (words.ends - words.starts)[first]
+    ends = np.cumsum(lengths)
+    data = words.data[np.repeat(words.starts[first] - ends + lengths, lengths) + np.arange(ends[-1])]
+    return Words(0, np.array([0, len(first)]), words.hashes[first], ends - lengths, ends, data, np.array([0, ends[-1]])), first, which
+
+
 def gram_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every n-gram of bytes; words are framed by a blank on both sides."""
     lengths = words.ends - words.starts + 2
@@ -116,14 +129,17 @@ def counts(train: DataFrame) -> DataFrame:
                 names = sorted(set(langs[words.first : words.first + len(words)]))
                 code = np.array([names.index(x) for x in langs[words.first : words.first + len(words)]])
                 lang = np.repeat(code, np.diff(words.bounds))
+                words, first, which = distinct(words, lang)
+                lang, times = lang[first], np.bincount(which)
                 word, bucket = gram_buckets(words)
                 letter, script = letter_scripts(words)
                 lettered = np.zeros(len(lang), dtype=bool)
                 lettered[letter] = True
                 keep = lettered[word]
                 width = BUCKETS + len(NAMES)
-                found = np.bincount(lang[word[keep]] * width + bucket[keep], minlength=len(names) * width)
-                found += np.bincount(lang[letter] * width + BUCKETS + script, minlength=len(names) * width)
+                found = np.bincount(lang[word[keep]] * width + bucket[keep], weights=times[word[keep]], minlength=len(names) * width)
+                found += np.bincount(lang[letter] * width + BUCKETS + script, weights=times[letter], minlength=len(names) * width)
+                found = found.astype(np.int64)
                 for k, name in enumerate(names):
                     own[name] = own.get(name, 0) + found[k * width : (k + 1) * width]
         for name, total in own.items():
@@ -147,46 +163,85 @@ def learned(train: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return langs, scores.astype(np.float32), own
 
 
+def without_switch(scores: np.ndarray, bounds: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """Best single language of each document, and whether its best path surely stays there.
+
+    It does if the language leads all others by more than half of ``switch`` and no stretch of
+    words gains as much by leaving it for the best other language of each word: each such
+    stretch costs a switch. The other half is left to rounding.
+    """
+    lengths = np.diff(bounds)
+    best, sure = np.zeros(len(lengths), dtype=np.int64), lengths == 0
+    own = np.flatnonzero(lengths)
+    if scores.shape[1] == 1 or not len(own):
+        return best, np.ones(len(lengths), dtype=bool)
+    totals = np.add.reduceat(scores, bounds[own], axis=0, dtype=np.float64)
+    best[own] = totals.argmax(axis=1)
+    lead = np.sort(totals, axis=1)
+    at = np.repeat(best, lengths)[:, None]
+    others = scores.copy()
+    np.put_along_axis(others, at, -np.inf, axis=1)
+    gain = others.max(axis=1).astype(np.float64) - np.take_along_axis(scores, at, axis=1)[:, 0]
+    total = np.cumsum(gain)
+    apart = np.ptp(total) + np.abs(gain).max() + 1  # puts the sums of a document below those of all before it
+    total -= np.repeat(np.arange(len(lengths)), lengths) * apart
+    most = np.maximum.reduceat(total - np.minimum.accumulate(total - gain), bounds[own])
+    sure[own] = (lead[:, -1] - lead[:, -2] > switch / 2) & (most < switch / 2)
+    return best, sure
+
+
 def best_path(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
-    """Language of each word: the best path of each document, all documents a step at a time."""
+    """Language of each word on the best path of each document."""
+    best, sure = without_switch(scores, bounds, switch)
+    lengths = np.diff(bounds)
+    path = np.repeat(best, lengths)
+    if not sure.all():
+        rest = np.repeat(~sure, lengths)
+        path[rest] = viterbi(scores[rest], np.concatenate([[0], np.cumsum(lengths[~sure])]), switch)
+    return path
+
+
+def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray:
+    """Best path of each document, all documents a step at a time."""
     lengths = np.diff(bounds)
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
     path = np.zeros(len(scores), dtype=np.int64)
     back = np.zeros(scores.shape, dtype=np.min_scalar_type(scores.shape[1]))
-    running = int((sizes > 0).sum())
-    if not running:
+    if not len(sizes) or not sizes[0]:
         return path
-    now = scores[bounds[order[:running]]].copy()
+    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0] + 1), side="right")  # documents longer than each step
+    starts, rows, langs = bounds[order], np.arange(len(order)), np.arange(scores.shape[1])
+    now = scores[starts[: live[0]]]
     end = np.zeros((len(order), scores.shape[1]), dtype=scores.dtype)
-    step = 0
-    while running:
-        at = bounds[order[:running]] + step
+    for step in range(int(sizes[0])):
+        running, left = live[step], live[step + 1]
         if step:
+            at = starts[:running] + step
             best = now.argmax(axis=1)
-            stay = now >= now[np.arange(running), best][:, None] - switch
-            back[at] = np.where(stay, np.arange(scores.shape[1]), best[:, None])
-            now = np.maximum(now, now[np.arange(running), best][:, None] - switch) + scores[at]
-        step += 1
-        left = int((sizes > step).sum())
-        end[left:running] = now[left:]
-        now, running = now[:left], left
+            floor = (now[rows[:running], best] - switch)[:, None]
+            back[at] = np.where(now >= floor, langs, best[:, None])
+            now = np.maximum(now, floor) + scores[at]
+        if left < running:
+            end[left:running] = now[left:]
+            now = now[:left]
     last = end.argmax(axis=1)
     state = last.copy()
     for step in range(int(sizes[0]) - 1, -1, -1):
-        live = int((sizes > step).sum())
-        at = bounds[order[:live]] + step
-        path[at] = state[:live]
+        own = state[: live[step]]
+        at = starts[: live[step]] + step
+        path[at] = own
         if step:
-            state[:live] = back[at, state[:live]]
+            state[: live[step]] = back[at, own]
     return path
 
 
 def labelled_words(words: Words, scores: np.ndarray, own: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language, letters and score by language of each word; a word without letters keeps its neighbour's."""
-    n, langs = len(words.starts), scores.shape[1]
-    word, bucket = gram_buckets(words)
-    letter, script = letter_scripts(words)
+    once, _, which = distinct(words)
+    n, langs = len(once.starts), scores.shape[1]
+    word, bucket = gram_buckets(once)
+    letter, script = letter_scripts(once)
     letters = np.bincount(letter, minlength=n)
     value = np.stack([np.bincount(word, weights=scores[bucket, k], minlength=n) for k in range(langs)], axis=1)
     fits = np.zeros((n, langs))
@@ -196,7 +251,7 @@ def labelled_words(words: Words, scores: np.ndarray, own: np.ndarray, switch: fl
     allowed = fits >= fits.max(axis=1, keepdims=True)  # narrowed by the scripts of its letters
     value = np.where(allowed, value, value - 50.0)
     value[letters == 0] = 0
-    return best_path(value.astype(np.float32), words.bounds, switch), letters, value
+    return best_path(value.astype(np.float32)[which], words.bounds, switch), letters[which], value[which]
 
 
 def identify(docs: DataFrame, train: DataFrame, switch: float = SWITCH, spans: bool = False) -> DataFrame:

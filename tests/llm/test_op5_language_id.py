@@ -1,10 +1,13 @@
 """Language identification: held-out accuracy, spans, scripts, best paths against all paths."""
 
+from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 
-from evalmill.llm.language_id import best_path, identify, language_report
+from evalmill.llm.language_id import BUCKETS, best_path, counts, distinct, gram_buckets, identify, language_report, letter_scripts, viterbi, without_switch
+from evalmill.llm.words import read_words
 
 from .helpers import no_documents, odd_documents
 
@@ -75,3 +78,43 @@ def test_odd_rows(spark):
     assert len(got) == df.count() and {r.lang_pred for r in got} == {"en", "und"}
     assert language_report(no_documents(spark)).count() == 0
     assert {r.lang_pred for r in identify(df, df.limit(0)).collect()} == {"und"}
+
+
+def test_documents_without_a_switch_are_found(spark):
+    """Where one language surely holds, the walk is left out; its path is the same."""
+    rng = np.random.default_rng(8)
+    found = 0
+    for langs in (1, 2, 5):
+        for _ in range(40):
+            bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 25, size=9))])
+            scores = (rng.normal(size=(bounds[-1], langs)) * 3).astype(np.float32)
+            scores[:, rng.integers(langs)] += rng.integers(0, 4)
+            best, sure = without_switch(scores, bounds, 8.0)
+            path = viterbi(scores, bounds, 8.0)
+            assert (path == best_path(scores, bounds, 8.0)).all()
+            for k in np.flatnonzero(sure):
+                assert (path[bounds[k] : bounds[k + 1]] == best[k]).all()
+            found += sure.sum()
+    assert found > 300
+
+
+def test_words_are_scored_once(spark):
+    """Copies of a word are one word in scoring and learning; learned counts are those of all words."""
+    text = "The cat, the ёж — the cat 12 12 cat"
+    (words,) = read_words(pa.array([text, text, "ёж the"]))
+    once, first, which = distinct(words)
+    said = [w for t in (text, text, "ёж the") for w in t.split()]
+    assert [once.data[a:b].tobytes().decode() for a, b in zip(once.starts, once.ends, strict=True)] == list(dict.fromkeys(said))
+    assert [said[first[k]] for k in which] == said
+    kinds = np.arange(len(said)) % 2
+    assert len(distinct(words, kinds)[0].starts) == len(set(zip(said, kinds, strict=True)))
+    rows = [("a", text), ("b", text), ("a", "ёж the")]
+    got = {(r.lang, r.bucket): r.total for r in counts(frame(spark, rows)).collect()}
+    want = Counter()
+    for lang, t in rows:
+        (own,) = read_words(pa.array([t.lower()]))
+        word, bucket = gram_buckets(own)
+        letter, script = letter_scripts(own)
+        want.update((lang, b) for w, b in zip(word, bucket, strict=True) if w in letter)
+        want.update((lang, BUCKETS + s) for s in script)
+    assert got == want
