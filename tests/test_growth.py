@@ -6,10 +6,13 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
+from evalmill.functions import checks as ck
+from evalmill.functions import ngrams as ng
 from evalmill.functions import prompts as pm
 from evalmill.functions import sequences as sq
 from evalmill.functions import text as tx
 from evalmill.operators import corpora as co
+from evalmill.operators import instructions as ins
 from evalmill.operators import stats
 from evalmill.operators import textpairs as tp
 from evalmill.plans import checks, documents, io
@@ -136,3 +139,25 @@ def test_sweep_grid_is_dealt_out(spark):
     assert sorted((r.id, r.start, r.kept) for r in wide.collect()) == want and wide.schema["kept"].dataType.simpleString() == "array<bigint>"
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_responses_are_graded_once(spark):
+    """Flags by hand, rows with null and unknown ids included; grading shuffles nothing and stands in the plan of a report once."""
+    ids = ["punctuation:no_comma", "change_case:english_lowercase"]
+    rows = [("a", "x, y\nz"), ("a", "x, y\nz"), ("b", "all small"), ("c", "Up, and"), ("d", " "), ("e", None), (None, "Top\nlow*er\nend, all")]
+    none = F.create_map(F.lit("_"), F.lit(""))
+    asked = F.array(*[F.struct(F.lit(i).cast("string").alias("instruction_id"), none.alias("kwargs")) for i in [*ids, "no:such", None]])
+    df = spark.createDataFrame(rows, "r string, t string").withColumn("i", asked)
+    out = ins.grade(df, "r", "t", "t", "i", ids)
+    key = lambda x: str(x)
+    want = [("a", 0, False, True), ("a", 1, True, True)] * 2 + [("b", 0, True, True), ("b", 1, True, True), ("c", 0, False, False), ("c", 1, False, False)]
+    want += [(r, i, False, False) for r in "de" for i in (0, 1)] + [(None, 0, False, True), (None, 1, False, True)]
+    want = [(r, p, ids[p], s, l) for r, p, s, l in want] + [(r, p, [None, "no:such"][p == 2], False, False) for r, _ in rows for p in (2, 3)]
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    report = ins.report_by_type(out)
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("posexplode(") == 1
+    seen = spark.createDataFrame([("f:a", True, True), ("f:b", False, True), ("all", True, True), (None, False, False)], "instruction_id string, strict boolean, loose boolean")
+    got = sorted(map(tuple, ins.report_by_type(seen).collect()), key=key)
+    want = [("f", "f:a", 1.0, 1.0, 1), ("f", "f:b", 0.0, 1.0, 1), ("f", "all", 0.5, 1.0, 2), ("all", "all", 1.0, 1.0, 1), ("all", "all", 1.0, 1.0, 1), (None, None, 0.0, 0.0, 1), (None, "all", 0.0, 0.0, 1)]
+    assert got == sorted(want, key=key)
