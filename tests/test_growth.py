@@ -161,3 +161,37 @@ def test_responses_are_graded_once(spark):
     got = sorted(map(tuple, ins.report_by_type(seen).collect()), key=key)
     want = [("f", "f:a", 1.0, 1.0, 1), ("f", "f:b", 0.0, 1.0, 1), ("f", "all", 0.5, 1.0, 2), ("all", "all", 1.0, 1.0, 1), ("all", "all", 1.0, 1.0, 1), (None, None, 0.0, 0.0, 1), (None, "all", 0.0, 0.0, 1)]
     assert got == sorted(want, key=key)
+
+
+def test_cheap_forms_of_checks_are_exact(spark):
+    """Sentences, words, trigrams and names by the plain rules, on texts made of marks that these treat apart."""
+    bits = [*"...!?\"'”“ \n\t,*aBc1", "Mr. ", "Dr.", " Inc. He ", "Co. ", "Ph.D. ", "U.S.A. But ", "a.b.c.", " i. ", ".com", "1.2.3", '."', '?"', ".”", "<stop>", "<prd>", "\xa0", "\x1c", "\x85", "é", "😀", "日", "Emma", "Liam "]
+    draw = lambda i: hashlib.md5(str(i).encode()).digest()
+    texts = ["".join(bits[b % len(bits)] for b in draw(i)[: 1 + i % 16] + draw(-i)[: i % 16]) for i in range(3000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    cut = F.concat(F.lit(" "), t, F.lit("  "))
+    for pattern, new in ck.SENTENCE_RULES:
+        cut = F.regexp_replace(cut, pattern, new)
+    parts = F.transform(F.split(cut, "<stop>", -1), tx.strip)
+    parts = F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    pairs = [
+        (ck.sentences(t), parts),
+        (ck.words(t), tx.words(t)),
+        (ck.remove_punct(t), tx.remove_punct(t)),
+        (F.array_sort(ck.char_trigrams(t)), F.array_sort(F.array_distinct(ng.char_ngrams(t, 3)))),
+        (ck.person_names(t, ck.Args(F.create_map(F.lit("n"), F.lit("2"))), t), F.size(F.filter(ck.lits(ck.PERSON_NAMES), lambda n: F.contains(t, n))) >= 2),
+    ]
+    rows = df.select("t", *[F.struct(a.alias("new"), b.alias("plain")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    assert [(r.t, i) for r in rows for i in range(len(pairs)) if r.t is not None and r[i + 1].new != r[i + 1].plain] == []
+    assert not any(a in b for a in ck.PERSON_NAMES for b in ck.PERSON_NAMES if a != b)
+    plain = "Just one. And two. " * 50
+    assert spark.createDataFrame([(plain,)], "t string").filter(t.rlike(ck.UNUSUAL)).count() == 0
+
+
+def test_neighbours_are_read_up_to_the_first_that_fail(one):
+    """Facts behind neighbours that fail are not found: the last one here is an error."""
+    fact = lambda x: F.when(x < 9, x).otherwise(F.raise_error(F.lit("read on")).cast("int"))
+    grow = lambda *v: ck.neighbours_hold(F.array(*map(F.lit, v)), fact, "int", lambda a, b: b > a)
+    assert one(grow(1, 2, 3), grow(2, 1, 9), grow(4), grow(1, 1), grow(1, 3, 3, 9)) == (True, False, True, False, False)
+    assert one(ck.neighbours_hold(F.array().cast("array<int>"), fact, "int", lambda a, b: b > a)) is True
